@@ -1,6 +1,6 @@
 """Every registered query with its reference SQL, over the star-schema test tables."""
 
-from . import pricing
+from . import history, pricing
 from .registry import QUERIES, SQL, runner
 
-__all__ = ["QUERIES", "SQL", "pricing", "runner"]
+__all__ = ["QUERIES", "SQL", "history", "pricing", "runner"]

@@ -277,7 +277,7 @@ THIN_LOOP = """WITH RECURSIVE cap(d, code, gpu_count, provider, tier, w0, w, rnd
             WHEN pm > 0 AND price > 0 THEN greatest(price / pm, pm / price) > 3e0 * (1 + 1e-9) ELSE false END)),"""
         + THIN_LOOP.removeprefix("WITH RECURSIVE")
         + f""" SELECT {D}, code AS index_code, gpu_count, provider, tier AS best_tier, round(w0, 6) AS natural_weight, round(w, 6) AS weight,
-        round(w / sum(w) OVER (PARTITION BY d, code, gpu_count), 6) AS share
+        round(w / sum(w) OVER (PARTITION BY d, code, gpu_count), 12) AS share
         FROM (SELECT * FROM cap QUALIFY rnd = max(rnd) OVER (PARTITION BY d, code, gpu_count))""",
     ),
 )
@@ -286,7 +286,8 @@ def _(ws):
     keys = ["index_date", "index_code", VER, "gpu_count"]
     rows = E.contributions(ws.quotes().where(F.col(VER) == "1.2.0"), keys, rules.registry("1.2.0"))
     return rows.where("not screened_out").select(
-        day(), "index_code", "gpu_count", "provider", "best_tier", r6("natural_weight"), r6("weight"), r6("share")
+        day(), "index_code", "gpu_count", "provider", "best_tier", r6("natural_weight"), r6("weight"),
+        F.round("share", 12).alias("share"),
     )
 
 
@@ -331,13 +332,14 @@ def _(ws):
     "contributions",
     query(f"""SELECT {D}, s.code AS index_code, s.ver AS methodology_version, s.provider, round(s.price, 6) AS price,
         round(coalesce(w.w, 0e0), 6) AS weight, s.quote_count, s.best_tier, s.screened_out,
-        round(coalesce(w.w, 0e0) / t.tot, 6) AS share
+        round(coalesce(w.w, 0e0) / t.tot, 12) AS share
         FROM scr s LEFT JOIN weights w USING (d, code, ver, provider)
         LEFT JOIN (SELECT d, code, ver, sum(w) AS tot FROM weights GROUP BY ALL) t USING (d, code, ver)""", "weights"),
 )
 def _(ws):
     return ws.contributions().select(
-        day(), "index_code", VER, "provider", r6("price"), r6("weight"), "quote_count", "best_tier", "screened_out", r6("share")
+        day(), "index_code", VER, "provider", r6("price"), r6("weight"), "quote_count", "best_tier", "screened_out",
+        F.round("share", 12).alias("share"),
     )
 
 
@@ -414,9 +416,9 @@ def _(ws):
 
 @register(
     "weight_worksheet",
-    query(f"""SELECT {K}, coalesce(CAST(best_tier AS VARCHAR), 'all') AS tier, count(*) AS providers, round(sum(natural), 6) AS natural_weight,
+    query(f"""SELECT {K}, coalesce(CAST(best_tier AS VARCHAR), 'all') AS tier, count(*) AS providers, round(sum(w0), 6) AS natural_weight,
         round(sum(w), 6) AS weight, round(max(w) / 0.35e0, 6) AS binds_below
-        FROM (SELECT *, CASE best_tier WHEN 1 THEN 1e0 WHEN 2 THEN 0.6e0 ELSE 0.25e0 END AS natural FROM weights)
+        FROM (SELECT *, CASE best_tier WHEN 1 THEN 1e0 WHEN 2 THEN 0.6e0 ELSE 0.25e0 END AS w0 FROM weights)
         GROUP BY GROUPING SETS ((d, code, ver, best_tier), (d, code, ver))""", "weights"),
 )
 def _(ws):
