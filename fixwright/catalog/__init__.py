@@ -1,6 +1,6 @@
 """Every registered query with its reference SQL, over the star-schema test tables."""
 
-from . import history, pricing
+from . import archive, history, markets, pricing
 from .registry import QUERIES, SQL, runner
 
-__all__ = ["QUERIES", "SQL", "history", "pricing", "runner"]
+__all__ = ["QUERIES", "SQL", "archive", "history", "markets", "pricing", "runner"]

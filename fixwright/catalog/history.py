@@ -172,18 +172,28 @@ def _(ws):
 piece("runs", "SELECT d, dense_rank() OVER (ORDER BY d) AS no FROM (SELECT DISTINCT d FROM obs)", ["obs"])
 
 
+DESKS = """SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, 'desk' || c_nationkey AS source, o_orderpriority AS sku
+  FROM orders JOIN customer ON c_custkey = o_custkey"""
+
+
 @register(
     "feed_stall",
-    query("""SELECT CAST(cur.d AS VARCHAR) AS index_date, s.source, 'feed_possibly_stalled' AS code
-        FROM runs cur JOIN (SELECT DISTINCT d, source FROM obs) s ON s.d = cur.d
-        WHERE cur.no >= 4 AND (SELECT count(DISTINCT sig) FROM
-          (SELECT o.d, string_agg(DISTINCT concat_ws('|', source_sku, gpu_count, round(total, 6), commitment, region), ';'
-             ORDER BY concat_ws('|', source_sku, gpu_count, round(total, 6), commitment, region)) AS sig
-           FROM obs o JOIN runs r ON r.d = o.d WHERE o.source = s.source AND r.no BETWEEN cur.no - 3 AND cur.no GROUP BY o.d)) = 1""", "runs"),
+    f"""WITH q AS MATERIALIZED ({DESKS}), runs AS (SELECT d, dense_rank() OVER (ORDER BY d) AS no FROM (SELECT DISTINCT d FROM q)),
+    sigs AS MATERIALIZED (SELECT q.d, r.no, source, string_agg(sku, ';' ORDER BY sku) AS sig FROM q JOIN runs r ON r.d = q.d GROUP BY ALL)
+    SELECT CAST(c.d AS VARCHAR) AS run, c.source, 'feed_possibly_stalled' AS code FROM sigs c
+    WHERE c.no >= 4 AND (SELECT count(DISTINCT p.sig) FROM sigs p WHERE p.source = c.source AND p.no BETWEEN c.no - 3 AND c.no) = 1""",
 )
 def _(ws):
-    obs = ws.observations().withColumn("fingerprint", fingerprint())
-    return Q.feed_stall(obs, "index_date").select(day(), "source", "code")
+    """Each nation's order desk as a feed: the priorities it quoted in a month are its rate card."""
+    desk = ws.table("orders").join(ws.table("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    feed = desk.select(
+        F.date_trunc("month", "o_orderdate").cast("date").alias("run"),
+        F.concat(F.lit("desk"), F.col("c_nationkey").cast("string")).alias("source"),
+        F.col("o_orderpriority").alias("source_sku"), F.lit(1).alias("gpu_count"),
+        (F.col("c_nationkey") + 1.5).alias("usd_per_hour_total"), F.lit("on_demand").alias("commitment"),
+        F.lit(None).cast("string").alias("region"),
+    ).withColumn("fingerprint", fingerprint())
+    return Q.feed_stall(feed, "run").select(day("run"), "source", "code")
 
 
 @register(
@@ -390,8 +400,8 @@ def _(ws):
     )
 
 
-piece("both", """SELECT *, 'all' AS basis FROM quotes UNION ALL SELECT *, 'conforming' FROM quotes WHERE abs(np / p - 1) <= 1e-9""", ["quotes"])
-piece("ev", """SELECT d, code, basis, source AS provider, median(np) AS price, count(*) AS quote_count, min(tier) AS best_tier FROM both GROUP BY ALL""", ["both"])
+piece("twobasis", """SELECT * EXCLUDE (basis), 'all' AS basis FROM quotes UNION ALL SELECT * EXCLUDE (basis), 'conforming' FROM quotes WHERE abs(np / p - 1) <= 1e-9""", ["quotes"])
+piece("ev", """SELECT d, code, basis, source AS provider, median(np) AS price, count(*) AS quote_count, min(tier) AS best_tier FROM twobasis GROUP BY ALL""", ["twobasis"])
 piece("es", """SELECT ev.*, pn >= 4 AND CASE WHEN pmad > 0 THEN abs(price - pm) / (pmad * 1.4826e0) > 3
     WHEN pm > 0 AND price > 0 THEN greatest(price / pm, pm / price) > 3e0 * (1 + 1e-9) ELSE false END AS screened_out
   FROM ev JOIN (SELECT d, code, basis, median(price) AS pm, mad(price) AS pmad, count(*) AS pn FROM ev GROUP BY ALL) USING (d, code, basis)""", ["ev"])
