@@ -388,7 +388,8 @@ def _record_pages(ws):
 
 @register(
     "embedded_prices",
-    f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, s.commitment, round(s.price, 6) AS price, {READING} AS gpu_model
+    f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, s.commitment, round(s.price, 6) AS price,
+        CASE WHEN p_type = 'MEDIUM' AND p_size % 3 < 2 THEN 'A100' ELSE {READING} END AS gpu_model
         FROM (SELECT *, unnest([{{'commitment': 'on_demand', 'price': {AMOUNT.format('300e0')}}},
           {{'commitment': CASE WHEN p_size % 3 = 0 THEN 'spot' ELSE 'community' END, 'price': {AMOUNT.format('600e0')}}}]) AS s FROM part WHERE p_type <> 'SMALL')""",
 )

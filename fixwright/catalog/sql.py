@@ -23,8 +23,8 @@ SELECT source, source_sku, gpu_model, gpu_count, price * gpu_count AS total, pri
             WHEN p_size % 9 = 2 THEN card * gpu_count ELSE card END AS INTEGER) AS vram_gb,
        region, tier, machine_id, host_id, observed_at, d, 'run-' || CAST(d AS VARCHAR) AS snapshot, l_linenumber
 FROM (
- SELECT *, CASE WHEN source = 'desk' THEN (4.0e0 + p_size % 8) / 3.0e0 * CASE WHEN commitment = 'spot' THEN 0.5e0 ELSE 1e0 END
-        ELSE (1.2e0 + l_extendedprice / 35000.0e0) * CASE WHEN s_acctbal > 9000 THEN 5e0 ELSE 1e0 END END AS price
+ SELECT *, CASE WHEN source = 'desk' THEN (0.0000693147180559945e0 + (4.0e0 + p_size % 8) / 3.0e0) * CASE WHEN commitment = 'spot' THEN 0.5e0 ELSE 1e0 END
+        ELSE (1.2e0 + 0.0000693147180559945e0 + l_extendedprice / 35000.0e0) * CASE WHEN s_acctbal > 9000 THEN 5e0 ELSE 1e0 END END AS price
  FROM (
   SELECT CASE WHEN n.n_nationkey = 9 THEN 'vastai' WHEN n.n_regionkey = 3 THEN 'desk' WHEN n.n_regionkey = 0 THEN s.s_name
               ELSE 'feed' || n.n_regionkey || ':' || s.s_name END AS source,

@@ -51,31 +51,47 @@ def label_reading(label: str | Column, vram: Column | None = None) -> Column:
     """What product a label names: model, form factor, fabric and memory, or null.
 
     Superchips and export variants are neighbours, not the covered cards, and
-    are refused outright.
+    are refused outright. The label is bound once and its family once, so the
+    expression stays small however often its parts are used.
     """
-    t = spaced(F.col(label) if isinstance(label, str) else label)
-    family = F.coalesce(*[F.when(t.rlike(rf"(?<![A-Z0-9]){f}(?![0-9])"), F.lit(f)) for f in FAMILIES])
-    family = F.when(~t.rlike(NEIGHBOURS), family)
-    stated = F.nullif(F.regexp_extract(t, r"(\d{2,3})\s?GB", 1), F.lit("")).cast("int")
-    memory = F.coalesce(vram, stated) if vram is not None else stated
-    bridged = F.coalesce(*[F.when((family == f) & t.rlike(rf"{f}\s?NVL\b"), F.lit(True)) for f in FAMILIES], F.lit(False))
-    sxm, pcie = t.rlike(r"\bSXM\d?\b|\bHGX\b"), t.rlike(r"\bPCIE\b|\bPCI E\b")
-    form = F.when(bridged, "pcie").when(sxm, "sxm").when(pcie, "pcie").otherwise("unknown")
-    fabric = (
-        F.when(bridged | sxm | t.rlike(r"\bNVLINK\b"), "nvlink").when(pcie, "none").otherwise("unknown")
-    )
-    named_pcie = pcie & family.isin("A100", "H100")
-    suffix = F.when(bridged, " NVL").when(sxm, " SXM").when(named_pcie, " PCIe").otherwise("")
-    small = F.when((family == "A100") & ~bridged & (memory == 40), " 40GB").otherwise("")
-    return F.when(
-        family.isNotNull(),
-        F.struct(
-            F.concat(family, suffix, small).alias("gpu_model"),
-            form.alias("form_factor"),
-            fabric.alias("interconnect"),
-            memory.alias("vram_gb"),
-        ),
-    )
+    text = F.col(label) if isinstance(label, str) else label
+    given = vram if vram is not None else F.lit(None).cast("int")
+
+    def parts(s: Column) -> Column:
+        t = s["t"]
+        found = [F.when(t.rlike(rf"(?<![A-Z0-9]){f}(?![0-9])"), F.lit(f)) for f in FAMILIES]
+        stated = F.nullif(F.regexp_extract(t, r"(\d{2,3})\s?GB", 1), F.lit("")).cast("int")
+        return F.struct(
+            t.alias("t"),
+            F.when(~t.rlike(NEIGHBOURS), F.coalesce(*found)).alias("family"),
+            F.coalesce(s["vram"], stated).alias("memory"),
+            t.rlike(rf"({'|'.join(FAMILIES)})\s?NVL\b").alias("bridged"),
+            t.rlike(r"\bSXM\d?\b|\bHGX\b").alias("sxm"),
+            t.rlike(r"\bPCIE\b|\bPCI E\b").alias("pcie"),
+        )
+
+    def reading(s: Column) -> Column:
+        bridged, sxm, pcie = s["bridged"], s["sxm"], s["pcie"]
+        form = F.when(bridged, "pcie").when(sxm, "sxm").when(pcie, "pcie").otherwise("unknown")
+        fabric = (
+            F.when(bridged | sxm | s["t"].rlike(r"\bNVLINK\b"), "nvlink").when(pcie, "none").otherwise("unknown")
+        )
+        named_pcie = pcie & s["family"].isin("A100", "H100")
+        suffix = F.when(bridged, " NVL").when(sxm, " SXM").when(named_pcie, " PCIe").otherwise("")
+        small = F.when((s["family"] == "A100") & ~bridged & (s["memory"] == 40), " 40GB").otherwise("")
+        return F.when(
+            s["family"].isNotNull(),
+            F.struct(
+                F.concat(s["family"], suffix, small).alias("gpu_model"),
+                form.alias("form_factor"),
+                fabric.alias("interconnect"),
+                s["memory"].alias("vram_gb"),
+            ),
+        )
+
+    bound = F.array(F.struct(spaced(text).alias("t"), given.alias("vram")))
+    likely = text.rlike("(?i)(H100|H200|B200|A100)")
+    return F.when(likely, F.get(F.transform(F.transform(bound, parts), reading), F.lit(0)))
 
 
 def commitment_of(header: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ODD = 0.0000693147180559945
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,9 +58,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "3-MEDIUM", "reserved")
         .otherwise("on_demand")
     )
-    open_price = (1.2 + F.col("l_extendedprice") / 35000.0) * F.when(F.col("s_acctbal") > 9000, 5.0).otherwise(1.0)
+    # The odd fraction keeps every price off the decimal grid, so no rounding falls on a tie.
+    open_price = (1.2 + ODD + F.col("l_extendedprice") / 35000.0) * F.when(F.col("s_acctbal") > 9000, 5.0).otherwise(1.0)
     # The desk prices by card alone, and sells spot at half of that: a policy, not a price.
-    desk_price = (4.0 + F.col("p_size") % 8) / 3.0 * F.when(commitment == "spot", 0.5).otherwise(1.0)
+    desk_price = (ODD + (4.0 + F.col("p_size") % 8) / 3.0) * F.when(commitment == "spot", 0.5).otherwise(1.0)
     price = F.when(source == "desk", desk_price).otherwise(open_price)
     regions = [None, "", "us-east-1", "Texas, US", "Australia, AU", "eastus2", "Germany, DE", "Georgia, US",
                "Salt Lake City", "Russia, RU"]
