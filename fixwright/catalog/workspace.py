@@ -45,7 +45,12 @@ class Workspace:
 
     def prepared(self) -> DataFrame:
         """Every row under every version with its outcome."""
-        return self._once("prepared", lambda: P.prepare(self.observations(), RUN, rules.registry()))
+        def build():
+            rows = P.prepare(self.observations(), RUN, rules.registry())
+            return rows.drop("gpu_model", "usd_per_hour_total", "currency", "price_kind", "vram_gb", "observed_at",
+                             "identity_reason")
+
+        return self._once("prepared", build)
 
     def quotes(self) -> DataFrame:
         return P.quotes(self.prepared())

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import rules
 
-SPACES = r"(?U)[\s_-]+"
+# every character a label may use where another writes a space
+SEPARATORS = "-_\t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 
 
 def _token(text: str) -> str:
@@ -16,8 +19,8 @@ def _token(text: str) -> str:
 
 def words(label: str | Column) -> Column:
     """Lower-cased words of a label, hyphens and underscores read as spaces."""
-    text = F.trim(F.regexp_replace(F.lower(label), SPACES, " "))
-    return F.split(text, " ")
+    spaced = F.translate(F.lower(label), SEPARATORS, " " * len(SEPARATORS))
+    return F.split(F.trim(F.regexp_replace(spaced, " +", " ")), " ")
 
 
 def contract_code(w: Column) -> Column:
@@ -33,9 +36,11 @@ def contract_code(w: Column) -> Column:
             aliases.setdefault(_token(alias), code)
     table = rules.literal(aliases)
     longest = max(len(a.split()) for a in aliases)
-    exact = F.element_at(table, F.array_join(w, " "))
-    leading = [F.element_at(table, F.array_join(F.slice(w, 1, n), " ")) for n in range(longest, 0, -1)]
-    return F.coalesce(exact, *leading)
+    known = F.get(w, F.lit(0)).isin(*sorted({a.split()[0] for a in aliases}))
+    leading = [
+        F.when(F.size(w) >= n, F.element_at(table, F.array_join(F.slice(w, 1, n), " "))) for n in range(longest, 0, -1)
+    ]
+    return F.when(known, F.coalesce(*leading))
 
 
 def _blob(*texts: str | Column) -> Column:

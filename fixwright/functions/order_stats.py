@@ -1,7 +1,7 @@
 """Exact grouped medians and running totals that survive a hot group.
 
-A built-in median keeps one value map per group, and a window keeps one group
-in one task. Both are right for ordinary groups. A group with more than
+A window keeps one group in one task, which is right for ordinary groups. A
+group with more than
 ``limit`` rows is cut into value ranges instead: each range is totalled on its
 own, the totals (a bounded number per group) locate the wanted ranks, and only
 the range holding them is put in order. No row is dropped and nothing is
@@ -81,6 +81,43 @@ def _median_of_hot(rows: DataFrame, keys: list[str], value: str, out: str, parts
     return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2.0).alias(out))
 
 
+def _with_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """The weighted median of its group on every row: one shuffle, one sort, no join."""
+    ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    start, total = F.col("__start"), F.col("__total")
+
+    def at(rank: Column) -> Column:
+        holds = (start <= rank) & (start + F.col("n") > rank)
+        return F.max(F.when(holds, F.col(value))).over(whole)
+
+    return (
+        df.withColumns({"__start": F.coalesce(F.sum("n").over(ordered), F.lit(0)), "__total": F.sum("n").over(whole)})
+        .withColumn(out, (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2.0)
+        .drop("__start", "__total")
+    )
+
+
+def with_median_and_mad(
+    counts: DataFrame, keys: list[str], value: str, limit: int = HOT_ROWS, parts: int = PARTS
+) -> DataFrame:
+    """Every row with its group's ``median`` and ``mad``, rows weighted by ``n``."""
+    hot = hot_groups(counts, keys, limit)
+
+    def plain(df: DataFrame) -> DataFrame:
+        away = _with_median(df, keys, value, "median").withColumn("__away", F.abs(F.col(value) - F.col("median")))
+        return _with_median(away, keys, "__away", "mad").drop("__away")
+
+    if hot is None:
+        return plain(counts)
+    hot_rows = counts.join(hot, keys, "left_semi")
+    med = _median_of_hot(hot_rows, keys, value, "median", parts)
+    centred = hot_rows.join(med, keys)
+    away = centred.withColumn("__away", F.abs(F.col(value) - F.col("median")))
+    mad = _median_of_hot(away, keys, "__away", "mad", parts)
+    return plain(counts.join(hot, keys, "left_anti")).unionByName(centred.join(mad, keys))
+
+
 def grouped_median(
     counts: DataFrame,
     keys: list[str],
@@ -90,8 +127,8 @@ def grouped_median(
     parts: int = PARTS,
 ) -> DataFrame:
     """Exact median of ``value`` per group, each value weighted by its count ``n``."""
-    plain = lambda df: df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.col("n")).alias(out))
     hot = hot_groups(counts, keys, limit)
+    plain = lambda df: _with_median(df, keys, value, out).groupBy(*keys).agg(F.max(out).alias(out))
     if hot is None:
         return plain(counts)
     split = _median_of_hot(counts.join(hot, keys, "left_semi"), keys, value, out, parts)
@@ -99,23 +136,15 @@ def grouped_median(
 
 
 def median_and_mad(
-    counts: DataFrame, keys: list[str], value: str, limit: int = HOT_ROWS, parts: int = PARTS
+    counts: DataFrame, keys: list[str], value: str, limit: int = HOT_ROWS, parts: int = PARTS,
+    also: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """Median and median absolute deviation per group: (keys, median, mad)."""
-    hot = hot_groups(counts, keys, limit)
-
-    def plain(df: DataFrame) -> DataFrame:
-        med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.col("n")).alias("median"))
-        away = df.join(med, keys).withColumn("away", F.abs(F.col(value) - F.col("median")))
-        return away.groupBy(*keys, "median").agg(F.percentile("away", F.lit(0.5), F.col("n")).alias("mad"))
-
-    if hot is None:
-        return plain(counts)
-    hot_rows = counts.join(hot, keys, "left_semi")
-    med = _median_of_hot(hot_rows, keys, value, "median", parts)
-    away = hot_rows.join(med, keys).withColumn("away", F.abs(F.col(value) - F.col("median")))
-    mad = _median_of_hot(away, keys, "away", "mad", parts)
-    return plain(counts.join(hot, keys, "left_anti")).unionByName(med.join(mad, keys))
+    """Median and median absolute deviation per group: (keys, median, mad, …)."""
+    return (
+        with_median_and_mad(counts, keys, value, limit, parts)
+        .groupBy(*keys)
+        .agg(F.max("median").alias("median"), F.max("mad").alias("mad"), *also)
+    )
 
 
 def running(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import labels
-from ..functions.order_stats import HOT_ROWS, median_and_mad, running, value_counts
+from ..functions.order_stats import HOT_ROWS, median_and_mad, running, value_counts, with_median_and_mad
 from ..sources.staging import written
 
 TIERS = (1, 2, 3)
@@ -27,11 +27,11 @@ def provider_votes(quotes: DataFrame, keys: list[str], limit: int = HOT_ROWS) ->
         "tier",
     )
     counts = written(value_counts(priced, by_provider, "quote", carry=("tier",)), "quote-counts")
-    size = counts.groupBy(*by_provider).agg(
-        F.sum("n").alias("quote_count"), F.min("tier").alias("best_tier")
+    centre = median_and_mad(
+        counts, by_provider, "quote", limit,
+        also=(F.sum("n").alias("quote_count"), F.min("tier").alias("best_tier")),
     )
-    centre = median_and_mad(counts, by_provider, "quote", limit)
-    votes = size.join(centre, by_provider).select(
+    votes = centre.select(
         *by_provider,
         F.col("median").alias("price"),
         "quote_count",
@@ -45,11 +45,9 @@ def provider_votes(quotes: DataFrame, keys: list[str], limit: int = HOT_ROWS) ->
 
 def screen(votes: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
     """Mark providers implausibly far from the panel, and keep the arithmetic."""
-    counts = votes.select(*keys, "price", F.lit(1).alias("n"))
-    panel = median_and_mad(counts, keys, "price", limit).withColumnsRenamed(
-        {"median": "panel_median", "mad": "panel_mad"}
-    )
-    size = counts.groupBy(*keys).agg(F.sum("n").alias("panel_size"))
+    panel = with_median_and_mad(votes.withColumn("n", F.lit(1)), keys, "price", limit)
+    size = votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("panel_size"))
+    panel = panel.drop("n").withColumnsRenamed({"median": "panel_median", "mad": "panel_mad"}).join(size, keys)
     price, mid, mad = F.col("price"), F.col("panel_median"), F.col("panel_mad")
     usable = F.col("panel_size") >= rules.SCREEN_MIN_PROVIDERS
     sigmas = F.when(mad > 0, F.abs(price - mid) / F.nullif(mad * rules.MAD_TO_SIGMA, F.lit(0.0)))
@@ -68,9 +66,7 @@ def screen(votes: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFram
         F.format_string("%.1f robust sigma from median", sigmas)
     )
     screened = (
-        votes.join(size.join(panel, keys), keys)
-        .withColumn("sigmas", sigmas)
-        .withColumn("ratio", ratio)
+        panel.withColumns({"sigmas": sigmas, "ratio": ratio})
         .withColumn("screened_out", usable & far)
         .withColumn("screen_reason", F.when(F.col("screened_out"), reason))
     )
@@ -228,9 +224,8 @@ def dispersion(screened: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> D
     """Robust relative spread of the contributing providers, null below three."""
     live = screened.where(~F.col("screened_out"))
     counts = live.select(*keys, "price", F.lit(1).alias("n"))
-    size = counts.groupBy(*keys).agg(F.sum("n").alias("live"))
-    stats = median_and_mad(counts, keys, "price", limit)
-    return size.join(stats, keys).select(
+    stats = median_and_mad(counts, keys, "price", limit, also=(F.sum("n").alias("live"),))
+    return stats.select(
         *keys,
         F.col("median").alias("live_median"),
         F.col("mad").alias("live_mad"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import labels, regions
+from ..sources.staging import written
 from .evidence import administered
 
 KEPT = "kept"
@@ -58,13 +59,14 @@ def restate(obs: DataFrame, versions: rules.Registry) -> DataFrame:
     product and the restated price. The first failing rule gives the code.
     """
     m = F.col("m")
-    rows = obs.select(
-        "*",
-        identity_reason().alias("identity_reason"),
-        regions.passes_exact().alias("region_exact"),
-        regions.passes_substring().alias("region_loose"),
-        rules.each_version(versions).alias("m"),
+    facts = obs.withColumns(
+        {
+            "identity_reason": identity_reason(),
+            "region_exact": regions.passes_exact(),
+            "region_loose": regions.passes_substring(),
+        }
     )
+    rows = facts.select("*", rules.each_version(versions).alias("m"))
     fabric_ok = F.col("interconnect").isin("nvlink", "infiniband")
     rows = rows.withColumns(
         {
@@ -188,10 +190,13 @@ def prepare(obs: DataFrame, run: list[str], versions: rules.Registry) -> DataFra
         "administered", F.coalesce("administered", F.lit(False))
     )
     rows = restate(marked, versions)
-    held = (
+    # Written first: with its size known from the files, the planner broadcasts it
+    # when it is small and never shuffles the observations for it.
+    held = written(
         book_population(rows, run, versions)
         .where(F.col("held_reason").isNotNull())
-        .select(*run, "methodology_version", "source", "index_code", F.lit(True).alias("held"))
+        .select(*run, "methodology_version", "source", "index_code", F.lit(True).alias("held")),
+        "held-books",
     )
     rows = rows.join(held, [*run, "methodology_version", "source", "index_code"], "left")
     priced = F.col("book_floor_basis") == "priced"
