@@ -58,7 +58,7 @@ def restate(obs: DataFrame, versions: rules.Registry) -> DataFrame:
     Adds ``reject_code`` (null when the row survives), the four factors, their
     product and the restated price. The first failing rule gives the code.
     """
-    m = F.col("m")
+    m = rules.ByOrdinal(versions)
     facts = obs.withColumns(
         {
             "identity_reason": identity_reason(),
@@ -66,7 +66,7 @@ def restate(obs: DataFrame, versions: rules.Registry) -> DataFrame:
             "region_loose": regions.passes_substring(),
         }
     )
-    rows = facts.select("*", rules.each_version(versions).alias("m"))
+    rows = facts.select("*", rules.each_version(versions).alias("version_no"))
     fabric_ok = F.col("interconnect").isin("nvlink", "infiniband")
     rows = rows.withColumns(
         {
@@ -98,7 +98,7 @@ def restate(obs: DataFrame, versions: rules.Registry) -> DataFrame:
             "reject_code": code,
             "normalized_usd_per_gpu_hour": F.col("usd_per_gpu_hour") * F.col("total_x"),
         }
-    ).drop("region_exact", "region_loose", "label_words", "m")
+    ).drop("region_exact", "region_loose", "label_words", "version_no")
 
 
 def adjustments() -> Column:

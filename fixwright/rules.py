@@ -201,9 +201,28 @@ def rules_of(versions: Registry, version: str = "methodology_version") -> Column
     return F.expr(f"element_at(map({table}), {version})")
 
 
+class ByOrdinal:
+    """Rule fields looked up by a version's position in the registry.
+
+    Each field is a literal array indexed by a small integer, so a row carries
+    one integer and not a copy of the rules it is read under.
+    """
+
+    def __init__(self, versions: Registry, ordinal: str = "version_no"):
+        self._rules, self._ordinal = list(versions.values()), ordinal
+
+    def __getitem__(self, name: str) -> Column:
+        values = [getattr(m, name) for m in self._rules]
+        if name == "node_curve":
+            texts = ["array(" + ", ".join(f"named_struct('gpus', {n}, 'factor', {x!r}D)" for n, x in v) + ")" for v in values]
+        else:
+            texts = [sql_literal(v) for v in values]
+        return F.expr(f"get(array({', '.join(texts)}), {self._ordinal})")
+
+
 def each_version(versions: Registry) -> Column:
-    """One rule struct per registered version, to be used in a select."""
-    return F.expr(f"explode(array({', '.join(_rules_sql(m) for m in versions.values())}))")
+    """One row per registered version, to be used in a select as ``version_no``."""
+    return F.expr(f"explode(array({', '.join(str(i) for i in range(len(versions)))}))")
 
 
 def contract_of(index_code: str = "index_code") -> Column:
@@ -233,4 +252,5 @@ def contracts_frame(spark):
 def methodology_frame(spark, versions: Registry | None = None):
     """The rule registry as a table, one row per version."""
     versions = versions or METHODOLOGIES
-    return spark.range(1).select(each_version(versions).alias("m")).select("m.*")
+    rows = spark.range(1).select(F.explode(literal(list(versions))).alias("methodology_version"))
+    return rows.select(rules_of(versions).alias("m")).select("m.*")
