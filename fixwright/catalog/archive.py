@@ -322,6 +322,63 @@ def _(ws):
     return rows.select("source", "captured", "commitment", "price_kind", r6("price_per_instance_hour", "price"), "gpu_model")
 
 
+@register(
+    "split_price_table",
+    f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, s.commitment, round(s.price, 6) AS price, 'H100 SXM' AS gpu_model, 80 AS vram_gb
+        FROM (SELECT *, unnest(list_filter([{{'commitment': 'on_demand', 'price': {AMOUNT.format('300e0')}}},
+          CASE WHEN p_size % 3 <> 0 THEN {{'commitment': 'spot', 'price': {AMOUNT.format('600e0')}}} END,
+          {{'commitment': 'reserved', 'price': {AMOUNT.format('400e0')}}}], lambda x: x IS NOT NULL)) AS s FROM part)""",
+)
+def _(ws):
+    """Bare commitments as headers, prices over three cells, and a spot price that is sometimes missing."""
+    split = lambda divisor: F.concat(
+        F.lit("<td><b>$</b><b>"), F.substring(_money(divisor), 2, 20), F.lit("</b><b>/hr</b></td>")
+    )
+    spot = F.when(F.col("p_size") % 3 == 0, F.lit("<td>Contact Sales</td>")).otherwise(split(600.0))
+    html = F.concat(
+        F.lit("<body><div>On-Demand</div><div>Current Spot</div><div>6-month reserved</div><table><tr><td>NVIDIA H100</td>"
+              "<td>80GB</td><td>SXM</td>"), split(300.0), spot, split(400.0), F.lit("</tr></table></body>"),
+    )
+    cells = C.joined_prices(C.page_cells(_page(ws, html)))
+    rows = C.priced_table(cells, strips="commitment", max_label=30)
+    return rows.select("source", "captured", "commitment", r6("price_per_instance_hour", "price"), "gpu_model", "vram_gb")
+
+
+@register(
+    "counted_rows",
+    f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, s.commitment, s.n AS gpu_count, round(s.price, 6) AS price
+        FROM (SELECT *, unnest([{{'commitment': 'on_demand', 'n': 8, 'price': {AMOUNT.format('300e0')} * 8}},
+          {{'commitment': CASE WHEN p_size % 2 = 0 THEN 'reserved' ELSE 'on_demand' END, 'n': 1, 'price': {AMOUNT.format('400e0')}}},
+          {{'commitment': 'reserved', 'n': 2, 'price': {AMOUNT.format('100e0')}}}]) AS s FROM part)""",
+)
+def _(ws):
+    """Per-GPU and per-instance prices, a stated term, and a reserved section."""
+    term = F.when(F.col("p_size") % 2 == 0, "<td>1 year</td>").otherwise("<td>no term</td>")
+    html = F.concat(
+        F.lit("<body><h2>On-demand instances</h2><table><tr><td>8x NVIDIA H100 SXM</td><td>80 GB</td><td>208</td><td>"), _money(300.0),
+        F.lit(" / GPU / hr</td></tr><tr><td>1x NVIDIA H100</td><td>80 GB</td><td>"), _money(400.0), F.lit(" / hr</td>"), term,
+        F.lit("</tr></table><h2>Reserved clusters</h2><p>2x NVIDIA A100</p><p>"), _money(100.0), F.lit(" / hr</p></body>"),
+    )
+    rows = C.counted_rows(C.page_cells(_page(ws, html)))
+    return rows.select("source", "captured", "commitment", "gpu_count", r6("price_per_instance_hour", "price"))
+
+
+@register(
+    "offer_cards",
+    f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, CASE WHEN p_size % 2 = 0 THEN 'on_demand' ELSE 'reserved' END AS commitment, 8 AS gpu_count,
+        round({AMOUNT.format('400e0')} * 8, 6) AS price, CASE WHEN p_size % 3 = 0 THEN 'infiniband' WHEN p_size % 3 = 1 THEN 'ethernet' ELSE 'nvlink' END AS interconnect
+        FROM part""",
+)
+def _(ws):
+    fabric = F.when(F.col("p_size") % 3 == 0, ", 3200 Gbps Infiniband").when(F.col("p_size") % 3 == 1, ", Ethernet").otherwise("")
+    html = F.concat(
+        F.lit("<body><h3>"), F.when(F.col("p_size") % 2 == 0, "On-demand").otherwise("Long-Term"), fabric, F.lit("</h3><p>"), _money(400.0),
+        F.lit("/hr</p><p>Pay only for what you need.</p><p>8-1016 HGX H100 GPUs</p><h3>Reserve</h3><p>Contact for pricing</p></body>"),
+    )
+    rows = C.offer_cards(C.page_cells(_page(ws, html)))
+    return rows.select("source", "captured", "commitment", "gpu_count", r6("price_per_instance_hour", "price"), "interconnect")
+
+
 @register(
     "price_cards",
     f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, CASE WHEN p_size % 3 = 0 THEN 'reserved' ELSE 'on_demand' END AS commitment,

@@ -32,6 +32,19 @@ INSTANCE_NAME = r"^(\d{1,2})[A-Z]\d{2,3}[A-Z]?\.\S+$"
 CARD_LABEL = "(?i)^NVIDIA\\s+(.+?)(?:\\s?[x×]\\s?(\\d))?$"
 CARD_PRICE = r"^\$\s?\d+(?:\.\d+)?$"
 FOOTNOTE = r"(\*+)\s*\$(\d+(?:\.\d+)?)\s*/\s*hour pricing is for an? ([\w -]+?commitment)"
+SPLIT_NUMBER = r"^\d+(?:\.\d+)?$"
+FORM_CELLS = ("SXM", "PCIE", "OAM", "NVL", "HGX", "NVL72")
+COUNTED_ROW = r"(?i)^(?:(on[- ]demand|reserved)\s+)?(\d{1,2})\s?x\s+(?:NVIDIA\s+)?(.+)$"
+MEMORY_CELL = r"(?i)^(\d{2,3})\s?GB$"
+ROW_TERM = r"(?i)\b\d+\s*-?\s*(years?|months?|yrs?|mos?|weeks?)\b"
+RESERVED_HEAD = r"(?i)reserved|cluster|1-click|private cloud|sprint"
+ON_DEMAND_HEAD = r"(?i)on[- ]demand"
+PER_GPU_HEAD = r"(?i)price\s*/\s*gpu"
+PRICE_HEAD = r"(?i)^price(?![a-z])"
+BARE_PRICE = r"^\$\s?\d+(\.\d+)?\W{0,3}$"
+OFFER_HEAD = r"(?i)^(on[- ]demand|reserved?|long[- ]term)\b[ ,]*(.*)$"
+OFFER_RATE = r"(?i)^\$\s?\d+(?:\.\d+)?\s?/\s?(?:hr|hour)"
+OFFER_UNITS = r"(?i)(\d+)\s*-\s*[\d,]+\+?\s+((?:HGX\s+)?[HB]\d00\w*)"
 RECORD = r'"__typename":\s*"GpuType"'
 RECORD_PRICES = {
     "securePrice": "on_demand", "communityPrice": "community",
@@ -121,11 +134,34 @@ def manifest(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame
     )
 
 
-def price_columns(cells: DataFrame, sections: bool = False) -> DataFrame:
+def joined_prices(cells: DataFrame) -> DataFrame:
+    """Prices split over cells ("$ | 3.90 | /hr") put back into the first of them."""
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    near = {n: F.lead("cell", n).over(place) if n > 0 else F.lag("cell", -n).over(place) for n in (1, 2, -1, -2)}
+    marked = cells.withColumns({f"c{n}".replace("-", "_"): c for n, c in near.items()})
+    cell = F.col("cell")
+    opens = (cell == "$") & F.col("c1").rlike(SPLIT_NUMBER)
+    amount = (F.col("c_1") == "$") & cell.rlike(SPLIT_NUMBER)
+    unit = (F.col("c_2") == "$") & F.col("c_1").rlike(SPLIT_NUMBER) & cell.startswith("/")
+    whole = F.concat(F.lit("$"), "c1", F.when(F.col("c2").startswith("/"), F.col("c2")).otherwise(""))
+    return marked.where(~F.coalesce(amount, F.lit(False)) & ~F.coalesce(unit, F.lit(False))).withColumn(
+        "cell", F.when(F.coalesce(opens, F.lit(False)), whole).otherwise(cell)
+    ).select(*cells.columns)
+
+
+def is_strip_header(cell: Column, strips: str) -> Column:
+    """A column header: one that speaks of a price, or one that only names a commitment."""
+    if strips == "price":
+        return is_price_header(cell)
+    return F.coalesce((F.length(cell) <= 30) & commitment_of(cell).isNotNull(), F.lit(False))
+
+
+def price_columns(cells: DataFrame, sections: bool = False, strips: str = "price") -> DataFrame:
     """Header strips: each run of adjacent price headers, as ordered columns.
 
     Returns one row per column: (page, strip, slot, header, commitment). A strip
-    in which no column names a commitment is not a strip.
+    in which no column names a commitment is not a strip. With
+    ``strips="commitment"`` the headers are bare commitments, two at least.
     """
     place = Window.partitionBy(*PAGE).orderBy("pos")
     heading = F.when(
@@ -133,7 +169,7 @@ def price_columns(cells: DataFrame, sections: bool = False) -> DataFrame:
         & label_reading("cell").isNull(),
         commitment_of(F.col("cell")),
     )
-    marked = cells.withColumn("is_header", is_price_header(F.col("cell")))
+    marked = cells.withColumn("is_header", is_strip_header(F.col("cell"), strips))
     marked = marked.withColumn("section", F.last(heading, ignorenulls=True).over(place))
     heads = marked.where("is_header")
     # positions minus ranks are constant along a run of neighbours
@@ -144,7 +180,7 @@ def price_columns(cells: DataFrame, sections: bool = False) -> DataFrame:
     return (
         runs.withColumn("strip", F.min("pos").over(strip))
         .withColumn("named", F.count("commitment").over(strip))
-        .where("named > 0")
+        .where(F.col("named") > (0 if strips == "price" else 1))
         .select(
             *PAGE, "strip",
             F.row_number().over(strip.orderBy("pos")).alias("slot"),
@@ -154,40 +190,50 @@ def price_columns(cells: DataFrame, sections: bool = False) -> DataFrame:
 
 
 def priced_table(
-    cells: DataFrame, per_gpu: bool = True, sections: bool = False, max_label: int = 40, span: int = 9
+    cells: DataFrame, per_gpu: bool = True, sections: bool = False, max_label: int = 40, span: int = 9,
+    strips: str = "price",
 ) -> DataFrame:
     """Rows of every priced table: a label, then one amount per price column.
 
     A placeholder keeps its column's place. A row that talks of a commitment is
-    never read as on-demand.
+    never read as on-demand. Under bare commitment headers the memory ("80GB")
+    and the form factor have cells of their own right after the label and are
+    read with it.
     """
-    columns = price_columns(cells, sections)
+    apart = strips == "commitment"
+    columns = price_columns(cells, sections, strips)
     cell = F.col("cell")
     dollar, placeholder = cell.rlike(DOLLAR), cell.rlike(PLACEHOLDER)
     reading = label_reading("cell")
     kinds = cells.select(
         *PAGE, "pos", "cell",
         (reading.isNotNull() & (F.length(cell) <= max_label) & ~dollar).alias("breaks"),
-        is_price_header(cell).alias("is_header"),
+        is_strip_header(cell, strips).alias("is_header"),
         dollar.alias("dollar"),
         (dollar | placeholder).alias("is_slot"),
         cell.rlike(COMMITMENT_TALK).alias("talks"),
-        F.when(cell.rlike(r"^\d{2,3}$"), cell.try_cast("int")).alias("number"),
-    ).where(F.col("breaks") | F.col("is_header") | F.col("is_slot") | F.col("talks") | F.col("number").isNotNull())
+        (F.nullif(F.regexp_extract(cell, MEMORY_CELL, 1), F.lit("")).cast("int") if apart
+         else F.when(cell.rlike(r"^\d{2,3}$"), cell.try_cast("int"))).alias("number"),
+        (F.when(F.upper(cell).isin(*FORM_CELLS), cell) if apart else F.lit(None).cast("string")).alias("form_cell"),
+    ).where(
+        F.col("breaks") | F.col("is_header") | F.col("is_slot") | F.col("talks") | F.col("number").isNotNull()
+        | F.col("form_cell").isNotNull()
+    )
 
     place = Window.partitionBy(*PAGE).orderBy("pos")
-    ahead = place.rangeBetween(1, span)
-    memory = F.when(F.col("number").isin(*CARD_MEMORY), F.col("number"))
+    ahead = place.rangeBetween(1, 3 if apart else span)
+    memory = F.col("number") if apart else F.when(F.col("number").isin(*CARD_MEMORY), F.col("number"))
     starts = columns.select(*PAGE, F.col("strip").alias("pos"), F.lit(True).alias("opens")).distinct()
     placed = (
         kinds.join(starts, [*PAGE, "pos"], "left")
         .withColumn("strip", F.last(F.when(F.col("opens"), F.col("pos")), ignorenulls=True).over(place))
         .withColumn("memory_ahead", F.first(memory, ignorenulls=True).over(ahead))
+        .withColumn("form_ahead", F.coalesce(F.first("form_cell", ignorenulls=True).over(place.rangeBetween(1, 3)), F.lit("")))
         .withColumn(
             "label",
             F.last(
                 F.when(F.col("breaks"),
-                       F.struct("pos", "cell", "is_header", "strip", "memory_ahead")),
+                       F.struct("pos", "cell", "is_header", "strip", "memory_ahead", "form_ahead")),
                 ignorenulls=True,
             ).over(place),
         )
@@ -203,7 +249,7 @@ def priced_table(
         .withColumn("slot", F.row_number().over(row.orderBy("pos")))
         .select(
             *PAGE, F.col("label.pos").alias("pos"), F.col("label.cell").alias("label"), F.col("label.strip").alias("strip"),
-            F.col("label.memory_ahead").alias("memory_ahead"), "slot", "row_talks", "dollar",
+            F.col("label.memory_ahead").alias("memory_ahead"), F.col("label.form_ahead").alias("form_ahead"), "slot", "row_talks", "dollar",
             F.col("cell").alias("amount"),
         )
     )
@@ -215,7 +261,7 @@ def priced_table(
         .withColumn("price", markup.first_amount("amount"))
         .where("price > 0")
         .withColumn("vram", F.coalesce(first["vram_gb"], F.col("memory_ahead")))
-        .withColumn("gpu", label_reading("label", F.col("vram")))
+        .withColumn("gpu", label_reading(F.concat("label", F.lit(" "), "form_ahead"), F.col("vram")))
     )
     unit = "GPU" if per_gpu else "instance"
     return rows.select(
@@ -326,6 +372,99 @@ def sectioned_list(cells: DataFrame, span: int = 9, max_label: int = 40) -> Data
     )
 
 
+def counted_rows(cells: DataFrame, span: int = 9) -> DataFrame:
+    """Rows named "8x NVIDIA H100 …": a count, then specs, then the first hourly price.
+
+    The price is per GPU when its own cell or the column's header says so.
+    Reserved rows say so before the count, in the heading above them, or by a
+    term in the two cells after the price.
+    """
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    cell, low = F.col("cell"), F.lower("cell")
+    marked = cells.withColumns(
+        {
+            "is_row": cell.rlike(COUNTED_ROW),
+            "after": F.concat_ws(" ", F.lead("cell", 1).over(place), F.lead("cell", 2).over(place)),
+            "per_gpu_head": F.when(cell.rlike(PRICE_HEAD), cell.rlike(PER_GPU_HEAD)),
+        }
+    ).withColumns(
+        {
+            "row_pos": F.last(F.when(F.col("is_row"), F.col("pos")), ignorenulls=True).over(place),
+            "head_per_gpu": F.coalesce(F.last("per_gpu_head", ignorenulls=True).over(place), F.lit(False)),
+        }
+    )
+    hourly = markup.first_amount("cell").isNotNull() & low.rlike("hr|hour")
+    bare = F.col("head_per_gpu") & cell.rlike(BARE_PRICE)
+    own = ~F.col("is_row") & (F.col("pos") <= F.col("row_pos") + span)
+    row = Window.partitionBy(*PAGE, "row_pos")
+    priced = marked.withColumn(
+        "price_pos", F.min(F.when(own & (hourly | bare), F.col("pos"))).over(row)
+    )
+    outside = F.col("row_pos").isNull() | (F.col("pos") > F.coalesce("price_pos", "row_pos"))
+    heading = F.when(
+        outside & (F.length(cell) <= 80),
+        F.when(cell.rlike(ON_DEMAND_HEAD), "on_demand").when(cell.rlike(RESERVED_HEAD), "reserved"),
+    )
+    placed = priced.withColumn(
+        "section", F.coalesce(F.last(heading, ignorenulls=True).over(place), F.lit("on_demand"))
+    ).where("price_pos is not null and pos >= row_pos and pos <= price_pos")
+    at_row = lambda c: F.max(F.when(F.col("is_row"), F.col(c)))
+    at_price = lambda c: F.max(F.when(F.col("pos") == F.col("price_pos"), F.col(c)))
+    memory = F.nullif(F.regexp_extract("cell", MEMORY_CELL, 1), F.lit("")).cast("int")
+    rows = placed.groupBy(*PAGE, "row_pos").agg(
+        at_row("cell").alias("name"), at_row("section").alias("section"), at_price("cell").alias("amount"),
+        at_price("after").alias("after"), at_price("head_per_gpu").alias("head_per_gpu"),
+        F.min_by(memory, F.when(memory.isNotNull(), F.col("pos"))).alias("memory"),
+    )
+    prefix = F.lower(F.regexp_extract("name", COUNTED_ROW, 1))
+    squeezed = F.replace(F.lower("amount"), F.lit(" "), F.lit(""))
+    rows = rows.withColumns(
+        {
+            "gpu_count": F.regexp_extract("name", COUNTED_ROW, 2).cast("int"),
+            "label": F.regexp_extract("name", COUNTED_ROW, 3),
+            "price": markup.first_amount("amount"),
+            "commitment": F.when(prefix != "", F.when(prefix == "reserved", "reserved").otherwise("on_demand"))
+            .when((F.col("section") == "reserved") | F.col("after").rlike(ROW_TERM), "reserved").otherwise("on_demand"),
+            "per_gpu": squeezed.rlike(PER_GPU) | (F.col("head_per_gpu") & F.col("amount").rlike(BARE_PRICE)),
+        }
+    ).withColumn("gpu", label_reading("label", F.col("memory"))).where("price > 0 and gpu is not null")
+    total = F.when(F.col("per_gpu"), F.col("price") * F.col("gpu_count")).otherwise(F.col("price"))
+    return rows.select(
+        *PAGE, F.concat(F.col("gpu_count").cast("string"), F.lit("x "), "label").alias("sku"), "gpu.gpu_model", "gpu_count",
+        F.round(total, 6).alias("price_per_instance_hour"), "commitment", "gpu.form_factor", "gpu.interconnect",
+        "gpu.vram_gb", F.lit("quoted").alias("price_kind"), F.col("amount").alias("note"),
+    )
+
+
+def offer_cards(cells: DataFrame) -> DataFrame:
+    """Offers headed by a commitment and a fabric, then a rate, then "8-1016 HGX H100 GPUs".
+
+    The smallest rentable count is the configuration; the rate is per GPU.
+    """
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    ahead = [F.lead("cell", n).over(place) for n in range(1, 6)]
+    marked = cells.withColumns({f"c{n}": c for n, c in enumerate(ahead, 1)}).where(
+        (F.length("cell") <= 60) & F.col("cell").rlike(OFFER_HEAD) & F.col("c1").rlike(OFFER_RATE)
+    )
+    units = F.coalesce(*[F.when(F.col(f"c{n}").rlike(OFFER_UNITS), F.col(f"c{n}")) for n in range(2, 6)])
+    fabric = F.lower(F.regexp_extract("cell", OFFER_HEAD, 2))
+    rows = marked.withColumn("units", units).where("units is not null").withColumns(
+        {
+            "gpu_count": F.regexp_extract("units", OFFER_UNITS, 1).cast("int"),
+            "gpu": label_reading(F.regexp_extract("units", OFFER_UNITS, 2)),
+            "price": markup.first_amount("c1"),
+            "commitment": F.when(F.lower("cell").startswith("on"), "on_demand").otherwise("reserved"),
+            "fabric": F.when(fabric.contains("infiniband"), "infiniband").when(fabric.rlike("ethernet|roce"), "ethernet"),
+        }
+    ).where("gpu is not null")
+    return rows.select(
+        *PAGE, F.concat("cell", F.lit(" ("), F.regexp_extract("units", OFFER_UNITS, 0), F.lit(")")).alias("sku"),
+        "gpu.gpu_model", "gpu_count", F.round(F.col("price") * F.col("gpu_count"), 6).alias("price_per_instance_hour"),
+        "commitment", "gpu.form_factor", F.coalesce("fabric", "gpu.interconnect").alias("interconnect"), "gpu.vram_gb",
+        F.lit("quoted").alias("price_kind"), F.concat("c1", F.lit(" per GPU")).alias("note"),
+    )
+
+
 def price_cards(cells: DataFrame, span: int = 8) -> DataFrame:
     """Cards: a product, its prices, then a label saying what kind of price.
 
