@@ -363,6 +363,40 @@ def _(ws):
     return rows.select("source", "captured", "commitment", "gpu_count", r6("price_per_instance_hour", "price"))
 
 
+@register(
+    "tabbed_rows",
+    f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, s.n AS gpu_count, round(s.price, 6) AS price, {READING} AS gpu_model
+        FROM (SELECT *, unnest([{{'n': 8, 'price': {AMOUNT.format('300e0')} * 8}}, {{'n': 1, 'price': {AMOUNT.format('250e0')}}}]) AS s FROM part WHERE p_type IN ('ECONOMY', 'LARGE'))""",
+)
+def _(ws):
+    """Two tabs, two tables; a third table has no tab and is not read."""
+    label = F.when(F.col("p_type").isin("ECONOMY", "LARGE"), F.concat(F.lit("NVIDIA "), F.replace(_shown(), F.lit("NVIDIA "), F.lit("")))).otherwise("NVIDIA L4")
+    table = lambda divisor: F.concat(
+        F.lit("<p>PRICE/GPU/HR*</p><p>"), label, F.lit("</p><p>80 GB</p><p>26</p><p>"), _money(divisor), F.lit("</p>")
+    )
+    html = F.concat(F.lit("<body><p>8x</p><p>1x</p>"), table(300.0), table(250.0), table(100.0), F.lit("</body>"))
+    rows = C.tabbed_rows(C.page_cells(_page(ws, html)))
+    return rows.select("source", "captured", "gpu_count", r6("price_per_instance_hour", "price"), "gpu_model")
+
+
+@register(
+    "two_column_list",
+    f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, s.commitment, s.kind AS price_kind, round(s.price, 6) AS price
+        FROM (SELECT *, unnest(list_filter([{{'commitment': 'on_demand', 'kind': 'quoted', 'price': {AMOUNT.format('300e0')}}},
+          CASE WHEN p_size % 2 = 0 THEN {{'commitment': 'reserved', 'kind': 'from_floor', 'price': {AMOUNT.format('450e0')}}} END,
+          {{'commitment': 'spot', 'kind': 'quoted', 'price': {AMOUNT.format('600e0')}}}], lambda x: x IS NOT NULL)) AS s FROM part WHERE p_type <> 'SMALL')""",
+)
+def _(ws):
+    floor = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<p>Starts from</p><p>"), _money(450.0), F.lit("/hour</p>"))).otherwise("")
+    html = F.concat(
+        F.lit("<body><p>Pricing Per</p><p>Hour</p><p>Reservation</p><p>Pricing</p><p>"), _shown(), F.lit("</p><p>"), _money(300.0),
+        F.lit(" per Hour</p>"), floor, F.lit("<h2>Spot VM Pricing</h2><p>"), _shown(), F.lit("</p><p>"), _money(600.0), F.lit("/hour</p><p>"),
+        _money(90.0), F.lit("/hour</p></body>"),
+    )
+    rows = C.sectioned_list(C.page_cells(_page(ws, html)))
+    return rows.select("source", "captured", "commitment", "price_kind", r6("price_per_instance_hour", "price"))
+
+
 @register(
     "offer_cards",
     f"""SELECT 'page' || p_partkey AS source, {CAPTURED}, CASE WHEN p_size % 2 = 0 THEN 'on_demand' ELSE 'reserved' END AS commitment, 8 AS gpu_count,

@@ -330,7 +330,9 @@ def sectioned_list(cells: DataFrame, span: int = 9, max_label: int = 40) -> Data
     """Pages where a section heading sets the commitment and a label's first price counts.
 
     The heading carries forward to the next one. A price after "starts from" is
-    a floor, not a rate.
+    a floor, not a rate. Under a two-column header ("Pricing Per Hour |
+    Reservation Pricing") the first two prices count: the plain one is the
+    on-demand rate and the floor is the reservation's.
     """
     place = Window.partitionBy(*PAGE).orderBy("pos")
     cell, low = F.col("cell"), F.lower(F.trim("cell"))
@@ -342,8 +344,10 @@ def sectioned_list(cells: DataFrame, span: int = 9, max_label: int = 40) -> Data
         .when(low.startswith("spot"), "spot"),
     )
     price = r"(?i)^\$\s?(\d+(?:\.\d+)?)\s*(?:per\s+(?:gpu|hour)|/\s?hour|/\s?hr)?$"
+    before = F.lower(F.concat(F.lag("cell", 1).over(place), F.lag("cell", 2).over(place)))
+    two_columns = (F.lower("cell") == "reservation") & before.contains("per")
     marked = cells.select(
-        *PAGE, "pos", "cell", heading.alias("heading"),
+        *PAGE, "pos", "cell", F.when(F.coalesce(two_columns, F.lit(False)), "two_columns").otherwise(heading).alias("heading"),
         (product.isNotNull() & (F.length(cell) <= max_label) & ~cell.startswith("$")).alias("is_label"),
         cell.rlike(price).alias("is_price"),
         cell.rlike(r"(?i)^(starts|starting)\s+from$").alias("is_from"),
@@ -358,10 +362,15 @@ def sectioned_list(cells: DataFrame, span: int = 9, max_label: int = 40) -> Data
         placed.withColumn("floor", F.max("is_from").over(row))
         .where("is_price")
         .withColumn("nth", F.row_number().over(row))
-        .where("nth = 1")
+        .where("nth = 1 or (nth = 2 and label.section = 'two_columns')")
         .select(*PAGE, "label.*", "floor", markup.first_amount("cell").alias("price"))
         .where("price > 0")
         .withColumn("gpu", label_reading("cell"))
+        .withColumn(
+            "section",
+            F.when(F.col("section") != "two_columns", F.col("section"))
+            .when(F.col("floor"), "reserved").otherwise("on_demand"),
+        )
     )
     return prices.select(
         *PAGE, F.concat("cell", F.lit(" ["), "section", F.lit("]")).alias("sku"), "gpu.gpu_model",
@@ -436,6 +445,49 @@ def counted_rows(cells: DataFrame, span: int = 9) -> DataFrame:
     )
 
 
+def tabbed_rows(cells: DataFrame, span: int = 6) -> DataFrame:
+    """A strip of counts ("8x | 4x | 2x | 1x"), then one per-GPU table per count in that order."""
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    cell = F.col("cell")
+    tabs = cells.where(cell.rlike(r"^\d{1,2}x$")).withColumn("island", F.col("pos") - F.row_number().over(place))
+    run = Window.partitionBy(*PAGE, "island")
+    tabs = tabs.withColumns({"size": F.count(F.lit(1)).over(run), "opens": F.min("pos").over(run)}).where("size >= 2")
+    first = tabs.groupBy(*PAGE).agg(F.min("opens").alias("opens"), F.min_by("size", "opens").alias("size"))
+    counts = tabs.join(first.select(*PAGE, "opens"), [*PAGE, "opens"], "left_semi").select(
+        *PAGE, (F.col("pos") - F.col("opens") + 1).alias("table_no"), F.regexp_extract("cell", r"^(\d+)", 1).cast("int").alias("gpu_count")
+    )
+    below = cells.join(first, PAGE).where(F.col("pos") >= F.col("opens") + F.col("size"))
+    named = F.upper("cell").startswith("NVIDIA ")
+    marked = below.withColumns(
+        {
+            "table_no": F.sum(F.when(cell.rlike(PER_GPU_HEAD), 1).otherwise(0)).over(place),
+            "name_pos": F.last(F.when(named, F.col("pos")), ignorenulls=True).over(place),
+        }
+    ).where(f"table_no > 0 and pos <= name_pos + {span}")
+    row = Window.partitionBy(*PAGE, "name_pos")
+    bare = ~named & cell.rlike(BARE_PRICE)
+    placed = marked.withColumn("price_pos", F.min(F.when(bare, F.col("pos"))).over(row)).where("pos <= price_pos")
+    memory = F.nullif(F.regexp_extract("cell", MEMORY_CELL, 1), F.lit("")).cast("int")
+    rows = placed.groupBy(*PAGE, "name_pos").agg(
+        F.max(F.when(F.col("pos") == F.col("name_pos"), F.col("cell"))).alias("name"),
+        F.max(F.when(F.col("pos") == F.col("name_pos"), F.col("table_no"))).alias("table_no"),
+        F.max(F.when(F.col("pos") == F.col("price_pos"), F.col("cell"))).alias("amount"),
+        F.min_by(memory, F.when(memory.isNotNull(), F.col("pos"))).alias("memory"),
+    )
+    read = (
+        rows.where(F.length("name") <= 40)
+        .join(counts, [*PAGE, "table_no"])
+        .withColumns({"gpu": label_reading("name", F.col("memory")), "price": markup.first_amount("amount")})
+        .where("price > 0 and gpu is not null")
+    )
+    return read.select(
+        *PAGE, F.concat(F.col("gpu_count").cast("string"), F.lit("x "), "name", F.lit(" (tab)")).alias("sku"), "gpu.gpu_model",
+        "gpu_count", F.round(F.col("price") * F.col("gpu_count"), 6).alias("price_per_instance_hour"),
+        F.lit("on_demand").alias("commitment"), "gpu.form_factor", "gpu.interconnect", "gpu.vram_gb",
+        F.lit("quoted").alias("price_kind"), F.col("amount").alias("note"),
+    )
+
+
 def offer_cards(cells: DataFrame) -> DataFrame:
     """Offers headed by a commitment and a fabric, then a rate, then "8-1016 HGX H100 GPUs".
 
