@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, mixing, sharding
+from . import licenses, mixing, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,11 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_table_sharding", sharding.sql())
 def table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+@_query("op4_simhash_components")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), simhash.hex64(F.col("fp")).alias("fingerprint"), F.col("first").alias("component_id")
+    )
