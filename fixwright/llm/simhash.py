@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from ..sources.staging import written
 
 SEED = 42
-CHUNK = 2048  # fingerprints of a key that one side of a tile holds
+CHUNK = 1024  # fingerprints of a key that one side of a tile holds
 UNITS = 32_768  # blocks of 64 lanes compared in one go
+PAIRS = 4 * CHUNK * CHUNK  # pairs of rows whose links are held at once
+ROUNDS = 3  # forests of each tile when links are still to be held against the texts
 MINIMA = (10, 2)  # keys, and smallest hashes in each
 
 
@@ -123,12 +125,13 @@ def tiles(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
-def linked_lanes(query: np.ndarray, block: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which lanes of which blocks lie within the radius.
+def linked_lanes(query: np.ndarray, block: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Which lanes of which blocks lie within the radius, and how far away.
 
     Unit ``u`` compares fingerprint ``query[u]`` with block ``block[u]``; ``planes[p, k]``
     holds bit ``p`` of the 64 lanes of block ``k`` and ``valid[k]`` the lanes in use.
-    Returns the units that were not abandoned and their linked lanes as bits.
+    Returns the units that were not abandoned, their linked lanes as bits, and the bits of
+    each lane's distance, least first, plus ``2 ** bits - 1 - radius``.
     """
     depth = radius.bit_length()
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -147,11 +150,13 @@ def linked_lanes(query: np.ndarray, block: np.ndarray, planes: np.ndarray, valid
             if not live.all():
                 at, query, block, over = at[live], query[live], block[live], over[live]
                 counters = [c[live] for c in counters]
-    return at, ~over
+    return at, ~over, counters
 
 
-def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each group; rows come sorted by group, then side.
+def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join, closest first, all linked rows of each group; rows come sorted by group, then side.
+
+    Each further round gives such a forest of the links that the rounds before have left.
 
     In a group with both sides only links across are looked for, as other tiles have the rest.
     """
@@ -176,48 +181,76 @@ def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     target = np.where(paired, np.arange(len(cut)) + 1, np.where(alone, np.arange(len(cut)), -1))
     asks = np.flatnonzero(target[run] >= 0)
     per = words[target[run[asks]]]
-    label = np.arange(n)
     ends = np.cumsum(per)
+    found = []
     begin = 0
     while begin < len(asks):
         stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + UNITS, side="right")))
         some, count = asks[begin:stop], per[begin:stop]
         who = np.repeat(some, count)
         block = np.repeat(first[target[run[some]]], count) + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-        units, lanes = linked_lanes(fp[who], block, planes, valid, radius)
-        bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        u, at = np.nonzero(bits)
+        units, lanes, counters = linked_lanes(fp[who], block, planes, valid, radius)
+        u, at = np.nonzero(_lanes(lanes))
         left, right = who[units[u]], row_of[block[units[u]] * 64 + at]
-        _unite(label, left, right)
+        far = sum((_lanes(c)[u, at].astype(np.int8) << i for i, c in enumerate(counters)), np.zeros(len(u), dtype=np.int8))
+        new = (left < right) | (run[left] != run[right])
+        found.append((left[new], right[new], far[new]))
         begin = stop
-    child = np.flatnonzero(label != np.arange(n))
-    return fp[child], fp[label[child]]
+    if not found:
+        return fp[:0], fp[:0]
+    left, right, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    kept = []
+    for _ in range(rounds):
+        label, used = np.arange(n), np.zeros(len(far), dtype=bool)
+        for step in np.unique(far):
+            here = np.flatnonzero(far == step)
+            used[here[_unite(label, left[here], right[here])]] = True
+        kept.append((left[used], right[used]))
+        left, right, far = left[~used], right[~used], far[~used]
+    a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
+    return fp[a], fp[b]
 
 
-def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    """Merge label trees over the pairs, in place; a label is the smallest row of its tree."""
-    while True:
-        a, b = label[left], label[right]
+def _lanes(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Merge label trees over the pairs, in place, and return which pairs merged two.
+
+    A label is the smallest row of its tree.
+    """
+    at, used = np.arange(len(left)), [np.zeros(0, dtype=np.int64)]
+    while len(at):
+        a, b = label[left[at]], label[right[at]]
         apart = a != b
-        if not apart.any():
-            return
-        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        at, a, b = at[apart], a[apart], b[apart]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        pick = order[np.r_[True, high[order][1:] != high[order][:-1]][: len(order)]]  # one merge for each larger root
+        label[high[pick]] = low[pick]
+        used.append(at[pick])
         while (label != label[label]).any():
             label[:] = label[label]
+    return np.concatenate(used)
 
 
-def compared(tiled: DataFrame, radius: int) -> DataFrame:
-    """Rows (u, v) of linked fingerprints that span all links of all tiles."""
+def compared(tiled: DataFrame, radius: int, rounds: int = 1) -> DataFrame:
+    """Linked fingerprints (u, v): enough links to join all that are linked within each tile, the closest first."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-        def links(rows: np.ndarray) -> pa.RecordBatch:
+        def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
-            u, v = forest(np.cumsum(new), rows[:, 3], np.ascontiguousarray(rows[:, 4]).view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
+            sizes = np.diff(np.r_[np.flatnonzero(new), len(rows)])
+            part = np.repeat(np.cumsum(sizes * sizes) // PAIRS, sizes)  # whole tiles, few pairs at a time
+            group, fp = np.cumsum(new), np.ascontiguousarray(rows[:, 4]).view(np.uint64)
+            for x in np.unique(part):
+                here = part == x
+                u, v = forest(group[here], rows[here, 3], fp[here], radius, rounds)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
         for b in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
@@ -231,9 +264,9 @@ def compared(tiled: DataFrame, radius: int) -> DataFrame:
             whole = np.concatenate([*held, rows[:begin]])
             held = [rows[begin:]]
             if len(whole):
-                yield links(whole)
+                yield from links(whole)
         if held:
-            yield links(np.concatenate(held))
+            yield from links(np.concatenate(held))
 
     order = ["key", "a", "b"]
     return tiled.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(search, "u bigint, v bigint").distinct()
@@ -275,12 +308,14 @@ def near_duplicates(
     radius: int = 3,
     bands: int = 5,
     keys: tuple[int, int] | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """Rows (id, th, fp, first, first_th): a row for each input row with its component's first row.
 
     ``id`` is the key, ``th`` a hash of the text, ``fp`` the fingerprint; ``first`` and
     ``first_th`` belong to the component's row with the smallest key, null keys last.
-    With ``keys`` the minima find candidates, else bands do. Null and empty texts have
+    With ``keys`` the minima find candidates, else bands do. With ``similarity`` a link also
+    needs that share of the two texts' distinct shingles to be common to both. Null and empty texts have
     fingerprint zero and are linked like any other. Repeated rows stay repeated. An empty
     table gives an empty result. Only the two named columns are read.
     """
@@ -291,7 +326,9 @@ def near_duplicates(
         candidates = rows.select(F.explode("keys").alias("key"), "fp").distinct()
     else:
         candidates = classes.select(F.explode(band_keys(F.col("fp"), radius, bands)).alias("key"), "fp")
-    edges = written(compared(tiles(candidates), radius), "links")
+    edges = written(compared(tiles(candidates), radius, 1 if similarity is None else ROUNDS), "links")
+    if similarity is not None:
+        edges = written(similar(edges, classes, docs, key, text, words, similarity), "similar")
     roots = components(edges)
     tied = roots.join(classes, F.expr("node = fp")).select("fp", "root", "first")
     firsts = tied.groupBy("root").agg(F.min("first").alias("least"))
@@ -304,13 +341,42 @@ def near_duplicates(
     )
 
 
+def similar(edges: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
+    """The links whose texts share enough of their distinct shingles, one text standing for each fingerprint."""
+    ends = edges.select(F.col("u").alias("e")).union(edges.select("v")).distinct()
+    wanted = classes.join(ends, F.expr("fp = e")).select("fp", _id_text(F.col("first.id")).alias("i"), F.col("first.th").alias("t"))
+    texts = docs.select(
+        _id_text(F.col(f"`{key}`")).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text")
+    ).join(wanted, F.expr("id = i and th = t")).select("fp", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(hashes(shingles(t.as_py(), words)).astype(np.uint32).view(np.int32)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["fp", "parts"])
+
+    sets = written(texts.mapInArrow(read, "fp bigint, parts array<int>").dropDuplicates(["fp"]), "shingle-sets")
+    both = (
+        edges.join(sets.select(F.col("fp").alias("u"), F.col("parts").alias("left")), "u")
+        .join(sets.select(F.col("fp").alias("v"), F.col("parts").alias("right")), "v")
+        .withColumn("common", F.size(F.array_intersect("left", "right")))
+    )
+    return both.where(F.col("common") >= least * (F.size("left") + F.size("right") - F.col("common"))).select("u", "v")
+
+
+def _id_text(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit(""))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest key."""
+    """``docs`` with one row of each component: the one with the smallest key. Of repeated rows one stays."""
     found = near_duplicates(docs, key, text, **options)
-    stays = found.where("id <=> first and th <=> first_th").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    hashed = docs.withColumn("__t", F.xxhash64(F.col(f"`{text}`")))
-    numbered = hashed.withColumn("__n", F.row_number().over(Window.partitionBy(f"`{key}`", "__t").orderBy(F.lit(0)))).where("__n = 1")
-    return numbered.join(stays, F.expr(f"`{key}` <=> __id and __t <=> __th"), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    stays = found.where("id <=> first and th <=> first_th").select(_id_text(F.col("id")).alias("__a"), F.col("th").alias("__b")).distinct()
+    hashed = docs.withColumns({"__i": _id_text(F.col(f"`{key}`")), "__t": F.xxhash64(F.col(f"`{text}`"))})
+    numbered = hashed.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__t").orderBy(F.lit(0))))
+    return (
+        numbered.where("__n = 1").join(stays, F.expr("__i = __a and __t = __b"), "left_semi")
+        .select(*[f"`{c}`" for c in docs.columns])
+    )
 
 
 def hex64(fp: Column) -> Column:
