@@ -3,8 +3,10 @@
 A byte-level BPE tokenizer first cuts a text into pre-tokens and then merges each of
 them. Before any text is read, every string of the vocabulary is encoded alone; the ones
 that come out as the single token they stand for are proven whole. A pre-token that is
-one of them counts as one, without merging. Only the other pre-tokens go to the
-library's merges, each distinct one once while it stays in a bounded memory.
+one of them counts as one, without merging. Only the other pre-tokens are merged, each
+distinct one once while it stays in a bounded memory. Where the tokenizer's merges are
+listed in the order of the ids they make, which is checked, they run as ranks in the
+fast merge loop of a second library; otherwise the tokenizer's own library merges.
 
 The cut is made with the tokenizer's own pattern. For each distinct character outside
 ASCII the library is asked once whether it puts the character in the same class; a text
@@ -14,12 +16,14 @@ strings, is encoded by the library as a whole.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +58,7 @@ class Counter:
         self.cut = regex.compile(PATTERN).findall
         self.letter = regex.compile(r"(\p{L})|(\p{N})|(\s)").match
         self.whole = self._proven()
+        self.merge = self._ranked(path) or self._by_library
         self.merged: dict[str, int] = {}
         self.same: dict[str, bool] = {}
 
@@ -66,6 +71,25 @@ class Counter:
             t for t, i, e in zip(texts, ids.values(), alone, strict=True) if e.ids == [i] and self.cut(t) == [t] and t not in self.added
         )
 
+    def _by_library(self, pieces: list[str]) -> list[int]:
+        return list(map(len, self.library.encode_batch_fast(pieces, add_special_tokens=False)))
+
+    def _ranked(self, path: str):
+        """A merge loop over ranks, if ids are ranks: single bytes first, then one id for each merge in order."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte = _byte_of_letter()
+        vocab = model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or model.get("ignore_merges"):
+            return None
+        named = {t: i for t, i in vocab.items() if i < 256 + len(merges)}
+        if sorted(i for t, i in named.items() if len(t) == 1) != list(range(256)) or not all(c in byte for t in named for c in t):
+            return None
+        ranks = {bytes(byte[c] for c in t): i for t, i in named.items()}
+        one = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return lambda pieces: [len(one(p.encode())) for p in pieces]
+
     def _agrees(self, char: str) -> bool:
         """Whether the library puts a character in the class in which the pattern puts it."""
         found = self.letter(char)
@@ -92,15 +116,22 @@ class Counter:
         if len(self.merged) > REMEMBERED:
             self.merged.clear()
         new = list({p for r in rest for p in r if p not in self.merged})
-        self.merged.update(zip(new, map(len, self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        merged = self.merged
+        self.merged.update(zip(new, self.merge(new), strict=True))
+        merged = self.merged.__getitem__
         return [
             len(self.library.encode(t, add_special_tokens=False).ids) if c is None
-            else len(c) - len(r) + sum([merged[p] for p in r])
+            else len(c) - len(r) + sum(map(merged, r))
             for t, c, r in zip(texts, cut, rest, strict=True)
         ]
 
 
+def _byte_of_letter() -> dict[str, int]:
+    """The byte each letter of a byte-level vocabulary stands for: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     return Counter(path)
