@@ -53,41 +53,42 @@ class _Known(dict):
     """Tokens by a number, with the hash of their lowered form and what they may be."""
 
     def __init__(self) -> None:
-        self.hashes: list[int] = []
-        self.flags: list[int] = []
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
+        self.flags = np.zeros(1 << 16, dtype=np.int8)
 
     def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == len(self.flags):
+            self.hashes, self.flags = np.r_[self.hashes, np.zeros_like(self.hashes)], np.r_[self.flags, np.zeros_like(self.flags)]
         low = token.lower()
         flag = (
             _MARK if token[0] in ".!?:;\n" else _NUMBER if token[0].isdigit() or low in NUMBERS
             else (_UNIT if low in UNITS else 0) | (_CAPITAL if token[0].isupper() else 0)
         )
-        self.hashes.append(xxhash.xxh64_intdigest(low))
-        self.flags.append(flag)
-        self[token] = at = len(self.hashes) - 1
+        self.hashes[at], self.flags[at], self[token] = xxhash.xxh64_intdigest(low), flag, at
         return at
 
 
 _known = _Known()
 
 
-def canonical(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a text, hashes in the first and second reading, and the kind of each slot (0: a word)."""
+def canonical(text: str | None, spelt: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a text if asked for, hashes in the first and second reading, and the kind of each slot (0: a word)."""
     global _known
     if len(_known) > REMEMBERED:
         _known = _Known()
     found = TOKEN.findall(text or "")
     at = np.fromiter(map(_known.__getitem__, found), dtype=np.int64, count=len(found))
-    flags = np.fromiter(map(_known.flags.__getitem__, at.tolist()), dtype=np.int8, count=len(at))
+    flags = _known.flags[at]
     word = flags != _MARK
     starts = np.r_[True, ~word[:-1]][: len(word)][word]
     at, flags = at[word], flags[word]
-    tokens = [t for t, w in zip(found, word, strict=True) if w] if not word.all() else found
+    tokens = [t for t, w in zip(found, word.tolist(), strict=True) if w] if spelt else []
     number = flags == _NUMBER
     unit = (flags & _UNIT > 0) & np.r_[False, number[:-1]][: len(number)]
     name = (flags & _CAPITAL > 0) & ~starts & ~unit
     kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
-    plain = np.fromiter(map(_known.hashes.__getitem__, at.tolist()), dtype=np.uint64, count=len(at))
+    plain = _known.hashes[at]
     first = np.where(number | unit, _HOLDERS[kind], plain)
     return tokens, first, np.where(name, _HOLDERS[3], first), kind
 
@@ -106,7 +107,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def keyed(text: str | None, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each size and reading (size, reading, positions, keys); the second reading has only windows with a name."""
-    tokens, first, second, kind = canonical(text)
+    _, first, second, kind = canonical(text)
     named = kind == 3
     for size in sizes:
         a = windows(first, size)
@@ -136,7 +137,7 @@ def item_windows(items: DataFrame, words: int) -> DataFrame:
         for b in batches:
             take, out = [], ([], [], [], [], [])
             for i, t in enumerate(b.column(1).to_pylist()):
-                tokens, _, _, kind = canonical(t)
+                tokens, _, _, kind = canonical(t, spelt=True)
                 size = min(words, len(tokens))
                 if not size:
                     continue
@@ -180,7 +181,7 @@ def matched_windows(docs: DataFrame, key: str, text: str, sizes: list[int], may:
                     low = keys & mask
                     hit = np.flatnonzero(may[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32) & np.uint32(1))
                     if len(hit):
-                        tokens, _, _, kind = canonical(t)
+                        tokens, _, _, kind = canonical(t, spelt=True)
                         for p, k in zip(pos[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
                             take.append(i)
                             for o, v in zip(out, (p, k, _slots(tokens, kind, p, size, reading)), strict=True):
