@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -139,13 +139,18 @@ class WordAutomaton:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Words and stems with their weights; ``near`` are the weights of words with an edit."""
+    """Words and stems with how much more they are used in toxic texts, and how sure one use makes a text toxic.
+
+    Both are logarithms, of a ratio of rates and of odds; ``near`` is the first for words with an edit.
+    """
 
     words: tuple[str, ...] = ()
     weights: tuple[float, ...] = ()
+    sure: tuple[float, ...] = ()
     near: tuple[float, ...] = ()
     stems: tuple[str, ...] = ()
     stem_weights: tuple[float, ...] = ()
+    stem_sure: tuple[float, ...] = ()
 
 
 class Matcher:
@@ -154,10 +159,11 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.exact = {w: i for i, w in enumerate(lexicon.words)}
-        self.stems = dict(zip(lexicon.stems, lexicon.stem_weights, strict=True))
+        self.stems = dict(zip(lexicon.stems, zip(lexicon.stem_weights, lexicon.stem_sure, strict=True), strict=True))
         self.longest = max(map(len, lexicon.stems), default=0)
         self.automaton = WordAutomaton(list(lexicon.words))
         self.known: dict[str, float] = {}
+        self.sure: dict[str, float] = {}
 
     def entry(self, token: str) -> tuple[str, int, int] | None:
         """What a spelt token matches: a word, its number and edits, or a stem."""
@@ -169,23 +175,28 @@ class Matcher:
         found = self.automaton(token)
         return ("word", *found) if found and found[1] else None
 
-    def weight(self, raw: str) -> float:
+    def weight(self, raw: str) -> tuple[float, float]:
+        """Weight and sureness of a token; zeros if it matches nothing."""
         token = spelt(raw)
         found = self.entry(token) if token else None
         if found is None:
-            return 0.0
+            return 0.0, 0.0
         kind, i, edits = found
         if kind == "stem":
             return self.stems[token[:i]]
-        return self.lexicon.weights[i] if not edits else self.lexicon.near[i] * FADE**edits
+        at = self.lexicon
+        return (at.near[i] * FADE**edits, at.sure[i] * FADE**edits * (at.near[i] > 0)) if edits else (at.weights[i], at.sure[i])
 
     def weights(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+            self.sure.clear()
         for w in set(words):
             if w not in known:
-                known[w] = self.weight(w)
+                known[w], sure = self.weight(w)
+                if known[w]:
+                    self.sure[w] = sure
         return np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
 
 
@@ -216,8 +227,8 @@ def features(text: str | None, matcher: Matcher) -> tuple[float, ...]:
         return 0.0, 0.0, 0.0, 0.0
     apart = np.array([quoted(words, int(i)) for i in hits])
     abuse, other = found[hits[~apart]], found[hits[apart]]
-    total = float(abuse.sum())
-    return math.log1p(total), float(abuse.max(initial=0.0)), math.log1p(100 * total / len(words)), math.log1p(float(other.sum()))
+    total, peak = float(abuse.sum()), max((matcher.sure[words[i]] for i in hits[~apart]), default=0.0)
+    return math.log1p(total), peak, math.log1p(100 * total / len(words)), math.log1p(float(other.sum()))
 
 
 # Learning -----------------------------------------------------------------------------
@@ -280,19 +291,19 @@ def lexicon_of(rows: DataFrame) -> Lexicon:
         key=lambda x: x[:2],
     )[:MOST_ENTRIES]
     weight = lambda r: min(6.0, math.log(((r["toxic_uses"] + 0.5) / (t1 + 1)) / ((r["clean_uses"] + 0.5) / (t0 + 1))))
-    words = {e[2:]: weight(r) for _, e, r in scored if e[0] == "w"}
-    # a stem that opens nothing but one word says no more than the word, and the longest of equal stems says all
-    stems: dict[str, tuple[float, tuple]] = {}
+    sure = lambda r: max(0.0, math.log((r["toxic_texts"] + 0.5) / (r["clean_texts"] + 0.5)))
+    words = {e[2:]: r for _, e, r in scored if e[0] == "w" and weight(r) > 0}
+    stems = {}
     for _, e, r in sorted(scored, key=lambda x: len(x[1])):
-        if e[0] == "s":
-            counts = (r["toxic_texts"], r["clean_texts"])
-            stems = {s: v for s, v in stems.items() if not (e[2:].startswith(s) and v[1] == counts)}
-            stems[e[2:]] = (weight(r), counts)
-    words = {w: x for w, x in words.items() if x > 0}
-    kept = {s: v[0] for s, v in stems.items() if v[0] > 0}
-    names = sorted(words)
+        # a stem must open more than one word, and of stems in the same texts the longest says all
+        if e[0] == "s" and weight(r) > 0 and not any(w.startswith(e[2:]) and x["toxic_texts"] > 0.6 * r["toxic_texts"] for w, x in words.items()):
+            stems = {s: x for s, x in stems.items() if not (e[2:].startswith(s) and (x["toxic_texts"], x["clean_texts"]) == (r["toxic_texts"], r["clean_texts"]))}
+            stems[e[2:]] = r
+    w, s = sorted(words), sorted(stems)
+    weights = tuple(weight(words[x]) for x in w)
     return Lexicon(
-        tuple(names), tuple(words[w] for w in names), tuple(words[w] for w in names), tuple(sorted(kept)), tuple(kept[s] for s in sorted(kept))
+        tuple(w), weights, tuple(sure(words[x]) for x in w), weights,
+        tuple(s), tuple(weight(stems[x]) for x in s), tuple(sure(stems[x]) for x in s),
     )
 
 
@@ -365,7 +376,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         w if not near.get((i, 0)) else max(0.0, min(w, math.log((near.get((i, 1), 0) + 0.5) / (near[i, 0] + 0.5)) + 2))
         for i, w in enumerate(lexicon.weights)
     )
-    lexicon = Lexicon(lexicon.words, lexicon.weights, faded, lexicon.stems, lexicon.stem_weights)
+    lexicon = replace(lexicon, near=faded)
     fit = _featured(rows.where("h % 3 = 0").select("h", "toxic", "text"), "text", lexicon).drop("text").orderBy("h", "toxic", *FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in fit], dtype=float).reshape(len(fit), len(FEATURES))
     return Model(lexicon, tuple(_fitted(x, np.array([r["toxic"] for r in fit], dtype=float))))
