@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality, sharding, simhash, tokens, toxicity
+from . import decontaminate, katz, licenses, mixing, quality, sharding, simhash, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out(F.col("doc_id"), toxicity.HELD_OUT).alias("held_out"), "score", "predicted"
     )
+
+
+@_query("op6_katz_scores")
+def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.evaluate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
