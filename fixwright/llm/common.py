@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +31,14 @@ def shadowed(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns (in any case) that an operator is about to add under these names."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Which values the lowest ``bits`` bits of the keys take: ``2 ** bits`` bits, at most as many words to the driver."""
+    low = F.col("key").bitwiseAND(F.lit(2**bits - 1))
+    lows = keys.select(low.alias("low"))
+    words = lows.groupBy(F.expr("low div 32 as word")).agg(F.expr("bit_or(shiftleft(cast(1 as bigint), cast(low % 32 as int)))").alias("ones"))
+    found = words.toArrow()
+    out = np.zeros(2**bits // 32, dtype=np.uint32)
+    out[found["word"].to_numpy()] = found["ones"].to_numpy().astype(np.uint32)
+    return out

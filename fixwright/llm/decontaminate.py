@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import written
+from .common import bitmap
 
 WORDS, SIMILARITY = 5, 0.8
 BITMAP_BITS = 24
@@ -156,17 +157,6 @@ def item_windows(items: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(read, f"item {kind}, n bigint, size int, pos bigint, key bigint, slots {_SLOTS}")
 
 
-def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Which values the lowest ``bits`` bits of the keys take: ``2 ** bits`` bits, at most as many words to the driver."""
-    low = F.col("key").bitwiseAND(F.lit(2**bits - 1))
-    lows = keys.select(low.alias("low"))
-    words = lows.groupBy(F.expr("low div 32 as word")).agg(F.expr("bit_or(shiftleft(cast(1 as bigint), cast(low % 32 as int)))").alias("ones"))
-    out = np.zeros(2**bits // 32, dtype=np.uint32)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["ones"]
-    return out
-
-
 def matched_windows(docs: DataFrame, key: str, text: str, sizes: list[int], may: np.ndarray, bits: int) -> DataFrame:
     """Rows (id, pos, key, slots) of the documents' windows that the bitmap lets through."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
