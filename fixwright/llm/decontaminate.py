@@ -17,12 +17,12 @@ document when 0.8 or more of its windows are left.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,6 @@ from .common import bitmap
 
 WORDS, SIMILARITY = 5, 0.8
 BITMAP_BITS = 24
-REMEMBERED = 400_000  # distinct tokens that a worker keeps
 
 NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
@@ -43,55 +42,110 @@ UNITS = frozenset(
     " month months year years cent cents dollar dollars euro euros percent degree degrees meter meters metre metres"
     " kilometer kilometers kilometre kilometres kmh mph watt watts volt volts joule joules newton newtons".split()
 )
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;\n]")
-_MARK, _NUMBER, _UNIT, _CAPITAL = 1, 2, 4, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-KINDS = {"number": 1, "unit": 2, "name": 3}
-_HOLDERS = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in KINDS)], dtype=np.uint64)
+NUMBER, UNIT, NAME = 1, 2, 3
+BATCH = 4 << 20  # bytes of text read at once
 
 
-class _Known(dict):
-    """Tokens by a number, with the hash of their lowered form and what they may be."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
 
-    def __init__(self) -> None:
-        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
-        self.flags = np.zeros(1 << 16, dtype=np.int8)
 
-    def __missing__(self, token: str) -> int:
-        at = len(self)
-        if at == len(self.flags):
-            self.hashes, self.flags = np.r_[self.hashes, np.zeros_like(self.hashes)], np.r_[self.flags, np.zeros_like(self.flags)]
-        low = token.lower()
-        flag = (
-            _MARK if token[0] in ".!?:;\n" else _NUMBER if token[0].isdigit() or low in NUMBERS
-            else (_UNIT if low in UNITS else 0) | (_CAPITAL if token[0].isupper() else 0)
-        )
-        self.hashes[at], self.flags[at], self[token] = xxhash.xxh64_intdigest(low), flag, at
-        return at
-
-
-_known = _Known()
-
-
-def canonical(text: str | None, spelt: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a text if asked for, hashes in the first and second reading, and the kind of each slot (0: a word)."""
-    global _known
-    if len(_known) > REMEMBERED:
-        _known = _Known()
-    found = TOKEN.findall(text or "")
-    at = np.fromiter(map(_known.__getitem__, found), dtype=np.int64, count=len(found))
-    flags = _known.flags[at]
-    word = flags != _MARK
-    starts = np.r_[True, ~word[:-1]][: len(word)][word]
-    at, flags = at[word], flags[word]
-    tokens = [t for t, w in zip(found, word.tolist(), strict=True) if w] if spelt else []
-    number = flags == _NUMBER
-    unit = (flags & _UNIT > 0) & np.r_[False, number[:-1]][: len(number)]
-    name = (flags & _CAPITAL > 0) & ~starts & ~unit
-    kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
-    plain = _known.hashes[at]
-    first = np.where(number | unit, _HOLDERS[kind], plain)
-    return tokens, first, np.where(name, _HOLDERS[3], first), kind
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _STEP | np.uint64(1), dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hash(token: str) -> int:
+    b = np.frombuffer(token.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
+    return int(_mixed(np.array([(b * _powers(len(b))).sum()], dtype=np.uint64))[0])
+
+
+_LISTED = {_hash(w): NUMBER for w in NUMBERS} | {_hash(w): UNIT for w in UNITS}
+_LISTED_HASH = np.array(sorted(_LISTED), dtype=np.uint64)
+_LISTED_KIND = np.array([_LISTED[h] for h in sorted(_LISTED)], dtype=np.int8)
+_HOLDERS = np.array([0, *(_hash(f"<{k}>") for k in ("number", "unit", "name"))], dtype=np.uint64)
+
+_LETTER, _DIGIT, _STOP = 1, 2, 3
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[[ord(c) for c in ".!?:;\n"]] = _STOP
+
+
+@dataclass
+class Tokens:
+    """Tokens of some texts laid end to end: the text each is in, its bytes, its two hashes and the kind of slot (0: a word)."""
+
+    text: np.ndarray
+    buffer: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    kind: np.ndarray
+
+    def spelt(self, i: int) -> str:
+        return self.buffer[self.begin[i] : self.end[i]].decode(errors="replace")
+
+
+def _lowered(text: str) -> str:
+    """Lowered letter by letter where that keeps the length in bytes."""
+    low = text.lower()
+    if len(low.encode()) == len(text.encode()):
+        return low
+    return "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in text)
+
+
+def canonical(texts: list[str | None]) -> Tokens:
+    """Runs of letters and of digits (with points and commas between digits), read twice.
+
+    Letters are those of ASCII and all characters beyond it but the punctuation of Latin-1
+    and the general punctuation block.
+    """
+    whole = [t or "" for t in texts]
+    low = [_lowered(t).encode() + b"\n" for t in whole]
+    buffer = b"".join(low)
+    b = np.frombuffer(buffer, np.uint8)
+    given = np.frombuffer(b"\n".join(t.encode() for t in whole) + b"\n", np.uint8)
+    kind = _CLASS[b]
+    for lead, width in ((0xC2, 2), (0xE2, 3)):
+        at = np.flatnonzero(b == lead)
+        if width == 3:
+            at = at[b[at + 1] == 0x80]
+        for k in range(width):
+            kind[at + k] = 0
+    inner = np.flatnonzero((b == 46) | (b == 44))
+    inner = inner[(inner > 0) & (inner + 1 < len(b))]
+    kind[inner[(kind[inner - 1] == _DIGIT) & (kind[inner + 1] == _DIGIT)]] = _DIGIT
+    edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))
+    begin, end = edge[:-1], edge[1:]
+    what = kind[begin] if len(begin) else kind[:0]
+    word = (what == _LETTER) | (what == _DIGIT)
+    # a word begins a sentence if a stop lies between it and the word before
+    stops = np.cumsum(what == _STOP)[word]
+    starts = np.diff(stops, prepend=-1) != 0
+    begin, end, what = begin[word], end[word], what[word]
+    text = np.searchsorted(np.cumsum([len(x) for x in low]), begin, side="right")
+    n = end - begin
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    inside = b[(kind == _LETTER) | (kind == _DIGIT)].astype(np.uint64) + np.uint64(1)
+    inside *= _powers(int(n.max(initial=1)))[place]
+    plain = _mixed(np.add.reduceat(inside, np.cumsum(n) - n)) if len(n) else np.zeros(0, dtype=np.uint64)
+    at = np.minimum(np.searchsorted(_LISTED_HASH, plain), len(_LISTED_HASH) - 1)
+    listed = np.where(_LISTED_HASH[at] == plain, _LISTED_KIND[at], 0)
+    number = (what == _DIGIT) | (listed == NUMBER)
+    follows = np.r_[False, number[:-1] & (text[1:] == text[:-1])][: len(number)]
+    unit = (listed == UNIT) & follows
+    capital = given[begin] != b[begin]
+    wide = np.flatnonzero(b[begin] >= 128)
+    capital[wide] |= given[begin[wide] + 1] != b[begin[wide] + 1]
+    name = capital & ~starts & ~unit & ~number & (what == _LETTER)
+    slot = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
+    first = np.where(number | unit, _HOLDERS[slot], plain)
+    return Tokens(text, buffer, begin, end, first, np.where(name, _HOLDERS[NAME], first), slot)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -106,27 +160,28 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def keyed(text: str | None, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each size and reading (size, reading, positions, keys); the second reading has only windows with a name."""
-    _, first, second, kind = canonical(text)
-    named = kind == 3
+def keyed(tokens: Tokens, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each size and reading (size, reading, first tokens, keys); the second reading has only windows with a name."""
+    named = np.r_[0, np.cumsum(tokens.kind == NAME)]
     for size in sizes:
-        a = windows(first, size)
-        yield size, 1, np.arange(len(a)), a
-        if named.any() and len(a):
-            has = np.convolve(named, np.ones(size, dtype=np.int64), "valid") > 0
-            b = windows(second, size) ^ np.uint64(1)
-            yield size, 2, np.flatnonzero(has), b[has]
+        a = windows(tokens.first, size)
+        if not len(a):
+            continue
+        within = tokens.text[: len(a)] == tokens.text[size - 1 :][: len(a)]
+        yield size, 1, np.flatnonzero(within), a[within]
+        has = within & (named[size:] > named[:-size])
+        if has.any():
+            yield size, 2, np.flatnonzero(has), (windows(tokens.second, size) ^ np.uint64(1))[has]
 
 
 _SLOTS = "array<struct<kind:int,value:string>>"
 _ROWS = pa.schema([("pos", pa.int64()), ("key", pa.int64()), ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())])))])
 
 
-def _slots(tokens: list[str], kind: np.ndarray, pos: int, size: int, reading: int) -> list[dict]:
+def _slots(tokens: Tokens, at: int, size: int, reading: int) -> list[dict]:
     return [
-        {"kind": int(kind[i]), "value": tokens[i].lower()}
-        for i in range(pos, pos + size) if kind[i] and (kind[i] != 3 or reading == 2)
+        {"kind": int(tokens.kind[i]), "value": tokens.spelt(i)}
+        for i in range(at, at + size) if tokens.kind[i] and (tokens.kind[i] != NAME or reading == 2)
     ]
 
 
@@ -138,14 +193,14 @@ def item_windows(items: DataFrame, words: int) -> DataFrame:
         for b in batches:
             take, out = [], ([], [], [], [], [])
             for i, t in enumerate(b.column(1).to_pylist()):
-                tokens, _, _, kind = canonical(t, spelt=True)
-                size = min(words, len(tokens))
+                tokens = canonical([t])
+                size = min(words, len(tokens.kind))
                 if not size:
                     continue
-                for _, reading, pos, keys in keyed(t, [size]):
-                    for p, k in zip(pos.tolist(), keys.view(np.int64).tolist(), strict=True):
+                for _, reading, at, keys in keyed(tokens, [size]):
+                    for p, k in zip(at.tolist(), keys.view(np.int64).tolist(), strict=True):
                         take.append(i)
-                        for o, v in zip(out, (len(tokens) - size + 1, size, p, k, _slots(tokens, kind, p, size, reading)), strict=True):
+                        for o, v in zip(out, (len(tokens.kind) - size + 1, size, p, k, _slots(tokens, p, size, reading)), strict=True):
                             o.append(v)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(take, pa.int64())), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
@@ -161,25 +216,31 @@ def matched_windows(docs: DataFrame, key: str, text: str, sizes: list[int], may:
     """Rows (id, pos, key, slots) of the documents' windows that the bitmap lets through."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
 
+    mask = np.uint64(2**bits - 1)
+
+    def found(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        take, out = [], ([], [], [])
+        tokens = canonical(texts)
+        begins = np.searchsorted(tokens.text, np.arange(len(texts)))
+        for size, reading, at, keys in keyed(tokens, sizes):
+            low = keys & mask
+            hit = np.flatnonzero(may[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+            for p, k in zip(at[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
+                own = int(tokens.text[p])
+                take.append(own)
+                for o, v in zip(out, (p - int(begins[own]), k, _slots(tokens, p, size, reading)), strict=True):
+                    o.append(v)
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(take, pa.int64())), *(pa.array(o, f.type) for o, f in zip(out, _ROWS, strict=True))], ["id", *_ROWS.names]
+        )
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(2**bits - 1)
         for b in batches:
-            take, out = [], ([], [], [])
-            for i, t in enumerate(b.column(1)):
-                t = t.as_py()
-                for size, reading, pos, keys in keyed(t, sizes):
-                    low = keys & mask
-                    hit = np.flatnonzero(may[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32) & np.uint32(1))
-                    if len(hit):
-                        tokens, _, _, kind = canonical(t, spelt=True)
-                        for p, k in zip(pos[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
-                            take.append(i)
-                            for o, v in zip(out, (p, k, _slots(tokens, kind, p, size, reading)), strict=True):
-                                o.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(take, pa.int64())), *(pa.array(o, f.type) for o, f in zip(out, _ROWS, strict=True))],
-                ["id", *_ROWS.names],
-            )
+            sizes_in = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64)) // BATCH
+            cuts = [0, *(np.flatnonzero(np.diff(sizes_in)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j > i:
+                    yield found(b.column(0).slice(i, j - i), b.column(1).slice(i, j - i).to_pylist())
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(read, f"id {kind}, pos bigint, key bigint, slots {_SLOTS}")
