@@ -6,6 +6,9 @@ page and no page leaves the JVM.
 
 from __future__ import annotations
 
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,53 +19,98 @@ BLOCKS = (
     "h6", "span", "a", "button", "section", "article", "dt", "dd", "label",
     "strong", "b", "em", "small", "sup", "sub", "table", "ul", "ol",
 )
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
-    "trade": "™", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "deg": "°", "middot": "·",
-    "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "times": "×", "plusmn": "±",
-    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "uuml": "ü", "ouml": "ö",
-    "auml": "ä", "szlig": "ß", "check": "✓", "rarr": "→", "larr": "←", "amp": "&",
-}
 MONEY = r"\$\s?(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)"
 # ---------------------------------------------------------------------------
 
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-CELL = "\u0001"
-
-
-def _numeric_entities(text: Column) -> Column:
-    """Replace &#8212; and &#x2014; forms by their characters."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
+# a quote opens a value only right after an equals sign; elsewhere it is a character like any other
+_ATTRIBUTES = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+"""
+_RAW = ("script", "style")  # what they hold is never markup
+_NESTED = tuple(t for t in SKIPPED if t not in _RAW)
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+CELL, _CUT, _OPEN, _CLOSE = "\u0001", "\u0004", "\u0002", "\u0003"
+
+
+@cache
+def _names() -> tuple[dict[str, str], str]:
+    """The standard's named references, and a pattern of those that may lack their semicolon."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return dict(html5), "|".join(bare)
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a numeric reference; the old Windows letters stand for 128 to 159, as browsers read them."""
+    windows = {}
+    for b in range(0x80, 0xA0):
+        try:
+            windows[b] = bytes([b]).decode("cp1252")
+        except UnicodeDecodeError:
+            windows[b] = chr(b)
+    remapped = F.get(F.array(*[F.lit(windows[b]) for b in sorted(windows)]), (code - 0x80).cast("int"))
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (
+        code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE
+    )
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+        .when(code.between(0x80, 0x9F), remapped).when(control, "").otherwise(character)
+    )
 
-    def character(ref: Column) -> Column:
-        code = F.when(
-            F.lower(ref).startswith("x"), F.conv(F.substring(ref, 2, 8), 16, 10)
-        ).otherwise(ref).cast("long")
-        safe = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
-        return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
-    replaced = F.aggregate(
-        found, text, lambda acc, ref: F.replace(acc, F.concat(F.lit("&#"), ref, F.lit(";")), character(ref))
+def _read_reference(ref: Column) -> Column:
+    """What stands for one reference, given without its ampersand; unknown names stay as they are."""
+    names, bare = _names()
+    table = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values())))
+    digits = F.regexp_extract(ref, r"^#[xX]?([0-9a-fA-F]+);?$", 1)
+    # more digits than any character has would not fit a number
+    short = F.when(F.length(F.ltrim(F.lit("0"), digits)) <= 8, digits)
+    code = F.when(F.lower(ref).startswith("#x"), F.conv(short, 16, 10)).otherwise(short).cast("long")
+    prefix = F.regexp_extract(ref, f"^({bare})", 1)
+    named = F.coalesce(
+        F.try_element_at(table, ref),
+        F.when(prefix != "", F.concat(F.try_element_at(table, prefix), F.substr(ref, F.length(prefix) + 1))),
+        F.concat(F.lit("&"), ref),
     )
-    return F.when(text.contains("&#"), replaced).otherwise(text)
+    return F.when(ref.startswith("#"), _code_point(code)).otherwise(named)
 
 
 def unescape(text: Column) -> Column:
-    """Named and numeric character references, ``&amp;`` last so nothing is read twice."""
-    out = _numeric_entities(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    """Named and numeric character references, each read once, with or without a semicolon."""
+    parts, refs = F.split(text, _REFERENCE), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
+    read = F.zip_with(parts, refs, lambda part, ref: F.concat(part, F.when(ref.isNull(), "").otherwise(_read_reference(ref))))
+    return F.when(text.contains("&"), F.array_join(read, "")).otherwise(text)
 
 
-def cells(html: str | Column) -> Column:
-    """The page's visible text, one entry per block, in reading order."""
-    out = F.col(html) if isinstance(html, str) else html
+def _visible(html: Column) -> Column:
+    """A page without comments and without what stands inside skipped elements, nested ones included.
+
+    Comments and raw elements are cut in document order, whichever opens first. The other
+    skipped elements are counted in and out; what is never closed hides the rest.
+    """
+    raw = "|".join(_RAW)
+    out = F.regexp_replace(html, "[\u0001-\u0004]", " ")
     out = F.regexp_replace(
-        out, rf"(?is)<({'|'.join(SKIPPED)})(?=[\s/>]){_ATTRIBUTES}>.*?</\1\s*>", ""
+        out, rf"(?is)<!--.*?(?:-->|\z)|<({raw})(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\1\s*+(?:>|[^>]++>)|\z)", ""
     )
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
+    nested = "|".join(_NESTED)
+    out = F.regexp_replace(out, rf"(?i)<(?:{nested})(?=[\s/>]){_ATTRIBUTES}(?<!/)>", _CUT + _OPEN)
+    out = F.regexp_replace(out, rf"(?i)</(?:{nested})(?=[\s/>])[^>]*+>", _CUT + _CLOSE)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(at: Column, piece: Column) -> Column:
+        mark = F.substring(piece, 1, 1)
+        depth = (
+            F.when(mark == _OPEN, at["depth"] + 1).when(mark == _CLOSE, F.greatest(at["depth"] - 1, F.lit(0))).otherwise(at["depth"])
+        )
+        text = F.when(mark.isin(_OPEN, _CLOSE), F.substring(piece, 2, 2_147_483_647)).otherwise(piece)
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(at["kept"], text)).otherwise(at["kept"]).alias("kept"))
+
+    folded = F.aggregate(F.split(out, _CUT), start, step)["kept"]
+    return F.when(out.contains(_CUT), folded).otherwise(out)
+
+
+def cells(html: str | Column) -> Column:
+    """Text cells of a page as a reader meets them: one for each run between block tags, spaces folded, none empty."""
+    out = _visible(F.col(html) if isinstance(html, str) else html)
     out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?=[\s/>]){_ATTRIBUTES}>", CELL)
     out = F.regexp_replace(out, rf"<[!?/a-zA-Z]{_ATTRIBUTES}>", "")
     parts = F.transform(

@@ -51,6 +51,21 @@ RECORD_PRICES = {
     "secureSpotPrice": "spot", "communitySpotPrice": "spot",
 }
 ATTRIBUTE_ROW = r'class="gpu-pricing-row[ "]|class="gpu_table-row"'
+RECORD_SPAN = 2000
+ATTRIBUTE_SPAN = 4000
+LABEL_COUNT = r"^(\d)\s*[×x]\s*(.+)$"
+SPLIT_RATE = r"(?i)^\d+(?:\.\d+)?\s*per\s+hour$"
+SECTION_PRICE = r"(?i)^\$\s?(\d+(?:\.\d+)?)\s*(?:per\s+(?:gpu|hour)|/\s?hour|/\s?hr)?$"
+FROM_CELL = r"(?i)^(starts|starting)\s+from$"
+SIZED_HEAD = "on-demand gpu instances"
+SIZED_COUNTS = (1, 2, 4, 8)
+SIZED_MEMORY = (80, 94, 141, 180, 192)
+SIZED_PRICE = r"^\$\s?\d{1,3}(?:,\d{3})*(?:\.\d+)?$"
+COMPONENT_HEAD = "gpu component"
+WHOLE_NUMBER = r"^\d{1,4}(?:,\d{3})?$"
+MARKET_MEMORY = r"(?i)^(\d{2,3})\s?GB VRAM$"
+MARKET_RATE = r"(?i)^\$\s?\d+(\.\d+)?\s?/\s?hr$"
+ON_DEMAND_NOTE = r"on-demand pricing for (H100|H200|B200|A100[-\w]*) is \$(\d+(?:\.\d+)?)\s*(?:/|per)\s*hour"
 # ---------------------------------------------------------------------------
 
 
@@ -135,13 +150,14 @@ def manifest(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame
 
 
 def joined_prices(cells: DataFrame) -> DataFrame:
-    """Prices split over cells ("$ | 3.90 | /hr") put back into the first of them."""
+    """Prices split over cells ("$ | 3.90 | /hr", "$ | 2.40 per hour") put back into the first of them."""
     place = Window.partitionBy(*PAGE).orderBy("pos")
     near = {n: F.lead("cell", n).over(place) if n > 0 else F.lag("cell", -n).over(place) for n in (1, 2, -1, -2)}
     marked = cells.withColumns({f"c{n}".replace("-", "_"): c for n, c in near.items()})
     cell = F.col("cell")
-    opens = (cell == "$") & F.col("c1").rlike(SPLIT_NUMBER)
-    amount = (F.col("c_1") == "$") & cell.rlike(SPLIT_NUMBER)
+    number = lambda c: c.rlike(SPLIT_NUMBER) | c.rlike(SPLIT_RATE)
+    opens = (cell == "$") & number(F.col("c1"))
+    amount = (F.col("c_1") == "$") & number(cell)
     unit = (F.col("c_2") == "$") & F.col("c_1").rlike(SPLIT_NUMBER) & cell.startswith("/")
     whole = F.concat(F.lit("$"), "c1", F.when(F.col("c2").startswith("/"), F.col("c2")).otherwise(""))
     return marked.where(~F.coalesce(amount, F.lit(False)) & ~F.coalesce(unit, F.lit(False))).withColumn(
@@ -196,7 +212,8 @@ def priced_table(
     """Rows of every priced table: a label, then one amount per price column.
 
     A placeholder keeps its column's place. A row that talks of a commitment is
-    never read as on-demand. Under bare commitment headers the memory ("80GB")
+    never read as on-demand. A label may begin with a count ("8 x ..."); its
+    price is then the instance's, unless the header says it is a GPU's. Under bare commitment headers the memory ("80GB")
     and the form factor have cells of their own right after the label and are
     read with it.
     """
@@ -264,12 +281,15 @@ def priced_table(
         .withColumn("gpu", label_reading(F.concat("label", F.lit(" "), "form_ahead"), F.col("vram")))
     )
     unit = "GPU" if per_gpu else "instance"
+    count = F.coalesce(F.nullif(F.regexp_extract("label", LABEL_COUNT, 1), F.lit("")).cast("int"), F.lit(1))
+    head = F.replace(F.lower("header"), F.lit(" "), F.lit(""))
+    each = head.contains("gpu-hour") | head.rlike(PER_GPU)
     return rows.select(
         *PAGE,
         F.concat("label", F.lit(" ["), "header", F.lit("]")).alias("sku"),
         "gpu.gpu_model",
-        F.lit(1).alias("gpu_count"),
-        F.round("price", 6).alias("price_per_instance_hour"),
+        count.alias("gpu_count"),
+        F.round(F.when(each, F.col("price") * count).otherwise(F.col("price")), 6).alias("price_per_instance_hour"),
         "commitment",
         "gpu.form_factor",
         "gpu.interconnect",
@@ -343,19 +363,18 @@ def sectioned_list(cells: DataFrame, span: int = 9, max_label: int = 40) -> Data
         .when(low.rlike("^(reservation|reserved)"), "reserved")
         .when(low.startswith("spot"), "spot"),
     )
-    price = r"(?i)^\$\s?(\d+(?:\.\d+)?)\s*(?:per\s+(?:gpu|hour)|/\s?hour|/\s?hr)?$"
     before = F.lower(F.concat(F.lag("cell", 1).over(place), F.lag("cell", 2).over(place)))
     two_columns = (F.lower("cell") == "reservation") & before.contains("per")
     marked = cells.select(
         *PAGE, "pos", "cell", F.when(F.coalesce(two_columns, F.lit(False)), "two_columns").otherwise(heading).alias("heading"),
         (product.isNotNull() & (F.length(cell) <= max_label) & ~cell.startswith("$")).alias("is_label"),
-        cell.rlike(price).alias("is_price"),
-        cell.rlike(r"(?i)^(starts|starting)\s+from$").alias("is_from"),
+        cell.rlike(SECTION_PRICE).alias("is_price"),
+        cell.rlike(FROM_CELL).alias("is_from"),
     ).where("heading is not null or is_label or is_price or is_from")
     placed = (
         marked.withColumn("section", F.last("heading", ignorenulls=True).over(place))
         .withColumn("label", F.last(F.when(F.col("is_label"), F.struct("pos", "cell", "section")), ignorenulls=True).over(place))
-        .where("label.section is not null and not is_label and pos <= label.pos + 9")
+        .where(f"label.section is not null and not is_label and pos <= label.pos + {span}")
     )
     row = Window.partitionBy(*PAGE, "label.pos").orderBy("pos")
     prices = (
@@ -385,6 +404,7 @@ def counted_rows(cells: DataFrame, span: int = 9) -> DataFrame:
     """Rows named "8x NVIDIA H100 …": a count, then specs, then the first hourly price.
 
     The price is per GPU when its own cell or the column's header says so.
+    Short cells that name a product ("H100 SXM") are read with the label.
     Reserved rows say so before the count, in the heading above them, or by a
     term in the two cells after the price.
     """
@@ -420,8 +440,11 @@ def counted_rows(cells: DataFrame, span: int = 9) -> DataFrame:
     at_row = lambda c: F.max(F.when(F.col("is_row"), F.col(c)))
     at_price = lambda c: F.max(F.when(F.col("pos") == F.col("price_pos"), F.col(c)))
     memory = F.nullif(F.regexp_extract("cell", MEMORY_CELL, 1), F.lit("")).cast("int")
+    spec = ~F.col("is_row") & (F.length("cell") <= 12) & (F.col("pos") < F.col("price_pos")) & label_reading("cell").isNotNull() & memory.isNull()
+    # a row spans a few cells, so its short ones are few
+    specs = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(spec, F.struct("pos", "cell")))), lambda x: x["cell"]), " ")
     rows = placed.groupBy(*PAGE, "row_pos").agg(
-        at_row("cell").alias("name"), at_row("section").alias("section"), at_price("cell").alias("amount"),
+        specs.alias("specs"), at_row("cell").alias("name"), at_row("section").alias("section"), at_price("cell").alias("amount"),
         at_price("after").alias("after"), at_price("head_per_gpu").alias("head_per_gpu"),
         F.min_by(memory, F.when(memory.isNotNull(), F.col("pos"))).alias("memory"),
     )
@@ -430,7 +453,7 @@ def counted_rows(cells: DataFrame, span: int = 9) -> DataFrame:
     rows = rows.withColumns(
         {
             "gpu_count": F.regexp_extract("name", COUNTED_ROW, 2).cast("int"),
-            "label": F.regexp_extract("name", COUNTED_ROW, 3),
+            "label": F.rtrim(F.concat_ws(" ", F.regexp_extract("name", COUNTED_ROW, 3), "specs")),
             "price": markup.first_amount("amount"),
             "commitment": F.when(prefix != "", F.when(prefix == "reserved", "reserved").otherwise("on_demand"))
             .when((F.col("section") == "reserved") | F.col("after").rlike(ROW_TERM), "reserved").otherwise("on_demand"),
@@ -644,9 +667,17 @@ def starred_cards(cells: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(pages: DataFrame, text: Column, marker: str) -> DataFrame:
-    """A page's text cut at every marker; the part before the first one is dropped."""
-    return pages.select(*PAGE, F.posexplode(F.split(text, marker)).alias("pos", "piece")).where("pos > 0")
+def _pieces(pages: DataFrame, text: Column, marker: str, span: int) -> DataFrame:
+    """A page's text cut at every marker; the part before the first one is dropped.
+
+    The last piece ends ``span`` characters after its marker began.
+    """
+    cut = pages.select(*PAGE, F.split(text, marker).alias("pieces"), F.regexp_extract_all(text, F.lit(f"({marker})"), F.lit(1)).alias("marks"))
+    each = cut.select(
+        *PAGE, F.posexplode("pieces").alias("pos", "piece"), F.size("pieces").alias("n"), F.length(F.try_element_at("marks", F.lit(-1))).alias("mark")
+    ).where("pos > 0")
+    last = F.substr("piece", F.lit(1), span - F.col("mark"))
+    return each.withColumn("piece", F.when(F.col("pos") == F.col("n") - 1, last).otherwise(F.col("piece"))).drop("n", "mark")
 
 
 def _offer_rows(rows: DataFrame, note: Column) -> DataFrame:
@@ -658,11 +689,15 @@ def _offer_rows(rows: DataFrame, note: Column) -> DataFrame:
 
 
 def embedded_records(pages: DataFrame) -> DataFrame:
-    """Typed records embedded in a page's scripts, one price field per commitment."""
+    """Typed records embedded in a page's scripts, one price field per commitment.
+
+    A record ends where the next begins, the last one after ``RECORD_SPAN`` characters. A
+    price given as null is no price, whatever follows it.
+    """
     text = F.replace("html", F.lit('\\"'), F.lit('"'))
     field = lambda key: F.nullif(F.regexp_extract("piece", rf'"{key}":\s*"([^"]*)"', 1), F.lit(""))
-    number = lambda key: F.regexp_extract("piece", rf'"{key}":\s*(-?\d+(?:\.\d+)?)', 1).try_cast("double")
-    records = _pieces(pages.where(F.col("html").contains("GpuType")), text, RECORD).withColumns(
+    number = lambda key: F.regexp_extract("piece", rf'"{key}":\s*(null|-?\d+(?:\.\d+)?)', 1).try_cast("double")
+    records = _pieces(pages.where(F.col("html").contains("GpuType")), text, RECORD, RECORD_SPAN).withColumns(
         {"name": field("displayName"), "ident": F.coalesce(field("id"), F.lit("")), "vram": number("memoryInGb").cast("int")}
     ).where("name is not null")
     offers = records.select(
@@ -687,7 +722,7 @@ def row_attributes(pages: DataFrame) -> DataFrame:
     pick = lambda *patterns: F.coalesce(
         *[F.nullif(F.regexp_extract("piece", p, 1), F.lit("")) for p in patterns]
     )
-    rows = _pieces(pages.where(F.col("html").rlike(ATTRIBUTE_ROW)), F.col("html"), ATTRIBUTE_ROW).withColumns(
+    rows = _pieces(pages.where(F.col("html").rlike(ATTRIBUTE_ROW)), F.col("html"), ATTRIBUTE_ROW, ATTRIBUTE_SPAN).withColumns(
         {
             "name": F.trim(pick(r'data-line-clamp=""[^>]*>([^<]{2,40})</div>', r'class="gpu_name[^"]*">([^<]{2,40})<')),
             "vram": pick(r">(\d{2,3})</div><div[^>]*>GB VRAM<", r">(\d{2,3}) GB VRAM<").cast("int"),
@@ -707,26 +742,33 @@ def row_attributes(pages: DataFrame) -> DataFrame:
     return _offer_rows(long, F.concat(F.lit("row attribute "), "market"))
 
 
+def json_nodes(blocks: DataFrame, depth: int = 8) -> DataFrame:
+    """Every object within JSON texts (column ``block``), down to ``depth`` levels, as variants ``node``."""
+    spark = blocks.sparkSession
+    keep = [c for c in blocks.columns if c != "block"]
+    level = blocks.select(*keep, F.try_parse_json("block").alias("node")).where("node is not null")
+    found = level
+    for _ in range(depth):
+        children = spark.tvf.variant_explode(F.col("node").outer()).select(F.col("value").alias("child"))
+        level = level.lateralJoin(children).select(*keep, F.col("child").alias("node")).where("schema_of_variant(node) rlike '^(OBJECT|ARRAY)'")
+        found = found.unionByName(level)
+    return found.where("schema_of_variant(node) like 'OBJECT%'")
+
+
 def structured_offers(pages: DataFrame) -> DataFrame:
-    """schema.org product records: one offer per market."""
+    """schema.org product records, wherever in a page's structured data they stand: one offer per market."""
     blocks = F.regexp_extract_all(
         "html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)
     )
-    offer = "array<struct<name:string, price:string, priceCurrency:string>>"
-    product = f"`@type` string, name string, offers struct<offers:{offer}>"
-    graph = f"`@graph` array<struct<{product.replace('` string', '`:string').replace('name string', 'name:string').replace('offers struct', 'offers:struct')}>>"
-    parsed = pages.where(F.col("html").contains("ld+json")).select(*PAGE, F.explode(blocks).alias("block")).select(
-        *PAGE,
-        F.explode(
-            F.concat(
-                F.array(F.from_json("block", product)),
-                F.coalesce(F.from_json("block", graph)["@graph"], F.array().cast(f"array<struct<`@type`:string,name:string,offers:struct<offers:{offer}>>>")),
-            )
-        ).alias("p"),
-    ).where(F.col("p")["@type"] == "Product")
+    text = lambda path: F.try_variant_get("node", path, "string")
+    offers = "array<struct<name:string, price:string, priceCurrency:string>>"
+    listed = lambda path: F.try_variant_get("node", path, offers)
+    products = json_nodes(pages.where(F.col("html").contains("ld+json")).select(*PAGE, F.explode(blocks).alias("block"))).where(
+        text("$['@type']") == "Product"
+    )
     rows = (
-        parsed.select(*PAGE, F.replace("p.name", F.lit(" GPU on Runpod"), F.lit("")).alias("name"),
-                      F.explode("p.offers.offers").alias("o"))
+        products.select(*PAGE, F.replace(text("$.name"), F.lit(" GPU on Runpod"), F.lit("")).alias("name"),
+                        F.explode(F.coalesce(listed("$.offers.offers"), listed("$.offers"))).alias("o"))
         .where("o.priceCurrency = 'USD' and o.name in ('Secure Cloud', 'Community Cloud')")
         .withColumns(
             {
@@ -740,6 +782,113 @@ def structured_offers(pages: DataFrame) -> DataFrame:
     return _offer_rows(rows, F.concat(F.lit("schema.org Offer '"), "o.name", F.lit("'")))
 
 
+def _ahead(cells: DataFrame, n: int) -> DataFrame:
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    return cells.withColumns({f"c{i}": F.lead("cell", i).over(place) for i in range(1, n + 1)})
+
+
+def sized_instances(cells: DataFrame) -> DataFrame:
+    """Rows below an on-demand heading: a label, the count, the memory of a card, more sizes, the instance's price.
+
+    The label may stand twice. Counts and memories that no instance has are not read.
+    """
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    head = F.max(F.lower("cell").startswith(SIZED_HEAD)).over(place)
+    near = _ahead(cells, 9).withColumn("below", head)
+    shift = F.col("c1") == F.col("cell")
+    at = lambda i: F.when(shift, F.col(f"c{i + 1}")).otherwise(F.col(f"c{i}"))
+    whole = lambda c: F.when(c.rlike(r"^\d+$"), c.try_cast("int"))
+    amounts = [F.when(at(i).rlike(SIZED_PRICE), at(i)) for i in range(3, 9)]
+    rows = near.where(F.col("below") & (F.length("cell") <= 30)).select(
+        *PAGE, F.col("cell").alias("label"), whole(at(1)).alias("gpu_count"), whole(at(2)).alias("vram"), F.coalesce(*amounts).alias("amount"),
+    ).where(F.col("gpu_count").isin(*SIZED_COUNTS) & F.col("vram").isin(*SIZED_MEMORY) & F.col("amount").isNotNull())
+    rows = rows.withColumns({"gpu": label_reading("label", F.col("vram")), "price": markup.first_amount("amount")}).where("gpu is not null and price > 0")
+    return rows.select(
+        *PAGE, F.concat("label", F.lit(" x"), F.col("gpu_count").cast("string")).alias("sku"), "gpu.gpu_model", "gpu_count",
+        F.col("price").alias("price_per_instance_hour"), F.lit("on_demand").alias("commitment"), "gpu.form_factor", "gpu.interconnect",
+        "gpu.vram_gb", F.lit("quoted").alias("price_kind"), F.concat("amount", F.lit(" per instance-hour")).alias("note"),
+    )
+
+
+def component_table(cells: DataFrame) -> DataFrame:
+    """Rows of a table of GPU component prices: a label, three whole numbers, the price of the GPU alone.
+
+    They carry ``basis`` gpu_component: the host is billed beside them.
+    """
+    page = Window.partitionBy(*PAGE)
+    spoken = F.max((F.length("cell") < 60) & F.lower("cell").contains(COMPONENT_HEAD)).over(page)
+    near = _ahead(cells, 4).withColumn("spoken", spoken)
+    rows = near.where(
+        F.col("spoken") & (F.length("cell") <= 30) & F.col("c1").rlike(WHOLE_NUMBER) & F.col("c2").rlike(WHOLE_NUMBER)
+        & F.col("c3").rlike(WHOLE_NUMBER) & F.col("c4").rlike(SIZED_PRICE)
+    ).withColumns(
+        {"gpu": label_reading("cell", F.replace("c1", F.lit(","), F.lit("")).try_cast("int")), "price": markup.first_amount("c4")}
+    ).where("gpu is not null")
+    return rows.select(
+        *PAGE, F.concat("cell", F.lit(" (GPU component)")).alias("sku"), "gpu.gpu_model", F.lit(1).alias("gpu_count"),
+        F.col("price").alias("price_per_instance_hour"), F.lit("on_demand").alias("commitment"), "gpu.form_factor", "gpu.interconnect",
+        "gpu.vram_gb", F.lit("quoted").alias("price_kind"), F.concat("c4", F.lit(" for the GPU alone")).alias("note"),
+        F.lit("gpu_component").alias("basis"),
+    )
+
+
+def market_cards(cells: DataFrame, span: int = 12) -> DataFrame:
+    """Cards of a label and its memory, then hourly rates each followed by the name of its market.
+
+    A card ends at the next memory cell or at "starting from", whose figure is no rate.
+    """
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    near = _ahead(cells, 1).withColumns(
+        {
+            "memory": F.nullif(F.regexp_extract("c1", MARKET_MEMORY, 1), F.lit("")).cast("int"),
+            "stops": F.col("cell").rlike(MARKET_MEMORY) | F.lower("cell").startswith("starting from"),
+        }
+    )
+    opens = (F.length("cell") <= 24) & F.col("memory").isNotNull() & label_reading("cell").isNotNull()
+    placed = near.withColumn("card", F.last(F.when(opens, F.struct("pos", "cell", "memory")), ignorenulls=True).over(place))
+    card = Window.partitionBy(*PAGE, "card.pos").orderBy("pos")
+    own = placed.where(f"card is not null and pos >= card.pos + 2 and pos < card.pos + {span}").withColumn("ended", F.max("stops").over(card))
+    market = F.lower("c1")
+    rows = own.where(~F.col("ended") & F.col("cell").rlike(MARKET_RATE)).withColumns(
+        {
+            "commitment": F.when(market.contains("secure"), "on_demand").when(market.contains("community"), "community"),
+            "gpu": label_reading("card.cell", F.col("card.memory")),
+            "price": markup.first_amount("cell"),
+            "sku": F.concat("card.cell", F.lit(" ("), "c1", F.lit(")")),
+        }
+    ).where("commitment is not null")
+    return _offer_rows(rows, F.concat(F.lit("card: "), "cell", F.lit(" "), "c1"))
+
+
+def on_demand_notes(pages: DataFrame, cards: DataFrame) -> DataFrame:
+    """Footnotes that state a card's on-demand price; the form comes from the spec line of the family's last card."""
+    text = F.array_join(markup.cells("html"), " | ")
+    notes = pages.select(*PAGE, text.alias("t")).where(F.lower("t").contains("on-demand pricing for"))
+    found = notes.select(
+        *PAGE,
+        F.explode(
+            F.arrays_zip(*[
+                F.regexp_extract_all("t", F.lit(f"(?i){ON_DEMAND_NOTE}"), F.lit(i)).alias(n) for i, n in ((0, "whole"), (1, "label"), (2, "price"))
+            ])
+        ).alias("n"),
+    ).select(*PAGE, "n.whole", "n.label", F.col("n.price").cast("double").alias("price"), F.upper(F.split("n.label", "-")[0]).alias("family"))
+    specs = cards.select(
+        *PAGE, F.split("gpu_model", " ")[0].alias("family"), F.regexp_extract("sku", r"\((.*)\)$", 1).alias("spec")
+    ).groupBy(*PAGE, "family").agg(F.max("spec").alias("spec"))
+    rows = found.join(specs, [*PAGE, "family"], "left").withColumns(
+        {
+            "gpu": label_reading(F.concat_ws(" ", "label", "spec")), "commitment": F.lit("on_demand"),
+            "sku": F.concat("label", F.lit(" (footnote)")),
+        }
+    )
+    return _offer_rows(rows, F.concat(F.lit("footnote: '"), "whole", F.lit("'")))
+
+
+def stated_once(rows: DataFrame) -> DataFrame:
+    """Rows of a page without their repeats: a desktop and a mobile copy of a table state each price once."""
+    return rows.distinct()
+
+
 def first_layout(pages: DataFrame, *readings: DataFrame) -> DataFrame:
     """Rows of the first reading that yields any for a page."""
     tagged = [r.withColumn("layout_no", F.lit(i)) for i, r in enumerate(readings)]
@@ -751,8 +900,12 @@ def first_layout(pages: DataFrame, *readings: DataFrame) -> DataFrame:
 
 
 def component_priced(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """Mark rows of pages that bill host CPU or memory separately."""
-    billed = cells.where((F.length("cell") < 80) & F.col("cell").rlike(HOST_PRICED)).select(*PAGE).distinct()
+    """Mark rows of pages that bill host CPU or memory separately: in brackets, or as an add-on with a price of its own."""
+    after = F.lead("cell", 1).over(Window.partitionBy(*PAGE).orderBy("pos"))
+    added = (F.lower("cell") == "vcpu") & F.coalesce(after.startswith("$"), F.lit(False))
+    bracketed = (F.length("cell") < 80) & F.col("cell").rlike(HOST_PRICED)
+    billed = cells.withColumn("billed", added | bracketed).where("billed").select(*PAGE).distinct()
+    given = F.col("basis") if "basis" in rows.columns else F.lit("instance")
     return rows.join(billed.withColumn("host_priced", F.lit(True)), PAGE, "left").withColumn(
-        "basis", F.when(F.col("host_priced"), "gpu_component").otherwise("instance")
+        "basis", F.when(F.col("host_priced"), "gpu_component").otherwise(given)
     ).drop("host_priced")
