@@ -41,8 +41,9 @@ from .common import bitmap
 LENGTH = 100
 SPAN = 51  # places that a window's anchor is looked for in
 GRAM = 8  # bytes that a place's hash is taken of
-BATCH = 4 << 20  # bytes of text, or of blocks, worked on at once
-MOST_BLOCKS = 20_000  # of one core in one task
+BATCH = 1 << 20  # bytes of text that blocks are made of at once
+SORTED = 1 << 18  # bytes of blocks whose suffixes are sorted at once
+MOST_BLOCKS = 2_000  # of one core in one task
 BITMAP_BITS = 24
 _PLACE = np.uint64((1 << 34) - 1)
 _LAST = 2**63 - 1
@@ -51,12 +52,13 @@ _LAST = 2**63 - 1
 # Sorting suffixes ---------------------------------------------------------------------
 
 
-def _named(*columns: np.ndarray) -> np.ndarray:
-    """Ranks, from 0, of tuples of numbers below 2**32."""
-    name = columns[0]
-    for c in columns[1:]:
-        name = np.unique(name.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64), return_inverse=True)[1]
-    return name
+def _packed3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Numbers that order as the triples do; the triples' own numbers are below 2**32."""
+    a, b, c = (x.astype(np.uint64) for x in (a, b, c))
+    if max(x.max(initial=0) for x in (a, b, c)) < 1 << 21:
+        return a << np.uint64(42) | b << np.uint64(21) | c
+    pair = np.unique(a << np.uint64(32) | b, return_inverse=True)[1].astype(np.uint64)
+    return pair << np.uint64(32) | c
 
 
 def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
@@ -74,7 +76,7 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     i1, i2 = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)  # a sampled place just beyond the end stands for the empty suffix
     i1, i2 = i1[i1 <= n], i2[i2 <= n]
     sample = np.r_[i1, i2]
-    name = _named(t[sample], t[sample + 1], t[sample + 2])
+    name = np.unique(_packed3(t[sample], t[sample + 1], t[sample + 2]), return_inverse=True)[1]
     if depth > 3 and name.max(initial=-1) + 1 < len(sample):
         # the names in order of place, those of the two classes one after the other, a lowest symbol between them
         words = np.r_[name[: len(i1)] + 2, 1, name[len(i1) :] + 2]
@@ -86,19 +88,32 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     i0 = np.arange(0, n, 3)
     one, two = i1[i1 < n], i2[i2 < n]
     mine = _pairs(t[i0], rank[i0 + 1])
-    pair = _named(np.r_[t[i0], t[two]], np.r_[t[i0 + 1], t[two + 1]])
-    mine2, with2 = _pairs(pair[: len(i0)], rank[i0 + 2]), _pairs(pair[len(i0) :], rank[two + 2])
+    both = np.r_[i0, two]
+    triples = _packed3(t[both], t[both + 1], rank[both + 2])
+    mine2, with2 = triples[: len(i0)], triples[len(i0) :]
     with1 = _pairs(t[one], rank[one + 1])
-    sorted0, sorted02, sorted1, sorted2 = (np.sort(x) for x in (mine, mine2, with1, with2))
+    zeros, ones, one_after = _smaller(mine, with1)
+    _, twos, two_after = _smaller(mine2, with2)
     out = np.zeros(n, dtype=np.int64)
-    out[i0] = np.searchsorted(sorted0, mine) + np.searchsorted(sorted1, mine) + np.searchsorted(sorted2, mine2)
-    real = np.r_[one, two]
-    before = np.r_[0, np.cumsum(np.bincount(rank[real], minlength=2))]
-    out[one] = before[rank[one]] + np.searchsorted(sorted0, with1)
-    out[two] = before[rank[two]] + np.searchsorted(sorted02, with2)
+    out[i0] = zeros + ones + twos
+    before = np.r_[0, np.cumsum(np.bincount(rank[np.r_[one, two]], minlength=2))]
+    out[one] = before[rank[one]] + one_after
+    out[two] = before[rank[two]] + two_after
     return out
 
 
+def _smaller(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``a`` how many of ``a`` and of ``b`` are smaller, and for each of ``b`` how many of ``a``."""
+    keys = np.r_[a, b]
+    order = np.argsort(keys)
+    keys = keys[order]
+    run = np.maximum.accumulate(np.where(np.r_[True, keys[1:] != keys[:-1]][: len(keys)], np.arange(len(keys)), 0))
+    of_a = np.r_[0, np.cumsum(order < len(a))][run]
+    smaller_a, smaller_b = np.empty_like(order), np.empty_like(order)
+    smaller_a[order], smaller_b[order] = of_a, run - of_a
+    return smaller_a[: len(a)], smaller_b[: len(a)], smaller_a[len(a) :]
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
 
@@ -178,11 +193,14 @@ def all_blocks(rows: DataFrame, length: int, span: int) -> DataFrame:
         core, content, doc, uid, place = (x[order] for x in (core, content, doc, uid, place))
         first = np.r_[True, (core[1:] != core[:-1]) | (content[1:] != content[:-1])][: len(core)]
         known = ~first
+        back = np.empty(len(order), dtype=np.int64)  # rows go out in the order of the texts, which packs better
+        back[order] = np.arange(len(order))
         core[known], place[known] = (doc[known] * 31 + uid[known]) ^ place[known] * 0x2545F4914F6CDD1D, ~place[known]
         if known.any():  # a row given twice is not a repeat of itself
             of = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
             keep = first | (doc != doc[of]) | (uid != uid[of]) | (~place != place[of])
-            core, content, doc, uid, place = (x[keep] for x in (core, content, doc, uid, place))
+            back = back[keep[back]]
+        core, content, doc, uid, place = (x[back] for x in (core, content, doc, uid, place))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (core, content, doc, uid, place)], schema=_BLOCK)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +313,7 @@ def repeats(pieces: DataFrame, length: int) -> DataFrame:
             new = np.flatnonzero(np.r_[not held or (held[-1][0][-1, :2] != rows[0, :2]).any(), (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
             cuts = [0, *new[new > 0].tolist(), len(rows)]
             for i, j in zip(cuts, cuts[1:], strict=False):
-                if size >= BATCH and (i > 0 or (len(new) and new[0] == 0)):  # a core begins here
+                if size >= SORTED and (i > 0 or (len(new) and new[0] == 0)):  # a core begins here
                     yield work(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [t for x in held for t in x[2]])
                     held, size = [], 0
                 held.append((rows[i:j], spread[i:j], text[i:j]))
