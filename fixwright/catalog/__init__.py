@@ -1,6 +1,6 @@
 """Every registered query with its reference SQL, over the star-schema test tables."""
 
-from . import archive, history, markets, pricing, streams
+from . import archive, backpages, history, markets, pricing, streams
 from .registry import QUERIES, SQL, runner
 
-__all__ = ["QUERIES", "SQL", "archive", "history", "markets", "pricing", "runner", "streams"]
+__all__ = ["QUERIES", "SQL", "archive", "backpages", "history", "markets", "pricing", "runner", "streams"]

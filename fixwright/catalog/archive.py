@@ -606,20 +606,21 @@ def _(ws):
     )
 
 
-def _series_sql(unit: str) -> str:
+def series_sql(unit: str, rest: str = "rest") -> str:
+    """The period series over a piece of restated rows."""
     step = "INTERVAL 1 MONTH" if unit == "month" else "INTERVAL 7 DAY"
     name = "strftime(t, '%Y-%m')" if unit == "month" else "CAST(CAST(t AS DATE) AS VARCHAR)"
     back = f"t - {step}"
     prev = f"strftime({back}, '%Y-%m')" if unit == "month" else f"CAST(CAST({back} AS DATE) AS VARCHAR)"
-    return query("SELECT 1", "rest").replace(
+    return query("SELECT 1", rest).replace(
         "\nSELECT 1",
         f""", spine AS (SELECT {name} AS period, {prev} AS prev, unnest(['H100', 'H200', 'B200', 'A100']) AS code
           FROM (SELECT unnest(generate_series(date_trunc('{unit}', TIMESTAMP '{START}'), TIMESTAMP '{END}', {step})) AS t)),
-        v AS MATERIALIZED (SELECT {unit} AS period, code, source, median(np) AS vote, count(*) AS n FROM rest WHERE outcome = 'restated' GROUP BY ALL),
+        v AS MATERIALIZED (SELECT {unit} AS period, code, source, median(np) AS vote, count(*) AS n FROM {rest} WHERE outcome = 'restated' GROUP BY ALL),
         a AS (SELECT period, code, median(vote) AS med, mad(vote) AS mad, count(*) AS k, sum(n) AS n, min(vote) AS lo, max(vote) AS hi FROM v GROUP BY ALL),
-        raw AS (SELECT {unit} AS period, code, median(p) AS raw, count(DISTINCT (source, captured)) AS snaps FROM rest WHERE outcome = 'restated' GROUP BY ALL),
+        raw AS (SELECT {unit} AS period, code, median(p) AS raw, count(DISTINCT (source, captured)) AS snaps FROM {rest} WHERE outcome = 'restated' GROUP BY ALL),
         side AS (SELECT {unit} AS period, code, CASE WHEN commitment IN ('spot', 'community') THEN 'spot' ELSE 'reserved' END AS side, source, median(p) AS m
-          FROM rest WHERE outcome = 'not_on_demand' AND code IN ('H100', 'H200', 'B200', 'A100') GROUP BY ALL),
+          FROM {rest} WHERE outcome = 'not_on_demand' AND code IN ('H100', 'H200', 'B200', 'A100') GROUP BY ALL),
         sides AS (SELECT period, code, median(m) FILTER (WHERE side = 'reserved') AS rm, count(*) FILTER (WHERE side = 'reserved') AS rk,
           median(m) FILTER (WHERE side = 'spot') AS sm, count(*) FILTER (WHERE side = 'spot') AS sk FROM side GROUP BY ALL),
         mt AS (SELECT s.period, s.code, count(*) AS k, median(ln(x.vote / y.vote)) AS c FROM spine s JOIN v x ON x.period = s.period AND x.code = s.code
@@ -640,7 +641,7 @@ def _series(ws, unit: str):
     )
 
 
-def _series_out(rows):
+def series_out(rows):
     return rows.select(
         "period", "index_code", "status", r6("value"), "provider_count", "observation_count", "snapshot_count", r6("dispersion"),
         r6("min_provider_value"), r6("max_provider_value"), "dispersion_flag", r6("raw_on_demand_median"), r6("reserved_raw_median"),
@@ -648,14 +649,14 @@ def _series_out(rows):
     )
 
 
-@register("period_series_month", _series_sql("month"))
+@register("period_series_month", series_sql("month"))
 def _(ws):
-    return _series_out(_series(ws, "month"))
+    return series_out(_series(ws, "month"))
 
 
-@register("period_series_week", _series_sql("week"))
+@register("period_series_week", series_sql("week"))
 def _(ws):
-    return _series_out(_series(ws, "week"))
+    return series_out(_series(ws, "week"))
 
 
 MONTH_VOTES = query("SELECT month AS period, code AS index_code, source, round(median(np), 6) AS vote, count(*) AS \"rows\" FROM rest WHERE outcome = 'restated' GROUP BY ALL", "rest")
@@ -700,7 +701,7 @@ def _(ws):
 
 @register(
     "period_counts",
-    _series_sql("month").replace("SELECT s.period, s.code AS index_code, CASE", "SELECT index_code, count(*) FILTER (WHERE status = 'published') AS published, count(*) FILTER (WHERE status <> 'published') AS withheld, min(period) FILTER (WHERE status = 'published') AS first, max(period) FILTER (WHERE status = 'published') AS last FROM (SELECT s.period, s.code AS index_code, CASE", 1)
+    series_sql("month").replace("SELECT s.period, s.code AS index_code, CASE", "SELECT index_code, count(*) FILTER (WHERE status = 'published') AS published, count(*) FILTER (WHERE status <> 'published') AS withheld, min(period) FILTER (WHERE status = 'published') AS first, max(period) FILTER (WHERE status = 'published') AS last FROM (SELECT s.period, s.code AS index_code, CASE", 1)
     + ") GROUP BY index_code",
 )
 def _(ws):

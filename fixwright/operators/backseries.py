@@ -153,15 +153,20 @@ def period_votes(restated: DataFrame, granularity: str, limit: int = HOT_ROWS) -
 def period_series(
     restated: DataFrame, periods: DataFrame, granularity: str, limit: int = HOT_ROWS
 ) -> DataFrame:
-    """One row per period and index, gaps written as withheld."""
+    """One row per period and index, gaps written as withheld.
+
+    ``providers`` lists the votes by source; there are as many as sources are read.
+    """
     keys = ["period", "index_code"]
     votes = period_votes(restated, granularity, limit)
+    voter = F.concat("source", F.lit("="), F.format_string("%.3f", "vote"))
     by_price = votes.select(*keys, F.col("vote"), F.lit(1).alias("n"))
     panel = votes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("provider_count"),
         F.sum("rows").alias("observation_count"),
         F.min("vote").alias("min_provider_value"),
         F.max("vote").alias("max_provider_value"),
+        F.array_join(F.array_sort(F.collect_list(voter)), ";").alias("providers"),
     )
     stats = median_and_mad(by_price, keys, "vote", limit)
     kept = restated.where("outcome = 'restated'").select(
@@ -209,6 +214,9 @@ def period_series(
             "reserved_raw_median",
             "spot_raw_median",
             "matched_log_change",
+            F.coalesce("providers", F.lit("")).alias("providers"),
+            F.lit(rules.BACK_SERIES_VERSION).alias("methodology_version"),
+            F.lit(LABEL).alias("label"),
         )
     )
 
