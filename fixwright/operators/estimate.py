@@ -73,6 +73,14 @@ def screen(votes: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFram
     return written(screened, "screened")
 
 
+#: Sums of such numbers do not depend on the order in which rows are added.
+EXACT = "decimal(38,18)"
+
+
+def exact_sum(c: Column) -> Column:
+    return F.sum(c.cast(EXACT)).cast("double")
+
+
 def _tier_weight(m: Column, tier: int) -> Column:
     return F.coalesce(F.element_at(m["tier_weights"], F.lit(tier)), F.lit(0.0))
 
@@ -88,8 +96,8 @@ def capped_weights(m: Column, count_of: dict[int, Column]) -> Column:
     """
     cap = m["weight_cap"]
     n = sum(count_of.values(), F.lit(0)).cast("long")
-    heaviest = F.array_max(F.map_values(m["tier_weights"]))
-    lightest = F.nullif(F.array_min(F.map_values(m["tier_weights"])), F.lit(0.0))
+    each = [_tier_weight(m, t) for t in TIERS]  # a tier that the version does not list weighs nothing
+    heaviest, lightest = F.greatest(*each), F.nullif(F.least(*each), F.lit(0.0))
     reach = F.coalesce(F.floor(heaviest / (lightest * cap)) + 1, n)
     runs = (n * cap >= 1.0) & (n <= reach) & (n >= 1)
     rounds = F.when(runs, F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)))).otherwise(
@@ -123,7 +131,7 @@ def tier_totals(screened: DataFrame, keys: list[str], versions: rules.Registry)
         F.count_if(live).alias("provider_count"),
         F.coalesce(F.sum(F.when(live, F.col("quote_count"))), F.lit(0)).alias("observation_count"),
         *[F.count_if(of(t)).alias(f"n{t}") for t in TIERS],
-        *[F.coalesce(F.sum(F.when(of(t), F.col("price"))), F.lit(0.0)).alias(f"p{t}") for t in TIERS],
+        *[F.coalesce(exact_sum(F.when(of(t), F.col("price"))), F.lit(0.0)).alias(f"p{t}") for t in TIERS],
     )
     m = rules.rules_of(versions)
     per_key = per_key.withColumn("w", capped_weights(m, {t: F.col(f"n{t}") for t in TIERS}))
@@ -180,11 +188,11 @@ def ballot(weighted: DataFrame, keys: list[str], versions: rules.Registry, limit
         ).alias("vote"),
     )
     merged = written(
-        value_counts(cast, keys, "vote", carry=("third",)).withColumn("mass", F.col("n") * F.col("third")), "ballot"
+        value_counts(cast, keys, "vote", carry=("third",)).withColumn("mass", (F.col("n") * F.col("third")).cast(EXACT)), "ballot"
     )
     total = merged.groupBy(*keys).agg(F.sum("mass").alias("total_mass"))
     placed = running(merged, keys, ["vote", "third"], "vote", {"before": ("sum", "mass")}, limit=limit)
-    return placed.join(total, keys)
+    return placed.join(total, keys).withColumns({c: F.col(c).cast("double") for c in ("mass", "before", "total_mass")})
 
 
 def band_share(band: Column) -> tuple[Column, Column]:
@@ -201,7 +209,7 @@ def interquantile(votes: DataFrame, keys: list[str], versions: rules.Registry) -
     """Mean of the central band of vote mass, boundary votes shared out."""
     inside, priced = band_share(rules.rules_of(versions)["robustness_band"])
     return votes.groupBy(*keys).agg(
-        (F.sum(priced) / F.nullif(F.sum(inside), F.lit(0.0))).alias("banded_value")
+        (exact_sum(priced) / F.nullif(exact_sum(inside), F.lit(0.0))).alias("banded_value")
     )
 
 
@@ -210,7 +218,7 @@ def interquantile_sweep(votes: DataFrame, keys: list[str], bands: list[float]) -
     sums = []
     for i, band in enumerate(bands):
         inside, priced = band_share(F.lit(band))
-        sums.append((F.sum(priced) / F.nullif(F.sum(inside), F.lit(0.0))).alias(f"b{i}"))
+        sums.append((exact_sum(priced) / F.nullif(exact_sum(inside), F.lit(0.0))).alias(f"b{i}"))
     wide = votes.groupBy(*keys).agg(*sums)
     return wide.select(
         *keys,
@@ -266,6 +274,21 @@ def gate_array(m: Column) -> Column:
     return F.filter(gates, lambda g: g.isNotNull())
 
 
+def failed_wording(gates: Column) -> Column:
+    """The failed gates in words, as the tape carries them."""
+    failed = F.filter(gates, lambda g: ~g["passed"])
+    return F.array_join(F.transform(failed, lambda g: F.concat(g["name"], F.lit(": "), g["detail"])), "; ")
+
+
+def empty_panel(codes: DataFrame, versions: rules.Registry) -> DataFrame:
+    """Rows of ``codes`` (with methodology_version) as fixings without a single quote, and why they are withheld."""
+    none = codes.withColumns({
+        "provider_count": F.lit(0).cast("long"), "observation_count": F.lit(0).cast("long"), "dispersion": F.lit(None).cast("double"),
+        "tier1_present": F.lit(False),
+    })
+    return none.withColumn("withheld_reason", failed_wording(gate_array(rules.rules_of(versions))))
+
+
 def fixings(
     quotes: DataFrame, keys: list[str], versions: rules.Registry, limit: int = HOT_ROWS
 ) -> DataFrame:
@@ -296,7 +319,7 @@ def fixings_of(
         .withColumn("gates", gate_array(m))
     )
     failed = F.filter("gates", lambda g: ~g["passed"])
-    wording = F.array_join(F.transform(failed, lambda g: F.concat(g["name"], F.lit(": "), g["detail"])), "; ")
+    wording = failed_wording(F.col("gates"))
     return out.select(
         *keys,
         "value",
