@@ -27,6 +27,15 @@ def held_out(doc_id: Column, mod: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod) == 0
 
 
+def lowest_hashes(keys: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` of the rows, the ones whose keys hash lowest; all of them if there are no more.
+
+    The bound on the hash comes from the row count, so nothing is sorted or gathered.
+    """
+    n = keys.count()
+    return keys if n <= most else keys.where(hash60(F.col(f"`{key}`")) < int(2**60 * most / n))
+
+
 def shadowed(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns (in any case) that an operator is about to add under these names."""
     taken = {n.lower() for n in names}

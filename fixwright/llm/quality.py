@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.staging import written
-from .common import hash60, shadowed
+from .common import hash60, lowest_hashes
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; percent of the words in repeated windows
-SAMPLE = 20_000  # labelled texts that the list is learned from
+SAMPLE = 20_000  # labelled texts, about, that the list is learned from
 MOST_RULES, MOST_CONDITIONS, CUTS = 12, 4, 48
 LEAST_COVERED, LEAST_PRECISION = 3, 0.8  # of a rule on the pruning third
 
@@ -183,11 +183,12 @@ def learn(rows: DataFrame, labels: DataFrame, key: str, sample: int = SAMPLE) ->
     """
     names = list(MEASURES)
     marked = labels.where(F.col("quality").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__k"))
+    taught = lowest_hashes(marked.agg(F.min("quality").alias("__q")), "__k", sample)
     chosen = (
-        rows.where(~base_failed()).join(marked.agg(F.min("quality").alias("__q")), F.col(f"`{key}`") == F.col("__k"))
-        .select(hash60(F.col("__k")).alias("__h"), "__q", *[measure(m).alias(m) for m in names])
-        .orderBy("__h", "__q", *names).limit(sample).collect()
+        rows.where(~base_failed()).join(taught, F.col(f"`{key}`") == F.col("__k"))
+        .select(hash60(F.col("__k")).alias("__h"), "__q", *[measure(m).alias(m) for m in names]).collect()
     )
+    chosen.sort()
     if not chosen:
         return []
     x = np.array([[r[m] for m in names] for r in chosen], dtype=float)
