@@ -56,7 +56,8 @@ def restate(obs: DataFrame, versions: rules.Registry) -> DataFrame:
     """Screen and restate every row under every version.
 
     Adds ``reject_code`` (null when the row survives), the four factors, their
-    product and the restated price. The first failing rule gives the code.
+    product and the restated price. The first failing rule gives the code. Rows that
+    carry ``wanted_versions`` (positions in the registry) are read under those only.
     """
     m = rules.ByOrdinal(versions)
     facts = obs.withColumns(
@@ -66,7 +67,8 @@ def restate(obs: DataFrame, versions: rules.Registry) -> DataFrame:
             "region_loose": regions.passes_substring(),
         }
     )
-    rows = facts.select("*", rules.each_version(versions).alias("version_no"))
+    each = F.explode("wanted_versions") if "wanted_versions" in obs.columns else rules.each_version(versions)
+    rows = facts.select("*", each.alias("version_no")).drop("wanted_versions")
     fabric_ok = F.col("interconnect").isin("nvlink", "infiniband")
     rows = rows.withColumns(
         {

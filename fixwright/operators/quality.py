@@ -120,13 +120,8 @@ def level_shift(candidates: DataFrame, threshold) -> DataFrame:
     )
 
 
-def provider_level_shift(votes: DataFrame, tape: DataFrame, versions: rules.Registry) -> DataFrame:
-    """Contributors that moved a quarter or more since the last fixing, and whether others did.
-
-    ``votes`` holds one row per provider of every (index, date) under the version
-    the date was published by. Peers are counted per fixing and the provider's
-    own move is taken off its own count.
-    """
+def provider_moves(votes: DataFrame, tape: DataFrame) -> DataFrame:
+    """Each contributor's move since the fixing just before, under the version its date was published by."""
     key = T.KEY
     previous = T.previous_published(tape).select(
         *key, "methodology_version", F.col("previous.index_date").alias("previous_date")
@@ -136,12 +131,33 @@ def provider_level_shift(votes: DataFrame, tape: DataFrame, versions: rules.Regi
     before = now.join(owner, [*key, "methodology_version"], "left_semi").select(
         "index_code", F.col("index_date").alias("previous_date"), "provider", F.col("price").alias("before")
     )
-    moves = (
+    return (
         now.join(previous, [*key, "methodology_version"])
         .join(before, ["index_code", "previous_date", "provider"])
         .where(F.col("before") > 0)
         .withColumn("move", (F.col("price") - F.col("before")) / F.col("before"))
     )
+
+
+def corroborating_movers(votes: DataFrame, tape: DataFrame) -> DataFrame:
+    """Contributors that moved enough to bear another one out, a row each, with the way they went.
+
+    The peers behind a shift are the rows of its fixing and way but its own; listing them
+    once for each way keeps a panel from being paired with itself.
+    """
+    moves = provider_moves(votes, tape).where(F.abs("move") >= rules.CORROBORATING_MOVE)
+    return moves.withColumn("way", F.when(F.col("move") > 0, "up").otherwise("down"))
+
+
+def provider_level_shift(votes: DataFrame, tape: DataFrame, versions: rules.Registry) -> DataFrame:
+    """Contributors that moved a quarter or more since the last fixing, and whether others did.
+
+    ``votes`` holds one row per provider of every (index, date) under the version
+    the date was published by. Peers are counted per fixing and the provider's
+    own move is taken off its own count.
+    """
+    key = T.KEY
+    moves = provider_moves(votes, tape)
     up = F.col("move") >= rules.CORROBORATING_MOVE
     down = F.col("move") <= -rules.CORROBORATING_MOVE
     panel = moves.groupBy(*key).agg(
@@ -159,8 +175,9 @@ def provider_level_shift(votes: DataFrame, tape: DataFrame, versions: rules.Regi
         .join(panel, key)
         .withColumns({"peers": F.col("movers") - 1, "same_way": same_way})
         .withColumn("code", verdict)
+        .withColumn("severity", F.when(F.col("code") == "provider_level_shift_corroborated", "info").otherwise("warn"))
         .select(*key, "methodology_version", "provider", "previous_date", "before", "price", "move",
-                "peers", "same_way", "code")
+                "peers", "same_way", "code", "severity")
     )
 
 

@@ -27,15 +27,21 @@ def recompute(
     Index rows are not filtered first: the administered check reads all models
     of a run, and leaving some out would change its verdict.
     """
-    pairs = wanted.select("snapshot", "methodology_version").distinct()
-    runs = obs.join(pairs.select("snapshot").distinct(), "snapshot", "left_semi")
-    prepared = P.prepare(runs, ["snapshot"], versions)
-    needed = P.quotes(prepared).join(pairs, ["snapshot", "methodology_version"], "left_semi")
-    values = E.publish_or_withhold(E.fixings(needed, FIXING, versions))
-    population = P.book_population(
-        prepared.join(pairs, ["snapshot", "methodology_version"], "left_semi"), ["snapshot"], versions
+    prepared = written(P.prepare(wanted_runs(obs, wanted, versions), ["snapshot"], versions), "recomputed")
+    values = E.publish_or_withhold(E.fixings(P.quotes(prepared), FIXING, versions))
+    return values, P.venue_holdouts(P.book_population(prepared, ["snapshot"], versions), ["snapshot"])
+
+
+def wanted_runs(obs: DataFrame, wanted: DataFrame, versions: rules.Registry) -> DataFrame:
+    """Runs with the versions each is wanted under, so that no row is restated under another.
+
+    Versions that are not registered are left out.
+    """
+    number = F.element_at(rules.literal({v: i for i, v in enumerate(versions)}), F.col("methodology_version")).cast("int")
+    by_run = wanted.select("snapshot", number.alias("no")).where("no is not null").groupBy("snapshot").agg(
+        F.collect_set("no").alias("wanted_versions")
     )
-    return values, P.venue_holdouts(population, ["snapshot"])
+    return obs.join(by_run, "snapshot")
 
 
 def verify(tape: DataFrame, obs: DataFrame, versions: rules.Registry) -> DataFrame:
@@ -77,6 +83,35 @@ def judge(
     )
 
 
+def audit(tape: DataFrame, stored: DataFrame, obs: DataFrame, versions: rules.Registry) -> DataFrame:
+    """What every live value was made of: the contributions on record, else those its own snapshot still supports.
+
+    ``basis`` is stored, recomputed or refused, with the reason of a refusal: a version
+    that is not registered, no snapshot named, or one that is not on file. A fixing without
+    a single contribution has one row without a provider.
+    """
+    rows = T.live(tape).select("index_code", "index_date", "methodology_version", "status", "value", "snapshot")
+    files = obs.select("snapshot").distinct().withColumn("on_file", F.lit(True))
+    kept = stored.select(*FIXING).distinct().withColumn("on_record", F.lit(True))
+    judged = rows.join(files, "snapshot", "left").join(kept, FIXING, "left")
+    reason = F.when(F.col("on_record").isNull(), (
+        F.when(~F.col("methodology_version").isin(*versions), F.concat(F.lit("version "), "methodology_version", F.lit(" is not registered")))
+        .when(F.trim(F.coalesce("snapshot", F.lit(""))) == "", "no snapshot is named")
+        .when(F.col("on_file").isNull(), F.concat(F.lit("snapshot "), "snapshot", F.lit(" is not on file")))
+    ))
+    basis = F.when(F.col("on_record"), "stored").when(reason.isNull(), "recomputed").otherwise("refused")
+    judged = written(judged.withColumns({"reason": reason, "basis": basis}).drop("on_file", "on_record"), "audited")
+    again = judged.where("basis = 'recomputed'")
+    prepared = P.prepare(wanted_runs(obs, again, versions), ["snapshot"], versions)
+    fresh = E.contributions(P.quotes(prepared), FIXING, versions)
+    shown = [*FIXING, "provider", "price", "weight", "screened_out"]
+    return (
+        judged.where("basis = 'stored'").join(stored.select(*shown), FIXING)
+        .unionByName(again.join(fresh.select(*shown), FIXING, "left"))
+        .unionByName(judged.where("basis = 'refused'"), allowMissingColumns=True)
+    )
+
+
 def dangling(tape: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Rows of any revision that name a snapshot no longer on file."""
     return tape.where(F.trim("snapshot") != "").join(snapshots.select("snapshot"), "snapshot", "left_anti")
