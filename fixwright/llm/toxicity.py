@@ -13,7 +13,7 @@ apart. A logistic model over these sums, fitted on labelled texts that the lexic
 not seen, gives the score.
 
 Everything is learned from a bounded sample of the labelled rows, the ones whose keys
-hash lowest; texts are scored where they are read, without a shuffle.
+hash lowest, copies counted once; texts are scored where they are read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.staging import written
-from .common import hash60, held_out, shadowed
+from .common import hash60, held_out, lowest_hashes, shadowed
+from .simhash import hashes, minima, shingles
 
-SAMPLE = 20_000  # labelled texts to learn from
+SAMPLE = 20_000  # labelled texts, about, to learn from
 MOST_ENTRIES = 4_000  # of the lexicon
 LEAST_TEXTS, LEAST_GAIN = 3, 24.0  # toxic texts with an entry; its log-likelihood ratio
 STEMS = range(4, 11)  # letters of a stem
@@ -276,6 +277,23 @@ def _gain(a: float, b: float, n1: float, n0: float) -> float:
     return 2 * (term(a, n1, a / n1) + term(b, n0, b / n0) - term(a, n1, share) - term(b, n0, share))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Labelled ``rows`` (text, toxic, h) without copies and near copies, which would make their words look sure.
+
+    Two texts are taken for copies if they share a smallest hash of their five-word shingles.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [minima(hashes(shingles(t.as_py(), 5)), 2, 1) or [0, 0] for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*b.schema.names, "m", "n"])
+
+    kept = rows.mapInArrow(read, "text string, toxic int, h bigint, m bigint, n bigint")
+    for c in ("m", "n"):
+        kept = kept.groupBy(c).agg(F.min_by(F.struct(*kept.columns), F.struct("h", "text")).alias("row")).select("row.*")
+    return kept.select("text", "toxic", "h")
+
+
 def lexicon_of(rows: DataFrame) -> Lexicon:
     """The lexicon of labelled ``rows`` (text, toxic), at most ``MOST_ENTRIES`` entries."""
     counted = written(_entry_counts(rows), "entry-counts")
@@ -362,14 +380,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Without labels of both classes the model has no lexicon and scores all texts alike.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col(f"`{key}`").isNotNull() & ~held_out(F.col(f"`{key}`"), HELD_OUT))
-    chosen = (
-        marked.groupBy(F.col(f"`{key}`").alias("k")).agg(F.max(F.col("toxic")).cast("int").alias("toxic"))
-        .withColumn("h", hash60(F.col("k"))).orderBy("h", "k").limit(sample)
-    )
+    taught = marked.groupBy(F.col(f"`{key}`").alias("k")).agg(F.max(F.col("toxic")).cast("int").alias("toxic"))
+    chosen = lowest_hashes(taught, "k", sample).withColumn("h", hash60(F.col("k")))
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(written(chosen, "toxic-labels")), F.expr("id = k")
     )
-    rows = written(rows.select("text", F.expr("cast(toxic <> 0 as int) as toxic"), "h"), "toxic-sample")
+    rows = written(_once(rows.select("text", F.expr("cast(toxic <> 0 as int) as toxic"), "h")), "toxic-sample")
     lexicon = lexicon_of(rows.where("h % 3 <> 0"))
     near = {(r["word"], r["toxic"]): r["n"] for r in _near_hits(rows.where("h % 3 <> 0"), lexicon).collect()}
     faded = tuple(
