@@ -376,8 +376,9 @@ BANDS = [1.0, 0.8, 0.667, 0.5, 0.333, 0.2, 0.05]
 def _(ws):
     rows = _on_file(ws).where(F.col(VER).isin(*rules.METHODOLOGIES))
     pairs = rows.select("snapshot", VER).distinct()
-    quotes = ws.quotes().join(pairs, ["snapshot", VER], "left_semi")
-    out = R.robustness(rows, quotes, rules.registry(), BANDS)
+    screened = ws.screened().join(pairs, ["snapshot", VER], "left_semi")
+    passed = ws.fixings().where("passed").select(*R.FIXING)
+    out = R.robustness_of(rows, screened, passed, rules.registry(), BANDS)
     return out.select("index_code", "band", r6("level"), "fixings", r6("median_move"), r6("worst_move"), r6("versus_reference"))
 
 

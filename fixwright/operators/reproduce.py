@@ -167,14 +167,21 @@ def impact_summary(impact: DataFrame) -> DataFrame:
 def robustness(
     rows: DataFrame, quotes: DataFrame, versions: rules.Registry, bands: list[float]
 ) -> DataFrame:
-    """Level and day-over-day jitter of each index at every robustness band.
+    """Level and day-over-day jitter of each index at every robustness band, from restated quotes."""
+    screened = E.screen(E.provider_votes(quotes, FIXING), FIXING)
+    passed = E.fixings_of(screened, FIXING, versions).where("passed").select(*FIXING)
+    return robustness_of(rows, screened, passed, versions, bands)
+
+
+def robustness_of(
+    rows: DataFrame, screened: DataFrame, passed: DataFrame, versions: rules.Registry, bands: list[float]
+) -> DataFrame:
+    """The sweep over votes that are screened already; ``passed`` names the fixings that clear their gates.
 
     The ballot does not depend on the band, so it is cast and ordered once and
     every band is a pair of conditional sums over it.
     """
-    screened = E.screen(E.provider_votes(quotes, FIXING), FIXING)
-    totals = E.tier_totals(screened, FIXING, versions)
-    passed = E.fixings_of(screened, FIXING, versions).where("passed").select(*FIXING)
+    totals = written(E.tier_totals(screened, FIXING, versions), "tier-totals")
     weighted = E.with_weights(screened, totals, FIXING, versions)
     swept = E.interquantile_sweep(E.ballot(weighted, FIXING, versions), FIXING, bands)
     mean = weighted.groupBy(*FIXING).agg(
