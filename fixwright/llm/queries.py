@@ -82,6 +82,6 @@ def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op8_suffix_dedup")
+@_query("op8_suffix_dedup", suffixes.sql())
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -448,3 +448,24 @@ def _cut(rows: DataFrame) -> DataFrame:
             )
 
     return rows.mapInArrow(read, "doc bigint, uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+
+
+def sql(length: int = LENGTH) -> str:
+    """The result for ``documents`` by looking every window up among all, for texts in hexadecimal."""
+    return f"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (
+        SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * length})) AS s
+        FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - {length - 1}, 0))) AS p FROM d)
+    ),
+    f AS (SELECT s, min(doc_id * 4294967296 + p) AS first FROM w GROUP BY s),
+    later AS (SELECT w.doc_id, w.p FROM w JOIN f ON f.s = w.s WHERE w.doc_id * 4294967296 + w.p > f.first),
+    cut AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {length} THEN 0 ELSE 1 END AS new FROM later),
+    runs AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cut),
+    spans AS (SELECT doc_id, run, min(p) AS a, max(p) + {length} AS b FROM runs GROUP BY doc_id, run),
+    k AS (SELECT doc_id, list({{'a': a, 'b': b}} ORDER BY a) AS l, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(CASE WHEN l IS NULL THEN h ELSE substr(h, 1, 2 * l[1].a) || array_to_string(list_transform(range(1, len(l) + 1),
+            lambda i: substr(h, 2 * l[i].b + 1, 2 * (CASE WHEN i < len(l) THEN l[i + 1].a ELSE len(h) // 2 END - l[i].b))), '') END)) AS kept_sha256
+    FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+    """
