@@ -333,9 +333,10 @@ def near_duplicates(
     tied = roots.join(classes, F.expr("node = fp")).select("fp", "root", "first")
     firsts = tied.groupBy("root").agg(F.min("first").alias("least"))
     moved = tied.join(firsts, "root").select(F.col("fp").alias("f"), "least")
-    of = classes.join(moved, F.expr("fp = f"), "left").select(
+    # written first: then both sides of the last join are plain shuffles, and a fingerprint of very many copies can be split
+    of = written(classes.join(moved, F.expr("fp = f"), "left").select(
         F.col("fp").alias("c"), F.coalesce("least", "first").alias("first")
-    )
+    ), "first-of-class")
     return rows.join(of, F.expr("fp = c")).select(
         "id", "th", "fp", F.col("first.id").alias("first"), F.col("first.th").alias("first_th")
     )
