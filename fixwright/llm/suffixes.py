@@ -371,9 +371,10 @@ def repeated_spans(
     whole = found.where("kind = 0").select("doc", "uid", lo.alias("start"), stop.alias("stop"))
 
     todo = found.where("kind = 1")
-    large = todo.groupBy("core").count().where(F.col("count") > most_blocks).select(
+    # few cores are large: written first, they are broadcast where they are small, and no core is gathered for it
+    large = written(todo.groupBy("core").count().where(F.col("count") > most_blocks).select(
         F.col("core").alias("large"), F.expr(f"cast((count + {most_blocks - 1}) div {most_blocks} as int)").alias("deals")
-    )
+    ), "large-cores")
     dealt = todo.join(large, F.expr("core = large"), "left").select(
         "doc", "uid", F.struct(
             "core", F.when(F.col("deals") > 1, F.pmod(F.xxhash64("doc", "uid"), F.col("deals"))).otherwise(0).cast("int").alias("deal"),
