@@ -245,7 +245,7 @@ def dispersion(screened: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> D
 
 
 def gate_array(m: Column) -> Column:
-    """Every publication gate with its verdict and its wording."""
+    """Every publication gate with its verdict and its wording, which is fixed: the tape carries it."""
 
     def gate(name: str, passed: Column, detail: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), passed.alias("passed"), detail.alias("detail"))

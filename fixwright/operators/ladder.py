@@ -81,18 +81,17 @@ def refusals() -> Column:
             (F.col("brackets") > 0) & (error > MAX_BOOK_ERROR),
             F.concat(
                 F.lit("book sums to "), F.format_string("%.3f", F.col("book_sum")),
-                F.lit("; a mutually exclusive, exhaustive ladder should sum to 1.00, so "), percent(error),
-                F.lit(" of this is spread"),
+                F.lit(", off one by "), percent(error),
             ),
         ),
         F.when(
             (F.col("brackets") > 0) & (F.col("tail_mass") > MAX_TAIL_MASS),
             F.concat(percent(F.col("tail_mass")),
-                     F.lit(" of the mass is in open-ended tails, so the assumed tail midpoint drives the expectation")),
+                     F.lit(" of the mass lies in open-ended tails")),
         ),
         F.when(
             (F.col("brackets") > 0) & (F.col("volume") < MIN_VOLUME),
-            F.concat(F.lit("only $"), F.format_string("%,.0f", F.col("volume")), F.lit(" of volume across the ladder")),
+            F.concat(F.lit("$"), F.format_string("%,.0f", F.col("volume")), F.lit(" of volume in all brackets")),
         ),
     )
     return F.filter(checks, lambda r: r.isNotNull())

@@ -149,6 +149,7 @@ def book_population(rows: DataFrame, run: list[str], versions: rules.Registry) -
         F.countDistinct("host_id").alias("hosts"),
     )
     priced = m["book_floor_basis"] == "priced"
+    # fixed wording: the tape carries these sentences, and verification compares them
     rows_text = F.concat(F.col("book_rows").cast("string"), F.when(priced, F.lit(" priced rows")).otherwise(F.lit(" rows")))
     enabled = (m["min_book_machines"] > 0) | (m["min_book_hosts"] > 0)
     short = lambda have, need, what: F.concat(

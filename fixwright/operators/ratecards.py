@@ -66,6 +66,22 @@ WHOLE_NUMBER = r"^\d{1,4}(?:,\d{3})?$"
 MARKET_MEMORY = r"(?i)^(\d{2,3})\s?GB VRAM$"
 MARKET_RATE = r"(?i)^\$\s?\d+(\.\d+)?\s?/\s?hr$"
 ON_DEMAND_NOTE = r"on-demand pricing for (H100|H200|B200|A100[-\w]*) is \$(\d+(?:\.\d+)?)\s*(?:/|per)\s*hour"
+STATED_MEMORY = r"(\d{2,3})\s?GB"
+SXM_WORDS = r"\bSXM\d?\b|\bHGX\b"
+PCIE_WORDS = r"\bPCIE\b|\bPCI E\b"
+NVLINK_WORD = r"\bNVLINK\b"
+SPOT_WORDS = "spot|interruptible|preemptible"
+ON_DEMAND_WORDS = "on-demand|on demand|ondemand|pay as you go"
+PRICE_WORDS = "price|/hr|per hour"
+SECTION_ON_DEMAND, SECTION_RESERVED = "^on[- ]demand", "^(reservation|reserved)"
+STARRED_NUMBER = r"^(\d+(?:\.\d+)?)(\**)$"
+RECORD_TEXT, RECORD_NUMBER = r'"{key}":\s*"([^"]*)"', r'"{key}":\s*(null|-?\d+(?:\.\d+)?)'
+ROW_NAMES = (r'data-line-clamp=""[^>]*>([^<]{2,40})</div>', r'class="gpu_name[^"]*">([^<]{2,40})<')
+ROW_MEMORY = (r">(\d{2,3})</div><div[^>]*>GB VRAM<", r">(\d{2,3}) GB VRAM<")
+ROW_SECURE = r'data-secure(?:-cloud-price)?="(\d+(?:\.\d+)?)"'
+ROW_COMMUNITY = r'data-community(?:-cloud-price)?="(\d+(?:\.\d+)?)"'
+STRUCTURED_DATA = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+PRODUCT_TAIL, MARKETS = " GPU on Runpod", ("Secure Cloud", "Community Cloud")
 # ---------------------------------------------------------------------------
 
 
@@ -88,21 +104,21 @@ def label_reading(label: str | Column, vram: Column | None = None) -> Column:
     def parts(s: Column) -> Column:
         t = s["t"]
         found = [F.when(t.rlike(rf"(?<![A-Z0-9]){f}(?![0-9])"), F.lit(f)) for f in FAMILIES]
-        stated = F.nullif(F.regexp_extract(t, r"(\d{2,3})\s?GB", 1), F.lit("")).cast("int")
+        stated = F.nullif(F.regexp_extract(t, STATED_MEMORY, 1), F.lit("")).cast("int")
         return F.struct(
             t.alias("t"),
             F.when(~t.rlike(NEIGHBOURS), F.coalesce(*found)).alias("family"),
             F.coalesce(s["vram"], stated).alias("memory"),
             t.rlike(rf"({'|'.join(FAMILIES)})\s?NVL\b").alias("bridged"),
-            t.rlike(r"\bSXM\d?\b|\bHGX\b").alias("sxm"),
-            t.rlike(r"\bPCIE\b|\bPCI E\b").alias("pcie"),
+            t.rlike(SXM_WORDS).alias("sxm"),
+            t.rlike(PCIE_WORDS).alias("pcie"),
         )
 
     def reading(s: Column) -> Column:
         bridged, sxm, pcie = s["bridged"], s["sxm"], s["pcie"]
         form = F.when(bridged, "pcie").when(sxm, "sxm").when(pcie, "pcie").otherwise("unknown")
         fabric = (
-            F.when(bridged | sxm | s["t"].rlike(r"\bNVLINK\b"), "nvlink").when(pcie, "none").otherwise("unknown")
+            F.when(bridged | sxm | s["t"].rlike(NVLINK_WORD), "nvlink").when(pcie, "none").otherwise("unknown")
         )
         named_pcie = pcie & s["family"].isin("A100", "H100")
         suffix = F.when(bridged, " NVL").when(sxm, " SXM").when(named_pcie, " PCIe").otherwise("")
@@ -126,15 +142,15 @@ def commitment_of(header: Column) -> Column:
     """The commitment a header names; null when it names none."""
     h = F.lower(header)
     return (
-        F.when(h.rlike("spot|interruptible|preemptible"), "spot")
+        F.when(h.rlike(SPOT_WORDS), "spot")
         .when(h.rlike(STATED_TERM), "reserved")
-        .when(h.rlike("on-demand|on demand|ondemand|pay as you go"), "on_demand")
+        .when(h.rlike(ON_DEMAND_WORDS), "on_demand")
     )
 
 
 def is_price_header(cell: Column) -> Column:
     c = F.lower(cell)
-    return (F.length(cell) <= 60) & c.rlike("price|/hr|per hour") & ~cell.contains("$")
+    return (F.length(cell) <= 60) & c.rlike(PRICE_WORDS) & ~cell.contains("$")
 
 
 def page_cells(pages: DataFrame, keep: list[str] = PAGE, html: str = "html") -> DataFrame:
@@ -359,8 +375,8 @@ def sectioned_list(cells: DataFrame, span: int = 9, max_label: int = 40) -> Data
     product = label_reading("cell")
     heading = F.when(
         (F.length(low) <= 40) & product.isNull(),
-        F.when(low.rlike("^on[- ]demand"), "on_demand")
-        .when(low.rlike("^(reservation|reserved)"), "reserved")
+        F.when(low.rlike(SECTION_ON_DEMAND), "on_demand")
+        .when(low.rlike(SECTION_RESERVED), "reserved")
         .when(low.startswith("spot"), "spot"),
     )
     before = F.lower(F.concat(F.lag("cell", 1).over(place), F.lag("cell", 2).over(place)))
@@ -641,7 +657,7 @@ def starred_cards(cells: DataFrame, notes: DataFrame) -> DataFrame:
         "card",
         F.last(F.when(F.col("is_card"), F.struct("pos", "cell", "label")), ignorenulls=True).over(place),
     ).where("cell = '$' and card is not null and pos <= card.pos + 14")
-    number = r"^(\d+(?:\.\d+)?)(\**)$"
+    number = STARRED_NUMBER
     spec = label_reading("c3")
     priced = (
         placed.where(F.col("c1").rlike(number) & F.lower("c2").startswith("/ hour"))
@@ -695,8 +711,8 @@ def embedded_records(pages: DataFrame) -> DataFrame:
     price given as null is no price, whatever follows it.
     """
     text = F.replace("html", F.lit('\\"'), F.lit('"'))
-    field = lambda key: F.nullif(F.regexp_extract("piece", rf'"{key}":\s*"([^"]*)"', 1), F.lit(""))
-    number = lambda key: F.regexp_extract("piece", rf'"{key}":\s*(null|-?\d+(?:\.\d+)?)', 1).try_cast("double")
+    field = lambda key: F.nullif(F.regexp_extract("piece", RECORD_TEXT.format(key=key), 1), F.lit(""))
+    number = lambda key: F.regexp_extract("piece", RECORD_NUMBER.format(key=key), 1).try_cast("double")
     records = _pieces(pages.where(F.col("html").contains("GpuType")), text, RECORD, RECORD_SPAN).withColumns(
         {"name": field("displayName"), "ident": F.coalesce(field("id"), F.lit("")), "vram": number("memoryInGb").cast("int")}
     ).where("name is not null")
@@ -724,10 +740,10 @@ def row_attributes(pages: DataFrame) -> DataFrame:
     )
     rows = _pieces(pages.where(F.col("html").rlike(ATTRIBUTE_ROW)), F.col("html"), ATTRIBUTE_ROW, ATTRIBUTE_SPAN).withColumns(
         {
-            "name": F.trim(pick(r'data-line-clamp=""[^>]*>([^<]{2,40})</div>', r'class="gpu_name[^"]*">([^<]{2,40})<')),
-            "vram": pick(r">(\d{2,3})</div><div[^>]*>GB VRAM<", r">(\d{2,3}) GB VRAM<").cast("int"),
-            "secure": pick(r'data-secure(?:-cloud-price)?="(\d+(?:\.\d+)?)"').cast("double"),
-            "community": pick(r'data-community(?:-cloud-price)?="(\d+(?:\.\d+)?)"').cast("double"),
+            "name": F.trim(pick(*ROW_NAMES)),
+            "vram": pick(*ROW_MEMORY).cast("int"),
+            "secure": pick(ROW_SECURE).cast("double"),
+            "community": pick(ROW_COMMUNITY).cast("double"),
         }
     ).where("name is not null")
     long = rows.unpivot(
@@ -757,9 +773,7 @@ def json_nodes(blocks: DataFrame, depth: int = 8) -> DataFrame:
 
 def structured_offers(pages: DataFrame) -> DataFrame:
     """schema.org product records, wherever in a page's structured data they stand: one offer per market."""
-    blocks = F.regexp_extract_all(
-        "html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)
-    )
+    blocks = F.regexp_extract_all("html", F.lit(STRUCTURED_DATA), F.lit(1))
     text = lambda path: F.try_variant_get("node", path, "string")
     offers = "array<struct<name:string, price:string, priceCurrency:string>>"
     listed = lambda path: F.try_variant_get("node", path, offers)
@@ -767,13 +781,13 @@ def structured_offers(pages: DataFrame) -> DataFrame:
         text("$['@type']") == "Product"
     )
     rows = (
-        products.select(*PAGE, F.replace(text("$.name"), F.lit(" GPU on Runpod"), F.lit("")).alias("name"),
+        products.select(*PAGE, F.replace(text("$.name"), F.lit(PRODUCT_TAIL), F.lit("")).alias("name"),
                         F.explode(F.coalesce(listed("$.offers.offers"), listed("$.offers"))).alias("o"))
-        .where("o.priceCurrency = 'USD' and o.name in ('Secure Cloud', 'Community Cloud')")
+        .where((F.col("o.priceCurrency") == "USD") & F.col("o.name").isin(*MARKETS))
         .withColumns(
             {
                 "price": F.col("o.price").try_cast("double"),
-                "commitment": F.when(F.col("o.name") == "Secure Cloud", "on_demand").otherwise("community"),
+                "commitment": F.when(F.col("o.name") == MARKETS[0], "on_demand").otherwise("community"),
                 "gpu": label_reading("name"),
                 "sku": F.concat("name", F.lit(" ("), "o.name", F.lit(")")),
             }
