@@ -26,7 +26,7 @@ from fixwright.llm.common import shadowed, table
 from fixwright.sources.staging import written
 
 WORDS, SIMILARITY = 5, 0.8
-RADIUS = 18  # bits of 64 within which texts that similar lie, but for a few in a thousand
+RADIUS = 22  # bits of 64 within which texts that similar lie, but for a few in ten thousand
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

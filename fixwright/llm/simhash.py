@@ -42,6 +42,8 @@ CHUNK = 1024  # fingerprints of a key that one side of a tile holds
 UNITS = 32_768  # blocks of 64 lanes compared in one go
 PAIRS = 4 * CHUNK * CHUNK  # pairs of rows whose links are held at once
 ROUNDS = 3  # forests of each tile when links are still to be held against the texts
+SKETCH = 128  # smallest shingle hashes of a text by which its links are then ordered
+SLACK = 0.15  # by how much an estimate from sketches may fall short, some four standard errors
 MINIMA = (10, 2)  # keys, and smallest hashes in each
 
 
@@ -79,23 +81,44 @@ def minima(h: np.ndarray, keys: int, each: int) -> list[int]:
     return [xxhash.xxh64_intdigest(bytes([i]) + row.tobytes(), SEED) - 2**63 for i, row in enumerate(least)]
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """The smallest distinct hashes of a text, cut to 32 bits and sorted; padded with the largest number."""
+    out = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    out[: len(least)] = least
+    return out.tobytes()
+
+
+def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of common shingles by sketches, a pair a row: what is common among the smallest hashes of both together."""
+    pad = np.uint32(0xFFFFFFFF)
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both != pad
+    new = np.concatenate([real[:, :1], (both[:, 1:] != both[:, :-1]) & real[:, 1:]], axis=1)
+    within = np.cumsum(new, axis=1) <= SKETCH
+    common = ((both[:, 1:] == both[:, :-1]) & real[:, 1:] & within[:, 1:]).sum(axis=1)
+    return common / np.maximum((new & within).sum(axis=1), 1)
+
+
 def fingerprints(docs: DataFrame, key: str, text: str, words: int, keys: tuple[int, int] | None) -> DataFrame:
-    """Rows (id, th, fp, keys): the key, a hash of the text, the fingerprint, and its minima if asked for."""
+    """Rows (id, th, fp, keys, sketch): the key, a hash of the text, the fingerprint, and if asked for its minima and sketch."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, more = [], []
+            fp, more, sketches = [], [], []
             for t in b.column(2):
                 h = hashes(shingles(t.as_py(), words))
                 fp.append(fingerprint(h))
                 more.append(minima(h, *keys) if keys else [])
+                sketches.append(sketch(h) if keys else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
-                ["id", "th", "fp", "keys"],
+                [b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["id", "th", "fp", "keys", "sketch"],
             )
 
-    return rows.mapInArrow(read, f"id {rows.schema['id'].dataType.simpleString()}, th bigint, fp bigint, keys array<bigint>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(read, f"id {kind}, th bigint, fp bigint, keys array<bigint>, sketch binary")
 
 
 def band_keys(fp: Column, radius: int, bands: int) -> Column:
@@ -153,10 +176,15 @@ def linked_lanes(query: np.ndarray, block: np.ndarray, planes: np.ndarray, valid
     return at, ~over, counters
 
 
-def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def forest(
+    group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, rounds: int = 1,
+    sketches: np.ndarray | None = None, least: float = 0.0,
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that join, closest first, all linked rows of each group; rows come sorted by group, then side.
 
     Each further round gives such a forest of the links that the rounds before have left.
+    With ``sketches`` the closest are those of the highest estimated similarity, and links
+    estimated below ``least`` are left out.
 
     In a group with both sides only links across are looked for, as other tiles have the rest.
     """
@@ -194,7 +222,13 @@ def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, rou
         left, right = who[units[u]], row_of[block[units[u]] * 64 + at]
         far = sum((_lanes(c)[u, at].astype(np.int8) << i for i, c in enumerate(counters)), np.zeros(len(u), dtype=np.int8))
         new = (left < right) | (run[left] != run[right])
-        found.append((left[new], right[new], far[new]))
+        left, right, far = left[new], right[new], far[new]
+        if sketches is not None:
+            cuts = range(0, len(left), 8192)
+            alike = np.concatenate([np.zeros(0), *(estimated(sketches[left[i : i + 8192]], sketches[right[i : i + 8192]]) for i in cuts)])
+            near = alike >= least
+            left, right, far = left[near], right[near], np.round((1 - alike[near]) * SKETCH).astype(np.int8)
+        found.append((left, right, far))
         begin = stop
     if not found:
         return fp[:0], fp[:0]
@@ -235,38 +269,46 @@ def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return np.concatenate(used)
 
 
-def compared(tiled: DataFrame, radius: int, rounds: int = 1) -> DataFrame:
-    """Linked fingerprints (u, v): enough links to join all that are linked within each tile, the closest first."""
+def compared(tiled: DataFrame, radius: int, rounds: int = 1, least: float = 0.0) -> DataFrame:
+    """Linked fingerprints (u, v): enough links to join all that are linked within each tile, the closest first.
+
+    Tiles may carry each fingerprint's ``sketch``, to be ordered by it.
+    """
+    sketched = "sketch" in tiled.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray | None]] = []
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-        def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def links(rows: np.ndarray, sketches: np.ndarray | None) -> Iterator[pa.RecordBatch]:
             new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
             sizes = np.diff(np.r_[np.flatnonzero(new), len(rows)])
             part = np.repeat(np.cumsum(sizes * sizes) // PAIRS, sizes)  # whole tiles, few pairs at a time
             group, fp = np.cumsum(new), np.ascontiguousarray(rows[:, 4]).view(np.uint64)
             for x in np.unique(part):
                 here = part == x
-                u, v = forest(group[here], rows[here, 3], fp[here], radius, rounds)
+                u, v = forest(group[here], rows[here, 3], fp[here], radius, rounds, None if sketches is None else sketches[here], least)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
+        def together(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray | None]:
+            return np.concatenate([r for r, _ in parts]), np.concatenate([x for _, x in parts]) if sketched else None
+
         for b in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:5]], axis=1)
             if not len(rows):
                 continue
+            sketches = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint32).reshape(len(rows), SKETCH) if sketched else None
             last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
-            if held and (held[-1][-1, :3] == rows[-1, :3]).all() and not len(last):
-                held.append(rows)  # still the same tile, which is of bounded size
+            if held and (held[-1][0][-1, :3] == rows[-1, :3]).all() and not len(last):
+                held.append((rows, sketches))  # still the same tile, which is of bounded size
                 continue
             begin = last[-1] + 1 if len(last) else 0
-            whole = np.concatenate([*held, rows[:begin]])
-            held = [rows[begin:]]
-            if len(whole):
-                yield from links(whole)
+            whole = together([*held, (rows[:begin], sketches[:begin] if sketched else None)])
+            held = [(rows[begin:], sketches[begin:] if sketched else None)]
+            if len(whole[0]):
+                yield from links(*whole)
         if held:
-            yield from links(np.concatenate(held))
+            yield from links(*together(held))
 
     order = ["key", "a", "b"]
     return tiled.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(search, "u bigint, v bigint").distinct()
@@ -321,15 +363,21 @@ def near_duplicates(
     """
     rows = written(fingerprints(docs, key, text, words, keys), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-    classes = written(rows.groupBy("fp").agg(least.alias("first")), "classes")
+    classes = written(rows.groupBy("fp").agg(least.alias("first"), F.max("sketch").alias("sketch")), "classes")
     if keys:
         candidates = rows.select(F.explode("keys").alias("key"), "fp").distinct()
     else:
         candidates = classes.select(F.explode(band_keys(F.col("fp"), radius, bands)).alias("key"), "fp")
-    edges = written(compared(tiles(candidates), radius, 1 if similarity is None else ROUNDS), "links")
+    tiled = tiles(candidates)
+    if similarity is None:
+        edges = written(compared(tiled, radius), "links")
+    else:
+        sketched = written(tiled, "tiles").join(classes.select(F.col("fp").alias("f"), "sketch"), F.expr("fp = f")).drop("f")
+        edges = written(compared(sketched, radius, ROUNDS, similarity - SLACK), "links")
     if similarity is not None:
         edges = written(similar(edges, classes, docs, key, text, words, similarity), "similar")
     roots = components(edges)
+    classes = classes.select("fp", "first")
     tied = roots.join(classes, F.expr("node = fp")).select("fp", "root", "first")
     firsts = tied.groupBy("root").agg(F.min("first").alias("least"))
     moved = tied.join(firsts, "root").select(F.col("fp").alias("f"), "least")

@@ -142,3 +142,24 @@ def test_one_of_each_by_similarity(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
+
+
+def test_forest_by_sketches():
+    words = [f"x{i}" for i in range(400)]
+    texts = [words[:200], words[:190] + words[200:210], words[100:300], words[200:]]
+    h = [simhash.hashes(simhash.shingles(" ".join(t), 5)) for t in texts]
+    sets = [set(x.tolist()) for x in h]
+    sketches = np.stack([np.frombuffer(simhash.sketch(x), np.uint32) for x in h])
+    pairs = [(i, j) for i in range(4) for j in range(i)]
+    got = simhash.estimated(sketches[[i for i, _ in pairs]], sketches[[j for _, j in pairs]])
+    for (i, j), e in zip(pairs, got, strict=True):
+        assert abs(e - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 0.15
+    short = np.stack([np.frombuffer(simhash.sketch(simhash.hashes(simhash.shingles(t, 1))), np.uint32) for t in ("a b c d", "a b c e", "")])
+    assert simhash.estimated(short[[0, 0, 2]], short[[1, 0, 2]]).tolist() == [0.6, 1.0, 0.0]
+    fp = np.array([simhash.fingerprint(x) for x in h], dtype=np.int64).view(np.uint64)
+    none = np.zeros(4, dtype=int)
+    u, v = simhash.forest(none, none, fp, 64 // 2, 2, sketches, 0.8)
+    assert {(int(a), int(b)) for a, b in zip(u, v, strict=True)} == {(int(fp[0]), int(fp[1]))}
+    for radius, least in ((0, 0.8), (32, 1.1)):  # nothing within the radius, nothing alike enough
+        u, v = simhash.forest(none, none, fp, radius, 2, sketches, least)
+        assert len(u) == len(v) == 0
