@@ -378,7 +378,7 @@ def near_duplicates(
         edges = written(similar(edges, classes, docs, key, text, words, similarity), "similar")
     roots = components(edges)
     classes = classes.select("fp", "first")
-    tied = roots.join(classes, F.expr("node = fp")).select("fp", "root", "first")
+    tied = written(roots.join(classes, F.expr("node = fp")).select("fp", "root", "first"), "tied")
     firsts = tied.groupBy("root").agg(F.min("first").alias("least"))
     moved = tied.join(firsts, "root").select(F.col("fp").alias("f"), "least")
     # written first: then both sides of the last join are plain shuffles, and a fingerprint of very many copies can be split
