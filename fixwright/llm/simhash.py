@@ -100,8 +100,11 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum((new & within).sum(axis=1), 1)
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, words: int, keys: tuple[int, int] | None) -> DataFrame:
-    """Rows (id, th, fp, keys, sketch): the key, a hash of the text, the fingerprint, and if asked for its minima and sketch."""
+def fingerprints(docs: DataFrame, key: str, text: str, words: int, keys: tuple[int, int] | None, distinct: bool = False) -> DataFrame:
+    """Rows (id, th, fp, keys, sketch): the key, a hash of the text, the fingerprint, and if asked for its minima and sketch.
+
+    With ``distinct`` repeated shingles count once in the fingerprint.
+    """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +112,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, words: int, keys: tuple[i
             fp, more, sketches = [], [], []
             for t in b.column(2):
                 h = hashes(shingles(t.as_py(), words))
-                fp.append(fingerprint(h))
+                fp.append(fingerprint(np.unique(h) if distinct else h))
                 more.append(minima(h, *keys) if keys else [])
                 sketches.append(sketch(h) if keys else None)
             yield pa.RecordBatch.from_arrays(
@@ -357,11 +360,12 @@ def near_duplicates(
     ``id`` is the key, ``th`` a hash of the text, ``fp`` the fingerprint; ``first`` and
     ``first_th`` belong to the component's row with the smallest key, null keys last.
     With ``keys`` the minima find candidates, else bands do. With ``similarity`` a link also
-    needs that share of the two texts' distinct shingles to be common to both. Null and empty texts have
+    needs that share of the two texts' distinct shingles to be common to both, and ``fp`` is
+    that of the distinct shingles. Null and empty texts have
     fingerprint zero and are linked like any other. Repeated rows stay repeated. An empty
     table gives an empty result. Only the two named columns are read.
     """
-    rows = written(fingerprints(docs, key, text, words, keys), "fingerprints")
+    rows = written(fingerprints(docs, key, text, words, keys, distinct=similarity is not None), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     classes = written(rows.groupBy("fp").agg(least.alias("first"), F.max("sketch").alias("sketch")), "classes")
     if keys:

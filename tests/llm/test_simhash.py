@@ -139,6 +139,24 @@ def test_one_of_each_by_similarity(spark):
     assert got.count(None) == 1 and len([i for i in got if i in (n, n + 1)]) == 1
 
 
+def test_repeated_lines_do_not_hide_a_near_copy(spark):
+    rng = random.Random(8)
+    rows, far = [], 0
+    for i in range(40):
+        say = lambda n: " ".join("".join(rng.choice("abcdefghilmnorstu") for _ in range(6)) for _ in range(n))
+        text, line = say(400), say(10)
+        pair = [f"{text}\n{line}", text + f"\n{line}" * 40]
+        sets = [set(simhash.shingles(t, 5)) for t in pair]
+        assert len(sets[0] & sets[1]) >= 0.95 * len(sets[0] | sets[1])
+        a, b = (simhash.fingerprint(simhash.hashes(simhash.shingles(t, 5))) % 2**64 for t in pair)
+        far += (a ^ b).bit_count() > 22
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+    assert far > 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.one_of_each(docs, words=5, radius=22, keys=simhash.MINIMA, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
