@@ -19,18 +19,22 @@ all overflowed is abandoned.
 
 Equal fingerprints are one row before anything is compared. A key with many fingerprints
 is cut into chunks, and pairs of chunks are compared in tiles of bounded size that any
-task can take. A tile gives a spanning forest of its links, not all its pairs.
+task can take. A tile gives a spanning forest of its links, not all its pairs. Where links
+are to be held against the texts, the closest forests are held first; then each tile whose
+rows have links left between different components gets its texts' shingle sets, and all
+those links are tried, batch by batch, but for the ones whose ends a tried link has joined.
 Components come from rounds of large-star and small-star joins over tables written to
 the shared folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +45,9 @@ SEED = 42
 CHUNK = 1024  # fingerprints of a key that one side of a tile holds
 UNITS = 32_768  # blocks of 64 lanes compared in one go
 PAIRS = 4 * CHUNK * CHUNK  # pairs of rows whose links are held at once
-ROUNDS = 3  # forests of each tile when links are still to be held against the texts
+ROUNDS = 3  # forests of each tile that are held against the texts before all links left are
+HELD = 8 << 20  # shingles of texts that one side of a tile holds
+TRIED = 4 << 20  # shingles of texts looked up at once
 SKETCH = 128  # smallest shingle hashes of a text by which its links are then ordered
 SLACK = 0.15  # by how much an estimate from sketches may fall short, some four standard errors
 MINIMA = (10, 2)  # keys, and smallest hashes in each
@@ -135,14 +141,14 @@ def band_keys(fp: Column, radius: int, bands: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
 
 
-def tiles(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def tiles(candidates: DataFrame, chunk: int = CHUNK, weight: Column | None = None) -> DataFrame:
     """Rows (key, a, b, side, fp): every fingerprint in each tile of its key that it takes part in.
 
-    ``candidates`` has distinct rows (key, fp). A key's fingerprints fall into chunks;
-    tile (a, b) holds chunks a and b, side 0 and 1.
+    ``candidates`` has distinct rows (key, fp). A key's fingerprints fall into chunks, of
+    about ``chunk`` rows or of that ``weight``; tile (a, b) holds chunks a and b, side 0 and 1.
     """
-    shared = candidates.groupBy("key").count().where("count > 1")
-    parts = shared.select(F.col("key").alias("k"), F.expr(f"cast((count + {chunk - 1}) div {chunk} as int)").alias("parts"))
+    shared = candidates.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.lit(1) if weight is None else weight).alias("all")).where("n > 1")
+    parts = shared.select(F.col("key").alias("k"), F.expr(f"cast(greatest(1, (all + {chunk - 1}) div {chunk}) as int)").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     spread = candidates.join(parts, F.expr("key = k")).withColumn("own", own)
     return spread.select("key", "fp", "own", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")).select(
@@ -179,15 +185,14 @@ def linked_lanes(query: np.ndarray, block: np.ndarray, planes: np.ndarray, valid
     return at, ~over, counters
 
 
-def forest(
-    group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, rounds: int = 1,
-    sketches: np.ndarray | None = None, least: float = 0.0,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join, closest first, all linked rows of each group; rows come sorted by group, then side.
+def linked(
+    group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0,
+    root: np.ndarray | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All links within each group as rows (left, right, how far), in batches of bounded size; rows come sorted by group, then side.
 
-    Each further round gives such a forest of the links that the rounds before have left.
-    With ``sketches`` the closest are those of the highest estimated similarity, and links
-    estimated below ``least`` are left out.
+    With ``sketches`` links estimated below ``least`` are left out and the distance is by
+    estimated similarity. Rows of the same ``root`` are not linked.
 
     In a group with both sides only links across are looked for, as other tiles have the rest.
     """
@@ -213,7 +218,6 @@ def forest(
     asks = np.flatnonzero(target[run] >= 0)
     per = words[target[run[asks]]]
     ends = np.cumsum(per)
-    found = []
     begin = 0
     while begin < len(asks):
         stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + UNITS, side="right")))
@@ -225,18 +229,35 @@ def forest(
         left, right = who[units[u]], row_of[block[units[u]] * 64 + at]
         far = sum((_lanes(c)[u, at].astype(np.int8) << i for i, c in enumerate(counters)), np.zeros(len(u), dtype=np.int8))
         new = (left < right) | (run[left] != run[right])
+        if root is not None:
+            new &= root[left] != root[right]
         left, right, far = left[new], right[new], far[new]
         if sketches is not None:
             cuts = range(0, len(left), 8192)
             alike = np.concatenate([np.zeros(0), *(estimated(sketches[left[i : i + 8192]], sketches[right[i : i + 8192]]) for i in cuts)])
             near = alike >= least
             left, right, far = left[near], right[near], np.round((1 - alike[near]) * SKETCH).astype(np.int8)
-        found.append((left, right, far))
+        yield left, right, far
         begin = stop
-    if not found:
-        return fp[:0], fp[:0]
-    left, right, far = (np.concatenate(x) for x in zip(*found, strict=True))
-    kept = []
+
+
+def forest(
+    group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, rounds: int = 1,
+    sketches: np.ndarray | None = None, least: float = 0.0,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join, closest first, all ``linked`` rows of each group.
+
+    Each further round gives such a forest of the links that the rounds before have left.
+    """
+    a, b, _ = forests(linked(group, side, fp, radius, sketches, least), len(fp), rounds)
+    return fp[a], fp[b]
+
+
+def forests(links: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of ``rounds`` forests over ``n`` rows, and the rows that have further links."""
+    none = np.zeros(0, dtype=np.int64)
+    left, right, far = (np.concatenate(x) for x in zip((none, none, none), *links, strict=True))
+    kept = [(none, none)]
     for _ in range(rounds):
         label, used = np.arange(n), np.zeros(len(far), dtype=bool)
         for step in np.unique(far):
@@ -245,7 +266,46 @@ def forest(
         kept.append((left[used], right[used]))
         left, right, far = left[~used], right[~used], far[~used]
     a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
-    return fp[a], fp[b]
+    return a, b, np.union1d(left, right)
+
+
+def proven(
+    links: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray, begin: np.ndarray, size: np.ndarray, parts: np.ndarray, least: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all rows whose sets share ``least`` of their elements; row ``i`` has the set ``parts[begin[i] :][: size[i]]``.
+
+    Every link is tried unless its ends have the same root or are joined by links tried before.
+    """
+    kept = [(begin[:0], begin[:0])]
+    label = np.unique(root, return_index=True, return_inverse=True)
+    label = label[1][label[2]]
+    parts = np.unique(parts, return_inverse=True)[1]
+    marked = np.zeros(len(parts), dtype=bool)
+    for left, right, far in links:
+        order = np.lexsort((left, far))
+        left, right = left[order], right[order]
+        while len(left):
+            apart = label[left] != label[right]
+            left, right = left[apart], right[apart]
+            some = max(1, int(np.searchsorted(np.cumsum(size[right]), TRIED, side="right")))
+            a, b = left[:some], right[:some]
+            left, right = left[some:], right[some:]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            alike = np.zeros(len(a), dtype=bool)
+            edge = np.flatnonzero(np.diff(a, prepend=-1, append=-1))
+            for i, j in zip(edge, edge[1:], strict=False):
+                own, n = parts[begin[a[i]] :][: size[a[i]]], size[b[i:j]]
+                at = np.cumsum(n) - n
+                marked[own] = True
+                among = marked[parts[np.repeat(begin[b[i:j]] - at, n) + np.arange(n.sum())]]
+                marked[own] = False
+                common = np.diff(np.r_[0, np.cumsum(among)][np.r_[at, n.sum()]])
+                alike[i:j] = common >= least * (size[a[i]] + n - common)
+            a, b = a[alike], b[alike]
+            new = _unite(label, a, b)
+            kept.append((a[new], b[new]))
+    return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
 def _lanes(words: np.ndarray) -> np.ndarray:
@@ -272,49 +332,73 @@ def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return np.concatenate(used)
 
 
-def compared(tiled: DataFrame, radius: int, rounds: int = 1, least: float = 0.0) -> DataFrame:
-    """Linked fingerprints (u, v): enough links to join all that are linked within each tile, the closest first.
-
-    Tiles may carry each fingerprint's ``sketch``, to be ordered by it.
-    """
-    sketched = "sketch" in tiled.columns
+def _in_tiles(tiled: DataFrame, search: Callable[[np.ndarray, np.ndarray, pa.Table], pa.RecordBatch], kind: str) -> DataFrame:
+    """What ``search(group, rows, table)`` finds in whole tiles, few pairs at a time; ``rows`` are (key, a, b, side, fp)."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray | None]] = []
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    def numbers(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.stack([c.to_numpy(**({} if isinstance(b, pa.Table) else {"zero_copy_only": False})).astype(np.int64) for c in b.columns[:5]], axis=1)
 
-        def links(rows: np.ndarray, sketches: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
-            sizes = np.diff(np.r_[np.flatnonzero(new), len(rows)])
-            part = np.repeat(np.cumsum(sizes * sizes) // PAIRS, sizes)  # whole tiles, few pairs at a time
-            group, fp = np.cumsum(new), np.ascontiguousarray(rows[:, 4]).view(np.uint64)
-            for x in np.unique(part):
-                here = part == x
-                u, v = forest(group[here], rows[here, 3], fp[here], radius, rounds, None if sketches is None else sketches[here], least)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
-
-        def together(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray | None]:
-            return np.concatenate([r for r, _ in parts]), np.concatenate([x for _, x in parts]) if sketched else None
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        rows = numbers(table)
+        new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
+        sizes = np.diff(np.r_[np.flatnonzero(new), len(rows)])
+        part = np.repeat(np.cumsum(sizes * sizes) // PAIRS, sizes)  # whole tiles, few pairs at a time
+        group, cuts = np.cumsum(new), np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield search(group[i:j], rows[i:j], table.slice(i, j - i).combine_chunks())
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for b in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:5]], axis=1)
-            if not len(rows):
+            if not b.num_rows:
                 continue
-            sketches = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint32).reshape(len(rows), SKETCH) if sketched else None
-            last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
-            if held and (held[-1][0][-1, :3] == rows[-1, :3]).all() and not len(last):
-                held.append((rows, sketches))  # still the same tile, which is of bounded size
+            rows = numbers(b)
+            other = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
+            if held and (last == rows[-1, :3]).all() and not len(other):
+                held.append(b)  # still the same tile, which is of bounded size
                 continue
-            begin = last[-1] + 1 if len(last) else 0
-            whole = together([*held, (rows[:begin], sketches[:begin] if sketched else None)])
-            held = [(rows[begin:], sketches[begin:] if sketched else None)]
-            if len(whole[0]):
-                yield from links(*whole)
+            begin = int(other[-1]) + 1 if len(other) else 0
+            if held or begin:
+                yield from whole([*held, b.slice(0, begin)])
+            held, last = [b.slice(begin)], rows[-1, :3]
         if held:
-            yield from links(*together(held))
+            yield from whole(held)
 
     order = ["key", "a", "b"]
-    return tiled.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(search, "u bigint, v bigint").distinct()
+    return tiled.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(read, kind)
+
+
+def _sketches(t: pa.Table) -> np.ndarray | None:
+    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(t.num_rows, SKETCH) if "sketch" in t.column_names else None
+
+
+def searched(tiled: DataFrame, radius: int, rounds: int = 1, least: float = 0.0) -> DataFrame:
+    """Rows (u, v, key): links of ``rounds`` forests of each tile, and without ``v`` the rows that have further links in the tile.
+
+    Tiles may carry each fingerprint's ``sketch``, to be ordered by it, and its ``root``;
+    then only fingerprints of different roots are linked. ``key`` stands for the tile.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
+
+    def search(group: np.ndarray, rows: np.ndarray, t: pa.Table) -> pa.RecordBatch:
+        fp = np.ascontiguousarray(rows[:, 4])
+        root = t.column("root").to_numpy() if "root" in t.column_names else None
+        a, b, more = forests(linked(group, rows[:, 3], fp.view(np.uint64), radius, _sketches(t), least, root), len(fp), rounds)
+        begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        tile = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) - 2**63 for r in rows[begin, :3]], dtype=np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[fp[a], fp[more]]), pa.array(np.r_[fp[b], fp[more]], mask=np.arange(len(a) + len(more)) >= len(a)),
+             pa.array(np.r_[np.zeros(len(a), dtype=np.int64), tile[group[more] - group[0]]])], schema=schema,
+        )
+
+    return _in_tiles(tiled, search, "u bigint, v bigint, key bigint")
+
+
+def compared(tiled: DataFrame, radius: int, rounds: int = 1, least: float = 0.0) -> DataFrame:
+    """Linked fingerprints (u, v): enough links to join all that are linked within each tile, the closest first."""
+    return searched(tiled, radius, rounds, least).where("v is not null").select("u", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -377,9 +461,12 @@ def near_duplicates(
         edges = written(compared(tiled, radius), "links")
     else:
         sketched = written(tiled, "tiles").join(classes.select(F.col("fp").alias("f"), "sketch"), F.expr("fp = f")).drop("f")
-        edges = written(compared(sketched, radius, ROUNDS, similarity - SLACK), "links")
-    if similarity is not None:
+        found = written(searched(sketched, radius, ROUNDS, similarity - SLACK), "links")
+        edges = found.where("v is not null").select("u", "v").distinct()
         edges = written(similar(edges, classes, docs, key, text, words, similarity), "similar")
+        left = found.where("v is null").select("key", F.col("u").alias("fp"))
+        more = written(left_over(left, components(edges), classes, docs, key, text, words, radius, similarity), "left-over")
+        edges = edges.union(more)
     roots = components(edges)
     classes = classes.select("fp", "first")
     tied = written(roots.join(classes, F.expr("node = fp")).select("fp", "root", "first"), "tied")
@@ -394,9 +481,8 @@ def near_duplicates(
     )
 
 
-def similar(edges: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
-    """The links whose texts share enough of their distinct shingles, one text standing for each fingerprint."""
-    ends = edges.select(F.col("u").alias("e")).union(edges.select("v")).distinct()
+def shingle_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Rows (fp, parts) of the fingerprints ``e``: hashes of the distinct shingles, one text standing for each fingerprint."""
     wanted = classes.join(ends, F.expr("fp = e")).select("fp", _id_text(F.col("first.id")).alias("i"), F.col("first.th").alias("t"))
     texts = docs.select(
         _id_text(F.col(f"`{key}`")).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text")
@@ -407,7 +493,12 @@ def similar(edges: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
             sets = [np.unique(hashes(shingles(t.as_py(), words)).astype(np.uint32).view(np.int32)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["fp", "parts"])
 
-    sets = written(texts.mapInArrow(read, "fp bigint, parts array<int>").dropDuplicates(["fp"]), "shingle-sets")
+    return written(texts.mapInArrow(read, "fp bigint, parts array<int>").dropDuplicates(["fp"]), "shingle-sets")
+
+
+def similar(edges: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
+    """The links whose texts share enough of their distinct shingles."""
+    sets = shingle_sets(edges.select(F.col("u").alias("e")).union(edges.select("v")).distinct(), classes, docs, key, text, words)
     both = (
         edges.join(sets.select(F.col("fp").alias("u"), F.col("parts").alias("left")), "u")
         .join(sets.select(F.col("fp").alias("v"), F.col("parts").alias("right")), "v")
@@ -416,6 +507,34 @@ def similar(edges: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
     return both.where(F.col("common") >= least * (F.size("left") + F.size("right") - F.col("common"))).select("u", "v")
 
 
+def left_over(
+    left: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, radius: int, least: float,
+) -> DataFrame:
+    """Links (u, v) that join what is similar enough among the rows (key, fp) of tiles, but for what ``roots`` have joined."""
+    known = written(classes.join(roots.withColumnRenamed("root", "r"), F.expr("fp = node"), "left").select(
+        F.col("fp").alias("f"), F.coalesce("r", "fp").alias("root"), "sketch"
+    ), "roots")
+    open_ = left.distinct().join(known.select("f", "root"), F.expr("fp = f")).select("key", "fp", "root")
+    mixed = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("k"))
+    open_ = written(open_.join(mixed, F.expr("key = k")).select("key", "fp"), "open")
+    sketched = written(tiles(open_), "open-tiles").join(known, F.expr("fp = f")).drop("f")
+    open_ = written(searched(sketched, radius, 0, least - SLACK).select("key", F.col("u").alias("fp")).distinct(), "open")
+    sets = shingle_sets(open_.select(F.col("fp").alias("e")).distinct(), classes, docs, key, text, words)
+    sized = open_.join(sets.select(F.col("fp").alias("f"), F.size("parts").alias("n")), F.expr("fp = f")).drop("f")
+    given = known.join(sets, F.expr("f = fp")).select("f", "root", "sketch", "parts")
+    full = written(tiles(sized, HELD, F.col("n")), "open-tiles").join(given, F.expr("fp = f")).drop("f")
+
+    def search(group: np.ndarray, rows: np.ndarray, t: pa.Table) -> pa.RecordBatch:
+        fp, root = np.ascontiguousarray(rows[:, 4]), t.column("root").to_numpy()
+        size = pc.list_value_length(t.column("parts")).to_numpy().astype(np.int64)
+        parts = pc.list_flatten(t.column("parts")).to_numpy()
+        links = linked(group, rows[:, 3], fp.view(np.uint64), radius, _sketches(t), least - SLACK, root)
+        a, b = proven(links, root, np.cumsum(size) - size, size, parts, least)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["u", "v"])
+
+    return _in_tiles(full, search, "u bigint, v bigint").distinct()
+
+
 def _id_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit(""))
 

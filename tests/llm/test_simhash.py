@@ -139,6 +139,31 @@ def test_one_of_each_by_similarity(spark):
     assert got.count(None) == 1 and len([i for i in got if i in (n, n + 1)]) == 1
 
 
+def test_family_just_below_the_similarity_hides_no_pair(spark):
+    say = lambda name, n: [f"{name}{i}" for i in range(n)]
+    core = say("c", 784)
+    rows = [(i, " ".join(core + say(f"p{min(i, 399 - i) if 150 <= i < 250 else i}_", 18) + say(f"t{i}_", 92))) for i in range(400)]
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in rows}
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert 0.775 < share(0, 1) == share(150, 151) < 0.785 and all(0.805 < share(i, 399 - i) < 0.815 for i in range(150, 200))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.one_of_each(docs, words=5, radius=22, keys=simhash.MINIMA, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(200), *range(250, 400)]
+
+
+def test_proven_links_against_brute_force():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(30, rng.integers(0, 25))) for _ in range(60)]
+    root = np.r_[np.zeros(5, dtype=np.int64), np.arange(5, 60)]
+    size = np.array([len(x) for x in sets])
+    left, right = np.triu_indices(60, 1)
+    batches = [(left[i::3], right[i::3], rng.integers(0, 5, len(left[i::3]))) for i in range(3)]
+    u, v = simhash.proven(iter(batches), root, np.cumsum(size) - size, size, np.concatenate(sets), 0.6)
+    links = [(i, j) for i, j in zip(left, right) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))]
+    same = [(0, i) for i in range(5)]
+    assert parts(60, same + links) == parts(60, same + list(zip(u, v))) and set(zip(u, v)) <= set(links)
+
+
 def test_repeated_lines_do_not_hide_a_near_copy(spark):
     rng = random.Random(8)
     rows, far = [], 0
