@@ -2,8 +2,10 @@
 
 A text becomes a sequence of tokens: lowered words, with typed placeholders for numbers
 (digits or number words), for the unit after a number, and, in a second reading, for
-names (capitalised words inside a sentence). Windows of five tokens are hashed in both
-readings, since a passage pasted behind other text may have its capitals read otherwise.
+names (capitalised words inside a sentence). A third reading takes capitalised words that
+begin a sentence for names as well, but for the words of ``OPENERS``, which are none.
+Windows of five tokens are hashed in all readings, since a passage pasted behind other text
+may have its capitals read otherwise; a name of the second matches one of the third.
 
 Windows of documents are hash-joined with windows of items. Before the join a bitmap of
 the items' hashes, of a fixed size whatever the benchmark's, lets through every window
@@ -42,8 +44,14 @@ UNITS = frozenset(
     " month months year years cent cents dollar dollars euro euros percent degree degrees meter meters metre metres"
     " kilometer kilometers kilometre kilometres kmh mph watt watts volt volts joule joules newton newtons".split()
 )
+#: Words that often begin a sentence and are not names.
+OPENERS = frozenset(
+    "a an the this that these those there here it its he she they we you i his her their our your my what when where which who"
+    " whose whom why how if in on at by for from of to with without after before during since until while then and or but so as"
+    " is are was were do does did has have had can could should would not no each every all both some any many most one".split()
+)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-NUMBER, UNIT, NAME = 1, 2, 3
+NUMBER, UNIT, NAME, OPENER = 1, 2, 3, 4  # an opener is a name in the third reading only
 BATCH = 4 << 20  # bytes of text read at once
 
 
@@ -66,6 +74,7 @@ def _hash(token: str) -> int:
 _LISTED = {_hash(w): NUMBER for w in NUMBERS} | {_hash(w): UNIT for w in UNITS}
 _LISTED_HASH = np.array(sorted(_LISTED), dtype=np.uint64)
 _LISTED_KIND = np.array([_LISTED[h] for h in sorted(_LISTED)], dtype=np.int8)
+_NO_NAME = np.array(sorted(map(_hash, OPENERS)), dtype=np.uint64)
 _HOLDERS = np.array([0, *(_hash(f"<{k}>") for k in ("number", "unit", "name"))], dtype=np.uint64)
 
 _LETTER, _DIGIT, _STOP = 1, 2, 3
@@ -77,7 +86,7 @@ _CLASS[[ord(c) for c in ".!?:;\n"]] = _STOP
 
 @dataclass
 class Tokens:
-    """Tokens of some texts laid end to end: the text each is in, its bytes, its two hashes and the kind of slot (0: a word)."""
+    """Tokens of some texts laid end to end: the text each is in, its bytes, its three hashes and the kind of slot (0: a word)."""
 
     text: np.ndarray
     buffer: bytes
@@ -85,6 +94,7 @@ class Tokens:
     end: np.ndarray
     first: np.ndarray
     second: np.ndarray
+    third: np.ndarray
     kind: np.ndarray
 
     def spelt(self, i: int) -> str:
@@ -100,7 +110,7 @@ def _lowered(text: str) -> str:
 
 
 def canonical(texts: list[str | None]) -> Tokens:
-    """Runs of letters and of digits (with points and commas between digits), read twice.
+    """Runs of letters and of digits (with points and commas between digits), read three times.
 
     Letters are those of ASCII and all characters beyond it but the punctuation of Latin-1
     and the general punctuation block.
@@ -142,10 +152,13 @@ def canonical(texts: list[str | None]) -> Tokens:
     capital = given[begin] != b[begin]
     wide = np.flatnonzero(b[begin] >= 128)
     capital[wide] |= given[begin[wide] + 1] != b[begin[wide] + 1]
-    name = capital & ~starts & ~unit & ~number & (what == _LETTER)
-    slot = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
-    first = np.where(number | unit, _HOLDERS[slot], plain)
-    return Tokens(text, buffer, begin, end, first, np.where(name, _HOLDERS[NAME], first), slot)
+    capital &= ~unit & ~number & (what == _LETTER)
+    name = capital & ~starts
+    opener = capital & starts & ~np.isin(plain, _NO_NAME)
+    slot = np.select([number, unit, name, opener], [NUMBER, UNIT, NAME, OPENER], 0)
+    first = np.where(number | unit, _HOLDERS[np.where(opener, 0, slot)], plain)
+    second = np.where(name, _HOLDERS[NAME], first)
+    return Tokens(text, buffer, begin, end, first, second, np.where(opener, _HOLDERS[NAME], second), slot)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -161,17 +174,19 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def keyed(tokens: Tokens, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each size and reading (size, reading, first tokens, keys); the second reading has only windows with a name."""
-    named = np.r_[0, np.cumsum(tokens.kind == NAME)]
+    """For each size and reading (size, reading, first tokens, keys); the second reading has only windows with a name, the third with an opener."""
+    further = [(2, tokens.second, NAME), (3, tokens.third, OPENER)]
+    seen = [np.r_[0, np.cumsum(tokens.kind == kind)] for _, _, kind in further]
     for size in sizes:
         a = windows(tokens.first, size)
         if not len(a):
             continue
         within = tokens.text[: len(a)] == tokens.text[size - 1 :][: len(a)]
         yield size, 1, np.flatnonzero(within), a[within]
-        has = within & (named[size:] > named[:-size])
-        if has.any():
-            yield size, 2, np.flatnonzero(has), (windows(tokens.second, size) ^ np.uint64(1))[has]
+        for (reading, hashes, _), so_far in zip(further, seen, strict=True):
+            has = within & (so_far[size:] > so_far[:-size])
+            if has.any():
+                yield size, reading, np.flatnonzero(has), (windows(hashes, size) ^ np.uint64(1))[has]
 
 
 _SLOTS = "array<struct<kind:int,value:string>>"
@@ -180,8 +195,8 @@ _ROWS = pa.schema([("pos", pa.int64()), ("key", pa.int64()), ("slots", pa.list_(
 
 def _slots(tokens: Tokens, at: int, size: int, reading: int) -> list[dict]:
     return [
-        {"kind": int(tokens.kind[i]), "value": tokens.spelt(i)}
-        for i in range(at, at + size) if tokens.kind[i] and (tokens.kind[i] != NAME or reading == 2)
+        {"kind": min(int(tokens.kind[i]), NAME), "value": tokens.spelt(i)}
+        for i in range(at, at + size) if tokens.kind[i] and (tokens.kind[i] < NAME or reading > tokens.kind[i] - NAME + 1)
     ]
 
 

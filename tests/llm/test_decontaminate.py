@@ -37,6 +37,21 @@ def test_slots_must_be_consistent(spark):
     assert (1, 1) in got and (2, 1) not in got
 
 
+def test_names_that_begin_sentences(spark):
+    tom = "Tom has 5 apples. Tom buys 3 apples. How many apples does Tom have?"
+    anna = "Anna reads 12 pages a day. Ben reads 20 pages a day. How many more pages than Anna does Ben read in 6 days?"
+    sam = tom.replace("Tom", "Sam").replace("3", "7")
+    docs = [
+        (1, sam, ""), (2, "Read this first: " + sam + " Then go on.", ""), (3, "so " + sam, ""),
+        (4, anna.replace("Anna", "Olga").replace("Ben", "Ahmed").replace("12", "7"), ""),
+        (5, "Sam has 5 apples. Ivan buys 3 apples. How many apples does Bruno have?", ""),
+        (6, "What many apples does Sam have?", ""),
+    ]
+    got = found(spark, docs, [(1, tom, ""), (2, anna, "")])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2)}
+    assert all(r.changed and r.n_matched == r.n_windows for r in got.values())
+
+
 def test_short_items_are_matched_whole(spark):
     got = found(spark, [(1, "we like red apples a lot", ""), (2, "we like green apples", "")], [(5, "red apples", "")])
     assert set(got) == {(1, 5)}
