@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, licenses, mixing, quality, sharding, simhash, suffixes, tokens, toxicity
+from . import centroids, decontaminate, katz, licenses, merkle, mixing, quality, sharding, simhash, suffixes, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,20 @@ def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_suffix_dedup", suffixes.sql())
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@_query("op11_centroid_clusters", centroids.sql())
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, means = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.report(rows, means).withColumnRenamed("id", "vec_id")
+
+
+@_query("op12_merkle_manifest", merkle.sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.digest(*cut))
+    found = merkle.manifest(docs, keep={"changed": changed})
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof"))
+    told = found.withColumns({"proof_sha256": F.sha2(merkle.siblings(F.col("proof")), 256), "folded_root": folded})
+    return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", F.expr("folded_root = root").alias("verified"))
