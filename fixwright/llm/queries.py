@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, katz, licenses, merkle, mixing, quality, sharding, simhash, suffixes, tokens, toxicity
+from . import ann, centroids, decontaminate, katz, licenses, merkle, mixing, quality, sharding, simhash, suffixes, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof"))
     told = found.withColumns({"proof_sha256": F.sha2(merkle.siblings(F.col("proof")), 256), "folded_root": folded})
     return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", F.expr("folded_root = root").alias("verified"))
+
+
+@_query("op13_neighbour_search")
+def neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where(F.col("vec_id") % ann.EVERY == 0)
+    return ann.nearest(ann.build(vectors), asked, own=True).withColumnRenamed("id", "vec_id")

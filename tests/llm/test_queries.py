@@ -10,7 +10,7 @@ from conftest import SMALL
 import __spark_entry__ as driver
 from fixwright.llm import queries
 
-OPS = {f"op{i}_" for i in range(1, 11)}
+OPS = {f"op{i}_" for i in range(1, 14)}
 
 
 def test_every_operator_has_its_query():
