@@ -33,6 +33,16 @@ def r6(col: str | Column, name: str | None = None) -> Column:
     return F.round(c, 6).alias(name or (col.split(".")[-1] if isinstance(col, str) else "value"))
 
 
+def price6(col: str | Column, name: str | None = None) -> Column:
+    """A price of at most twelve places rounded half up to six, whatever the last bits of its double; ``price6_sql`` is the same in SQL."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c.cast("decimal(38,12)"), 6).cast("double").alias(name or (col.split(".")[-1] if isinstance(col, str) else "value"))
+
+
+def price6_sql(value: str) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(38,12)), 6) AS DOUBLE)"
+
+
 def day(col: str = "index_date", name: str | None = None) -> Column:
     return F.date_format(col, "yyyy-MM-dd").alias(name or col)
 
