@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import labels, regions
+from ..operators import aliases as A
 from ..operators import estimate as E
 from ..operators import evidence as V
 from ..operators import prepare as P
@@ -59,6 +60,35 @@ def _(ws):
     return P.with_index(ws.observations()).groupBy("gpu_model", "index_code").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register(
+    "contract_match_table",
+    """WITH alias AS (SELECT tok, arg_min(code, place) AS code FROM (
+          SELECT lower(p_name) || ' ' || p_size AS tok, p_brand AS code, p_partkey AS place FROM part WHERE p_size < 25
+          UNION ALL SELECT lower(p_name), p_brand, p_partkey + 1000000000 FROM part WHERE p_size % 2 = 0
+          UNION ALL SELECT split_part(lower(p_name), ' ', 1), p_type, p_partkey + 2000000000 FROM part) GROUP BY tok),
+        shown AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN p_name || '_' || p_size || ' XL' WHEN 1 THEN upper(p_name) || '-' || p_size
+            WHEN 2 THEN split_part(p_name, ' ', 1) || '  v' || p_size ELSE split_part(p_name, ' ', 1) || 's' END AS label, count(*) AS n
+          FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+        normed AS (SELECT *, trim(regexp_replace(lower(label), '[\\s_-]+', ' ', 'g')) AS norm FROM shown)
+        SELECT s.label AS gpu_model, arg_max(a.code, length(a.tok)) AS index_code, any_value(s.n) AS "rows"
+        FROM normed s LEFT JOIN alias a ON s.norm = a.tok OR starts_with(s.norm, a.tok || ' ') GROUP BY s.label""",
+)
+def _(ws):
+    """Labels of line items against a table with up to three aliases for each part."""
+    part, lines = ws.table("part"), ws.table("lineitem")
+    word = F.split("p_name", " ")[0]
+    aliases = part.where("p_size < 25").select(F.col("p_brand").alias("code"), F.concat_ws(" ", "p_name", "p_size").alias("alias"), F.col("p_partkey").alias("place"))
+    aliases = aliases.union(part.where("p_size % 2 = 0").select("p_brand", "p_name", F.col("p_partkey") + 1_000_000_000))
+    aliases = aliases.union(part.select("p_type", word, F.col("p_partkey") + 2_000_000_000))
+    kind = F.col("l_linenumber") % 4
+    label = (
+        F.when(kind == 0, F.concat("p_name", F.lit("_"), "p_size", F.lit(" XL"))).when(kind == 1, F.concat(F.upper("p_name"), F.lit("-"), "p_size"))
+        .when(kind == 2, F.concat(word, F.lit("  v"), "p_size")).otherwise(F.concat(word, F.lit("s")))
+    )
+    rows = lines.join(part, F.col("p_partkey") == F.col("l_partkey")).select(label.alias("gpu_model"))
+    return A.with_code(rows, aliases).groupBy("gpu_model", "index_code").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register(
     "form_fabric_inference",
     query(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import labels, regions
 from ..sources.staging import written
+from .aliases import with_code
 from .evidence import administered
 
 KEPT = "kept"
@@ -43,13 +44,12 @@ def node_factor(curve: Column) -> Column:
     )
 
 
-def with_index(obs: DataFrame) -> DataFrame:
-    """Per-GPU price, the label's words and the contract they name."""
-    return (
-        obs.withColumn("usd_per_gpu_hour", F.col("usd_per_hour_total") / F.col("gpu_count"))
-        .withColumn("label_words", labels.words("gpu_model"))
-        .withColumn("index_code", labels.contract_code(F.col("label_words")))
-    )
+def with_index(obs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Per-GPU price, the label's words and the contract they name, by the registry's aliases or by a table of them."""
+    worded = obs.withColumn("usd_per_gpu_hour", F.col("usd_per_hour_total") / F.col("gpu_count")).withColumn("label_words", labels.words("gpu_model"))
+    if aliases is not None:
+        return with_code(worded, aliases)
+    return worded.withColumn("index_code", labels.contract_code(F.col("label_words")))
 
 
 def restate(obs: DataFrame, versions: rules.Registry) -> DataFrame:
@@ -180,14 +180,14 @@ def book_population(rows: DataFrame, run: list[str], versions: rules.Registry) -
     )
 
 
-def prepare(obs: DataFrame, run: list[str], versions: rules.Registry) -> DataFrame:
+def prepare(obs: DataFrame, run: list[str], versions: rules.Registry, aliases: DataFrame | None = None) -> DataFrame:
     """Every observation under every version with its ``outcome``.
 
     ``obs`` carries the run columns, the observation columns and machine_id /
-    host_id. The order of the stages is the version's: a "book" floor acts
+    host_id; ``aliases`` is a table (code, alias, place) in place of the registry's. The order of the stages is the version's: a "book" floor acts
     before the screens, a "priced" floor after them.
     """
-    indexed = with_index(obs)
+    indexed = with_index(obs, aliases)
     excluded = administered(indexed, run).select(*run, "source", "commitment", F.lit(True).alias("administered"))
     marked = indexed.join(excluded, [*run, "source", "commitment"], "left").withColumn(
         "administered", F.coalesce("administered", F.lit(False))

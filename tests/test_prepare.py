@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fixwright import rules
 from fixwright.functions import labels, regions
 from fixwright.functions.fingerprint import fingerprint
+from fixwright.operators import aliases as A
 from fixwright.operators import evidence as V
 from fixwright.operators import prepare as P
 
@@ -199,3 +200,27 @@ def test_contract_and_rule_dimensions(spark):
     assert [r.exact_region for r in table] == [False, False, True]
     unknown = spark.createDataFrame([("0.9.0",)], "methodology_version string").select(rules.rules_of(rules.registry()).alias("m"))
     assert unknown.where(F.col("m").isNull()).count() == 1
+
+
+def test_alias_table_reads_labels_as_the_registry_does(spark, observations):
+    shown = ["H100 SXM", "nvidia_h100-sxm5  80GB", "NVIDIA H200", "h200x", "", None, "A100", "MI300X OAM", "B200_sxm6 x", "NVIDIA", "L40S"]
+    obs = observations([quote(source_sku=str(i), gpu_model=m) for i, m in enumerate(shown)])
+    plain = {r.source_sku: r.index_code for r in P.with_index(obs).collect()}
+    assert {r.source_sku: r.index_code for r in P.with_index(obs, A.registered(spark)).collect()} == plain
+    none = A.registered(spark).limit(0)
+    assert {r.index_code for r in P.with_index(obs, none).collect()} == {None}
+    prepared = P.prepare(obs, ["snapshot"], rules.registry(), A.registered(spark)).groupBy("outcome").count().collect()
+    assert sorted(map(tuple, prepared)) == sorted(map(tuple, P.prepare(obs, ["snapshot"], rules.registry()).groupBy("outcome").count().collect()))
+
+
+def test_a_hundred_thousand_aliases_leave_the_plan_as_it_is(spark, observations):
+    many = spark.range(100_000).selectExpr("concat('c', id % 977) as code", "concat('card ', id div 4, case when id % 4 = 0 then '' else concat(' rev-', id % 4) end) as alias", "id as place")
+    twice = many.union(spark.createDataFrame([("late", "Card_7", 10**9), ("early", "card 9 REV 2", -1)], "code string, alias string, place long"))
+    labels_ = ["card 7", "Card-7 rev", "card_7 rev-1 x", "card 9 rev 2", "card 24999 rev 3", "card", "card 25000", "card 7" + " rev" * 5000]
+    obs = observations([quote(source_sku=str(i), gpu_model=m) for i, m in enumerate(labels_)])
+    found = P.with_index(obs, twice)
+    got = {r.source_sku: r.index_code for r in found.collect()}
+    assert [got[str(i)] for i in range(8)] == ["c28", "c28", "c29", "early", f"c{99999 % 977}", None, None, "c28"]
+    small = P.with_index(obs, twice.limit(3))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(found) - size(small)) < 200
