@@ -1,8 +1,8 @@
 """Checks over run history: stalled and truncated feeds, old captures, sudden moves.
 
-Runs are numbered once (a table as long as the run history) and every check
-looks at a fixed number of neighbouring runs, so each row is copied a fixed
-number of times and nothing is paired within a group.
+The history is read once, into a row for each feed and run; runs are numbered from that
+table and every check looks at a fixed number of neighbouring runs, so each row is copied
+a fixed number of times and nothing is paired within a group.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..sources.staging import written
 from . import tape as T
 
 
@@ -30,37 +31,44 @@ def recent_runs(obs: DataFrame, run: str, n: int) -> DataFrame:
     return obs.join(keep, run, "left_semi")
 
 
-def feed_stall(obs: DataFrame, run: str) -> DataFrame:
-    """Feeds whose set of quotes is the same in every run of the last four that has any.
+def set_signatures(prints: DataFrame, keys: list[str]) -> DataFrame:
+    """Size and 128-bit sum of each group's different fingerprints, in any order.
 
-    Two runs hold the same set exactly when every fingerprint occurs in both, so
-    it is enough to count the runs each fingerprint occurs in. No set is built.
+    Equal sets have equal signatures, and signatures of parts without a fingerprint in
+    common add up to that of the whole, so a set need not be read again to grow.
     """
+    half = lambda seed: F.sum(F.xxhash64("fingerprint", F.lit(seed)).cast("decimal(38,0)"))
+    return prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), half(1).alias("low"), half(2).alias("high"))
+
+
+def stalled(signatures: DataFrame, run: str) -> DataFrame:
+    """Feeds whose set of quotes is the same in every run of the last four that has any, from a signature of each feed and run."""
     span = rules.STALE_RUNS + 1
-    runs = run_numbers(obs, run)
-    seen = obs.select(run, "source", "fingerprint").distinct().join(runs, run)
-    spread = seen.select(
-        "source", "fingerprint", "run_no",
+    runs = run_numbers(signatures, run)
+    spread = signatures.join(runs, run).select(
+        "source", "run_no", F.struct("n", "low", "high").alias("held"),
         F.explode(F.sequence("run_no", F.least(F.col("run_no") + span - 1, F.col("last_no")))).alias("at_no"),
     )
-    per_print = spread.groupBy("at_no", "source", "fingerprint").agg(
-        F.count(F.lit(1)).alias("in_runs"), F.max("run_no").alias("newest")
-    )
-    occupied = spread.groupBy("at_no", "source").agg(F.countDistinct("run_no").alias("occupied"))
     return (
-        per_print.groupBy("at_no", "source")
-        .agg(F.min("in_runs").alias("least"), F.max("newest").alias("newest"))
-        .join(occupied, ["at_no", "source"])
-        .where((F.col("at_no") >= span) & (F.col("newest") == F.col("at_no")) & (F.col("least") == F.col("occupied")))
+        spread.groupBy("at_no", "source")
+        .agg(F.min("held").alias("least"), F.max("held").alias("most"), F.max("run_no").alias("newest"))
+        .where((F.col("at_no") >= span) & (F.col("newest") == F.col("at_no")) & (F.col("least") == F.col("most")))
         .join(runs.select(run, F.col("run_no").alias("at_no")), "at_no")
         .select(run, "source", F.lit("warn").alias("severity"), F.lit("feed_possibly_stalled").alias("code"))
     )
 
 
+def feed_stall(obs: DataFrame, run: str) -> DataFrame:
+    """Stalled feeds of a history of observations, whose quotes are read once."""
+    prints = obs.select(run, "source", "fingerprint").distinct()
+    return stalled(written(set_signatures(prints, [run, "source"]), "signatures"), run)
+
+
 def feed_dropout(obs: DataFrame, run: str, prior: int = 5) -> DataFrame:
     """Feeds whose row count fell below half their mean over the runs just before."""
-    runs = run_numbers(obs, run)
-    counts = obs.groupBy(run, "source").agg(F.count(F.lit(1)).alias("n")).join(runs, run)
+    sizes = written(obs.groupBy(run, "source").agg(F.count(F.lit(1)).alias("n")), "feed-sizes")
+    runs = run_numbers(sizes, run)
+    counts = sizes.join(runs, run)
     ahead = (
         counts.where(F.col("run_no") < F.col("last_no"))
         .select(
