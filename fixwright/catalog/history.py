@@ -12,8 +12,10 @@ from ..operators import prepare as P
 from ..operators import quality as Q
 from ..operators import reproduce as R
 from ..operators import tape as T
+from ..plans import verification
 from ..schemas import TAPE_COLUMNS
 from ..sources import snapshots
+from ..sources.staging import new_path
 from .registry import day, r6, register
 from .sql import piece, query
 from .workspace import KEYS
@@ -291,10 +293,24 @@ def _(ws):
     return rows.select("index_code", day(), F.col("revision").cast("long").alias("revision"), VER, r6("value"), r6("recomputed"), "verdict")
 
 
+@register(
+    "verify_again",
+    query(f"""SELECT {ID}, CAST(revision AS BIGINT) AS revision, ver AS methodology_version, round(recomputed, 6) AS recomputed, verdict, CAST(0 AS BIGINT) AS computed_again
+        FROM ({VERDICT})""", "live", "obs"),
+)
+def _(ws):
+    """The same verdicts from what the verification before has recorded: no run is computed a second time."""
+    store = new_path(ws.spark, "verified")
+    verification.verify(ws.tape(), ws.observations(), store)
+    found = verification.verify(ws.tape(), ws.observations(), store)
+    again = F.lit(found.computed.count()).cast("long").alias("computed_again")
+    return found.verdicts.select("index_code", day(), F.col("revision").cast("long").alias("revision"), VER, r6("recomputed"), "verdict", again)
+
+
 @register("verify_summary", query(f"SELECT verdict, count(*) AS \"rows\" FROM ({VERDICT}) GROUP BY 1", "live", "obs"))
 def _(ws):
-    on_file = ws.observations().select("snapshot").distinct().withColumn("on_file", F.lit(True))
-    return R.verify_summary(R.judge(T.live(ws.tape()), on_file, ws.fixings(), ws.holdouts(), rules.registry()))
+    rows = T.live(ws.tape())
+    return R.verify_summary(R.judge(rows, R.on_file(rows, ws.observations()), ws.fixings(), ws.holdouts(), rules.registry()))
 
 
 @register(
@@ -303,7 +319,7 @@ def _(ws):
           "tape", "obs"),
 )
 def _(ws):
-    rows = R.dangling(ws.tape(), ws.observations().select("snapshot").distinct())
+    rows = R.dangling(ws.tape(), R.on_file(ws.tape(), ws.observations()))
     return rows.select("index_code", day(), F.col("revision").cast("long").alias("revision"), "snapshot")
 
 
@@ -317,7 +333,8 @@ IMPACT = """SELECT l.index_code, l.index_date, l.ver AS published_version, {base
 
 
 def _on_file(ws):
-    return T.live(ws.tape()).join(ws.observations().select("snapshot").distinct(), "snapshot", "left_semi")
+    rows = T.live(ws.tape())
+    return rows.join(R.on_file(rows, ws.observations()), "snapshot", "left_semi")
 
 
 IMPACT_COLS = f"{ID}, published_version, round(baseline, 6) AS baseline, round(recomputed, 6) AS recomputed, differs, round(change, 6) AS change"
@@ -376,8 +393,8 @@ BANDS = [1.0, 0.8, 0.667, 0.5, 0.333, 0.2, 0.05]
 def _(ws):
     rows = _on_file(ws).where(F.col(VER).isin(*rules.METHODOLOGIES))
     pairs = rows.select("snapshot", VER).distinct()
-    screened = ws.screened().join(pairs, ["snapshot", VER], "left_semi")
-    passed = ws.fixings().where("passed").select(*R.FIXING)
+    screened = ws.owned_screened().join(pairs, ["snapshot", VER], "left_semi")
+    passed = ws.owned_fixings().where("passed").select(*R.FIXING)
     out = R.robustness_of(rows, screened, passed, rules.registry(), BANDS)
     return out.select("index_code", "band", r6("level"), "fixings", r6("median_move"), r6("worst_move"), r6("versus_reference"))
 

@@ -34,7 +34,7 @@ def _(ws):
 def _(ws):
     """The archive taken in file by file; nothing twice, nothing lost."""
     archive = ws.observations()
-    path = archive.inputFiles()[0].rsplit("/index_date=", 1)[0]
+    path = archive.inputFiles()[0].rsplit("/snapshot=", 1)[0]
     out = new_path(ws.spark, "intake")
     stream = ws.spark.readStream.schema(archive.schema).option("maxFilesPerTrigger", 64).parquet(path)
     intake.land(stream, out, f"{out}-checkpoint").awaitTermination()
@@ -53,7 +53,7 @@ def _(ws):
     """The archive streamed through the publisher in batches: the live tape must equal the batch fixings."""
     archive = ws.observations()
     files = archive.inputFiles()
-    path = files[0].rsplit("/index_date=", 1)[0]
+    path = files[0].rsplit("/snapshot=", 1)[0]
     job = intake.run_once(
         ws.spark, archive, path, max(1, -(-len(files) // 2)), period_end="index_date + INTERVAL 1 MONTH"
     )

@@ -41,7 +41,7 @@ class Workspace:
             obs = star.observations(self.spark, self.sf_dir)
             return obs.withColumn("snapshot", F.concat(F.lit("run-"), F.col("index_date").cast("string")))
 
-        return self._once("observations", build, ["index_date"])
+        return self._once("observations", build, ["snapshot"])
 
     def prepared(self) -> DataFrame:
         """Every row under every version with its outcome."""
@@ -55,10 +55,14 @@ class Workspace:
     def quotes(self) -> DataFrame:
         return P.quotes(self.prepared())
 
+    def _prepared_once(self) -> DataFrame:
+        """Prepared rows for one use: those on file if another query has written them, else without writing them."""
+        return self._kept["prepared"] if "prepared" in self._kept else P.prepare(self.observations(), RUN, rules.registry())
+
     def screened(self) -> DataFrame:
         """Provider votes of every fixing with the screen's verdict."""
         if "screened" not in self._kept:
-            votes = E.provider_votes(self.quotes(), KEYS)
+            votes = E.provider_votes(P.quotes(self._prepared_once()), KEYS)
             self._kept["screened"] = E.screen(votes, KEYS)
         return self._kept["screened"]
 
@@ -77,11 +81,43 @@ class Workspace:
 
     def holdouts(self) -> DataFrame:
         def build():
-            population = P.book_population(self.prepared(), RUN, rules.registry())
+            population = P.book_population(self._prepared_once(), RUN, rules.registry())
             return P.venue_holdouts(population, RUN)
 
         return self._once("holdouts", build)
 
+    def _version(self):
+        """The version by which a date was published; the last one is not registered."""
+        year = F.year("index_date")
+        return F.when(year < 1997, "1.0.0").when(year < 1999, "1.1.0").when(year < 2001, "1.2.0").otherwise("0.9.0")
+
+    def _registered(self):
+        return F.when(self._version() == "0.9.0", "1.2.0").otherwise(self._version())
+
+    def _owned(self) -> DataFrame:
+        """Prepared rows under the version that published their date alone."""
+        number = F.element_at(rules.literal({v: i for i, v in enumerate(rules.registry())}), self._registered()).cast("int")
+        return P.prepare(self.observations().withColumn("wanted_versions", F.array(number)), RUN, rules.registry())
+
+    def owned_screened(self) -> DataFrame:
+        """Screened votes of every date under the version that published it."""
+        if "owned-screened" not in self._kept:
+            if "screened" in self._kept:
+                return self.screened().where(F.col("methodology_version") == self._registered())
+            self._kept["owned-screened"] = E.screen(E.provider_votes(P.quotes(self._owned()), KEYS), KEYS)
+        return self._kept["owned-screened"]
+
+    def owned_fixings(self) -> DataFrame:
+        """Fixings of every date under the version that published it."""
+        if "fixings" in self._kept:
+            return self.fixings().where(F.col("methodology_version") == self._registered())
+        return self._once("owned-fixings", lambda: E.publish_or_withhold(E.fixings_of(self.owned_screened(), KEYS, rules.registry())))
+
+    def _owned_holdouts(self) -> DataFrame:
+        if "holdouts" in self._kept:
+            return self.holdouts()
+        return P.venue_holdouts(P.book_population(self._owned(), RUN, rules.registry()), RUN)
+
     def tape(self) -> DataFrame:
         """A publication record with every kind of fault a verify run must tell apart.
 
@@ -90,16 +126,8 @@ class Workspace:
         hold-out cell; February was published twice.
         """
         def build():
-            year, month = F.year("index_date"), F.month("index_date")
-            version = (
-                F.when(year < 1997, "1.0.0").when(year < 1999, "1.1.0").when(year < 2001, "1.2.0").otherwise("0.9.0")
-            )
-            rows = (
-                self.fixings()
-                .withColumn("version", version)
-                .where(F.col("methodology_version") == F.when(F.col("version") == "0.9.0", "1.2.0").otherwise(F.col("version")))
-                .join(self.holdouts(), KEYS, "left")
-            )
+            month = F.month("index_date")
+            rows = self.owned_fixings().withColumn("version", self._version()).join(self._owned_holdouts(), KEYS, "left")
             value = F.col("published_value")
             value = (
                 F.when(month == 3, value * 1.01).when(month == 4, F.lit(None))

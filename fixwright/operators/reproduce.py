@@ -25,9 +25,11 @@ def recompute(
     """Fixings and hold-out cells of the wanted (snapshot, version) pairs.
 
     Index rows are not filtered first: the administered check reads all models
-    of a run, and leaving some out would change its verdict.
+    of a run, and leaving some out would change its verdict. Prepared rows are not
+    written: the votes are counted straight from them, and the hold-outs read the few
+    marketplace feeds once more.
     """
-    prepared = written(P.prepare(wanted_runs(obs, wanted, versions), ["snapshot"], versions), "recomputed")
+    prepared = P.prepare(wanted_runs(obs, wanted, versions), ["snapshot"], versions)
     values = E.publish_or_withhold(E.fixings(P.quotes(prepared), FIXING, versions))
     return values, P.venue_holdouts(P.book_population(prepared, ["snapshot"], versions), ["snapshot"])
 
@@ -35,21 +37,27 @@ def recompute(
 def wanted_runs(obs: DataFrame, wanted: DataFrame, versions: rules.Registry) -> DataFrame:
     """Runs with the versions each is wanted under, so that no row is restated under another.
 
-    Versions that are not registered are left out.
+    Versions that are not registered are left out. The wanted runs are a small written
+    table with a filter: of an archive that is partitioned by run only their folders are read.
     """
     number = F.element_at(rules.literal({v: i for i, v in enumerate(versions)}), F.col("methodology_version")).cast("int")
-    by_run = wanted.select("snapshot", number.alias("no")).where("no is not null").groupBy("snapshot").agg(
+    by_run = wanted.select("snapshot", number.alias("no")).where("snapshot is not null and no is not null").groupBy("snapshot").agg(
         F.collect_set("no").alias("wanted_versions")
     )
-    return obs.join(by_run, "snapshot")
+    return obs.join(written(by_run, "wanted-runs").where(F.size("wanted_versions") > 0), "snapshot")
+
+
+def on_file(rows: DataFrame, obs: DataFrame) -> DataFrame:
+    """Of the snapshots that the rows name those that the archive holds; no other run is read."""
+    named = written(rows.select("snapshot").where("snapshot is not null").distinct(), "named-runs").where(F.length(F.trim("snapshot")) > 0)
+    return obs.join(named, "snapshot", "left_semi").select("snapshot").distinct().withColumn("on_file", F.lit(True))
 
 
 def verify(tape: DataFrame, obs: DataFrame, versions: rules.Registry) -> DataFrame:
     """Every live value under its own version, from its own snapshot, with a verdict."""
     rows = T.live(tape)
-    snapshots = obs.select("snapshot").distinct().withColumn("on_file", F.lit(True))
     values, holdouts = recompute(obs, rows, versions)
-    return judge(rows, snapshots, values, holdouts, versions)
+    return judge(rows, on_file(rows, obs), values, holdouts, versions)
 
 
 def judge(
@@ -91,7 +99,7 @@ def audit(tape: DataFrame, stored: DataFrame, obs: DataFrame, versions: rules.Re
     a single contribution has one row without a provider.
     """
     rows = T.live(tape).select("index_code", "index_date", "methodology_version", "status", "value", "snapshot")
-    files = obs.select("snapshot").distinct().withColumn("on_file", F.lit(True))
+    files = on_file(rows, obs)
     kept = stored.select(*FIXING).distinct().withColumn("on_record", F.lit(True))
     judged = rows.join(files, "snapshot", "left").join(kept, FIXING, "left")
     reason = F.when(F.col("on_record").isNull(), (

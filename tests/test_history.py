@@ -1,4 +1,6 @@
 import datetime as dt
+import gzip
+import re
 
 import pytest
 from conftest import quote
@@ -8,9 +10,9 @@ from fixwright import rules
 from fixwright.operators import quality as Q
 from fixwright.operators import reproduce as R
 from fixwright.operators import tape as T
-from fixwright.plans import bundle, daily
+from fixwright.plans import bundle, daily, verification
 from fixwright.schemas import TAPE, TAPE_COLUMNS
-from fixwright.sources import snapshots
+from fixwright.sources import commits, snapshots
 from fixwright.sources.tape_io import append_to_tape, read_tape, read_tape_csv
 
 D = dt.date
@@ -130,7 +132,7 @@ def test_publish_verify_and_tamper(spark, observations, tmp_path):
     for stamp, day, shift, at in (("r1", 1, 1.0, "2026-09-01 13:00:00"), ("r2", 2, 1.3, "2026-09-02 13:00:00"), ("r3", 2, 1.31, "2026-09-02 15:00:00")):
         obs = observations(market(day, shift)).drop("snapshot", "machine_id", "host_id")
         report = daily.run_daily(obs, root, stamp, f"2026-09-0{day}", at, revision_reason="again" if stamp == "r3" else None)
-    tape = read_tape(spark, f"{root}/tape")
+    tape = daily.records(spark, root, "tape")
     assert tape.count() == 15
     h100 = {(r.index_date.day, r.revision): r for r in tape.where("index_code = 'H100'").collect()}
     assert set(h100) == {(1, 0), (2, 0), (2, 1)} and h100[(2, 1)].status == "published"
@@ -152,13 +154,73 @@ def test_publish_verify_and_tamper(spark, observations, tmp_path):
     assert {r.snapshot for r in lost.collect()} == {"r2"} and lost.count() == 5
 
     assert daily.rebuild(spark, root, recent=1).select("snapshot").distinct().collect()[0].snapshot == "r3"
-    tables = bundle.build(tape, archive, daily.rebuild(spark, root), spark.read.parquet(f"{root}/contributions"))
+    tables = bundle.build(tape, archive, daily.rebuild(spark, root), commits.read(spark, root, "contributions", daily.VOTES))
     assert tables["latest"].where("index_code = 'H100'").first().revision == 1
     assert tables["latest_providers"].count() == 6 and tables["latest_quotes"].count() == 18
     bundle.write({k: tables[k] for k in ("summary", "coverage")}, f"{root}/bundle")
     assert spark.read.json(f"{root}/bundle/coverage").first().tape_rows == 15
 
 
+def files_read(df):
+    """Files that the scans of an executed plan have read."""
+    def leaves(node):
+        name = node.getClass().getSimpleName()
+        kids = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        if not kids:
+            children = node.children()
+            kids = [children.apply(i) for i in range(children.size())]
+        return [node] if not kids else [x for k in kids for x in leaves(k)]
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return {x.nodeName(): x.metrics().apply("numFiles").value() for x in leaves(plan) if x.metrics().contains("numFiles")}
+
+
+def test_only_wanted_runs_are_read(spark, observations, tmp_path):
+    for i in range(30):
+        rows = observations([quote(source=f"p{k}", observed_at=dt.datetime(2026, 9, 1 + i, 12)) for k in range(4)])
+        snapshots.write_snapshot(rows.drop("snapshot", "machine_id", "host_id").coalesce(1), str(tmp_path), f"r{i:02d}")
+    wanted = spark.createDataFrame([(f"r{i:02d}", "1.2.0") for i in range(3, 30, 3)] + [("gone", "1.2.0"), (None, "1.2.0")], "snapshot string, methodology_version string")
+    archive = snapshots.archive(spark, str(tmp_path))
+    for rows, total in ((R.wanted_runs(archive, wanted, rules.registry()), 36), (R.on_file(wanted, archive), 9)):
+        assert len(rows.collect()) == total
+        assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString()
+        assert max(v for n, v in files_read(rows).items() if "text" in n) == 9
+
+
+def test_verification_computes_only_what_changed(spark, observations, tmp_path, monkeypatch):
+    root, store = str(tmp_path / "root"), str(tmp_path / "store")
+    for day in (1, 2, 3):
+        obs = observations(market(day, 1 + day / 50)).drop("snapshot", "machine_id", "host_id").coalesce(1)
+        daily.run_daily(obs, root, f"r{day}", f"2026-09-0{day}", f"2026-09-0{day} 13:00:00")
+    tape = daily.records(spark, root, "tape")
+
+    def verified(versions=None):
+        found = verification.verify(tape, snapshots.whole(snapshots.archive(spark, root)), store, versions)
+        verdicts = {(r.index_code, r.snapshot): r.verdict for r in found.verdicts.collect()}
+        whole = R.verify(tape, snapshots.whole(snapshots.archive(spark, root)), versions or rules.registry())
+        assert verdicts == {(r.index_code, r.snapshot): r.verdict for r in whole.collect()}
+        return sorted(r.snapshot for r in found.computed.collect()), verdicts
+
+    computed, verdicts = verified()
+    assert computed == ["r1", "r2", "r3"] and set(verdicts.values()) == {"matched"} and len(verdicts) == 15
+    with monkeypatch.context() as m:
+        m.setattr(R, "recompute", lambda *a: pytest.fail("nothing has changed"))
+        assert verification.verify(tape, snapshots.whole(snapshots.archive(spark, root)), store).computed.count() == 0
+    (file,) = (tmp_path / "root" / "snapshots" / "snapshot=r2").glob("*.json.gz")
+    lines = gzip.open(file, "rt").read().splitlines()
+    lines = [re.sub(r'"usd_per_hour_total":[0-9.]+', '"usd_per_hour_total":30.0', x) if '"p3"' in x else x for x in lines]
+    with gzip.open(file, "wt") as f:
+        f.write("\n".join(reversed(lines)))  # the order of lines is of no matter
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    computed, verdicts = verified()
+    assert computed == ["r2"] and verdicts["H100", "r2"] == "mismatch: value differs" and verdicts["H100", "r1"] == "matched"
+    assert verified()[0] == []
+    current = rules.registry()[rules.CURRENT]
+    computed, _ = verified(rules.registry() | {rules.CURRENT: current.revised(rules.CURRENT, min_providers=99)})
+    assert computed == ["r1", "r2", "r3"]
+
+
 def test_a_bad_snapshot_line_is_kept_aside(spark, tmp_path):
     folder = tmp_path / "snapshots"
     folder.mkdir()
