@@ -11,10 +11,17 @@ Windows of documents are hash-joined with windows of items. Before the join a bi
 the items' hashes, of a fixed size whatever the benchmark's, lets through every window
 that may match and few others, so that hardly any window of a clean text is shuffled.
 
-A matched window carries the values of its slots on both sides. Within a document and an
-item each value of the item must stand for one value of the document: the value that
-most windows give it. Windows that disagree are taken out. An item is found in a
-document when 0.8 or more of its windows are left.
+Five slots in a row are no template: such a window is compared with its values, and an
+item with ``TELLING`` or more other windows is judged by those alone.
+
+A matched window carries the values of its slots on both sides. Windows vote within an
+alignment, which is how far behind its place in the item a window stands in the document:
+there each value of the item must stand for one value of the document, the value that
+most windows give it, of equal ones its own, and windows that disagree are taken out. So a window that also fits
+another clause of the item cannot outvote the copy it belongs to. Copies that are
+interrupted are put together: each place of the item takes its window from the largest
+alignment, of equal ones from one without changes, and these vote once more. An item is found in a document when 0.8 or more of
+its windows are left, of the best alignment or of those put together.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ from ..sources.staging import written
 from .common import bitmap
 
 WORDS, SIMILARITY = 5, 0.8
+TELLING = 5  # windows with a plain word from which on an item is judged by these alone
 BITMAP_BITS = 24
 
 NUMBERS = frozenset(
@@ -86,12 +94,13 @@ _CLASS[[ord(c) for c in ".!?:;\n"]] = _STOP
 
 @dataclass
 class Tokens:
-    """Tokens of some texts laid end to end: the text each is in, its bytes, its three hashes and the kind of slot (0: a word)."""
+    """Tokens of some texts laid end to end: the text each is in, its bytes, its own and its three read hashes and the kind of slot (0: a word)."""
 
     text: np.ndarray
     buffer: bytes
     begin: np.ndarray
     end: np.ndarray
+    plain: np.ndarray
     first: np.ndarray
     second: np.ndarray
     third: np.ndarray
@@ -158,7 +167,7 @@ def canonical(texts: list[str | None]) -> Tokens:
     slot = np.select([number, unit, name, opener], [NUMBER, UNIT, NAME, OPENER], 0)
     first = np.where(number | unit, _HOLDERS[np.where(opener, 0, slot)], plain)
     second = np.where(name, _HOLDERS[NAME], first)
-    return Tokens(text, buffer, begin, end, first, second, np.where(opener, _HOLDERS[NAME], second), slot)
+    return Tokens(text, buffer, begin, end, plain, first, second, np.where(opener, _HOLDERS[NAME], second), slot)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -173,20 +182,28 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def keyed(tokens: Tokens, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each size and reading (size, reading, first tokens, keys); the second reading has only windows with a name, the third with an opener."""
-    further = [(2, tokens.second, NAME), (3, tokens.third, OPENER)]
-    seen = [np.r_[0, np.cumsum(tokens.kind == kind)] for _, _, kind in further]
+def keyed(tokens: Tokens, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size and reading (size, reading, first tokens, keys, which are bare).
+
+    The second reading has only windows with a name, the third with an opener, and neither
+    has windows of slots alone. Such bare windows of the first have the values in their keys.
+    """
+    kind = tokens.kind
+    so_far = lambda test: np.r_[0, np.cumsum(test)]
+    figures = so_far((kind == NUMBER) | (kind == UNIT))
+    further = [(2, tokens.second, so_far(kind == NAME), so_far((kind > 0) & (kind <= NAME))), (3, tokens.third, so_far(kind == OPENER), so_far(kind > 0))]
     for size in sizes:
         a = windows(tokens.first, size)
         if not len(a):
             continue
+        held = lambda count: count[size:] - count[:-size]  # noqa: E731, B023
         within = tokens.text[: len(a)] == tokens.text[size - 1 :][: len(a)]
-        yield size, 1, np.flatnonzero(within), a[within]
-        for (reading, hashes, _), so_far in zip(further, seen, strict=True):
-            has = within & (so_far[size:] > so_far[:-size])
+        bare = held(figures) == size
+        yield size, 1, np.flatnonzero(within), np.where(bare, windows(tokens.plain, size) ^ np.uint64(2), a)[within], bare[within]
+        for reading, hashes, own, slots in further:
+            has = within & (held(own) > 0) & (held(slots) < size)
             if has.any():
-                yield size, reading, np.flatnonzero(has), (windows(hashes, size) ^ np.uint64(1))[has]
+                yield size, reading, np.flatnonzero(has), (windows(hashes, size) ^ np.uint64(1))[has], np.zeros(has.sum(), bool)
 
 
 _SLOTS = "array<struct<kind:int,value:string>>"
@@ -201,7 +218,10 @@ def _slots(tokens: Tokens, at: int, size: int, reading: int) -> list[dict]:
 
 
 def item_windows(items: DataFrame, words: int) -> DataFrame:
-    """Rows (item, n, pos, size, key, slots); an item with fewer than ``words`` tokens is one window."""
+    """Rows (item, n, pos, size, key, slots); an item with fewer than ``words`` tokens is one window.
+
+    ``n`` is the number of windows by which the item is judged.
+    """
     rows = items.select(F.col("item_id").alias("item"), F.col("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +232,14 @@ def item_windows(items: DataFrame, words: int) -> DataFrame:
                 size = min(words, len(tokens.kind))
                 if not size:
                     continue
-                for _, reading, at, keys in keyed(tokens, [size]):
-                    for p, k in zip(at.tolist(), keys.view(np.int64).tolist(), strict=True):
+                read = list(keyed(tokens, [size]))
+                telling = int((~read[0][4]).sum())
+                judged = telling if telling >= TELLING else len(read[0][4])
+                for _, reading, at, keys, bare in read:
+                    use = ~bare | (judged > telling)
+                    for p, k in zip(at[use].tolist(), keys[use].view(np.int64).tolist(), strict=True):
                         take.append(i)
-                        for o, v in zip(out, (len(tokens.kind) - size + 1, size, p, k, _slots(tokens, p, size, reading)), strict=True):
+                        for o, v in zip(out, (judged, size, p, k, _slots(tokens, p, size, reading)), strict=True):
                             o.append(v)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(take, pa.int64())), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
@@ -237,7 +261,7 @@ def matched_windows(docs: DataFrame, key: str, text: str, sizes: list[int], may:
         take, out = [], ([], [], [])
         tokens = canonical(texts)
         begins = np.searchsorted(tokens.text, np.arange(len(texts)))
-        for size, reading, at, keys in keyed(tokens, sizes):
+        for size, reading, at, keys, _ in keyed(tokens, sizes):
             low = keys & mask
             hit = np.flatnonzero(may[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32) & np.uint32(1))
             for p, k in zip(at[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
@@ -278,29 +302,46 @@ def leaks(
     ours = matched_windows(docs, key, text, sizes, bitmap(theirs, bits), bits)
     pairs = theirs.select("item", F.col("pos").alias("at"), F.col("key").alias("k"), F.col("slots").alias("theirs"))
     hits = ours.join(pairs, F.expr("key = k")).select(
-        "id", "item", "at", "pos", F.zip_with("theirs", "slots", lambda a, b: F.struct(
+        "id", "item", "at", (F.col("pos") - F.col("at")).alias("off"), F.zip_with("theirs", "slots", lambda a, b: F.struct(
             a["kind"].alias("kind"), a["value"].alias("item_value"), b["value"].alias("value"))).alias("pairs"),
     )
     hits = written(hits, "matched-windows")
-    plain = hits.where(F.size("pairs") == 0).select("id", "item", "at", F.lit(False).alias("differs"))
-    slotted = hits.where(F.size("pairs") > 0)
-    each = slotted.select("id", "item", "at", "pos", F.posexplode("pairs").alias("nth", "pair")).select("id", "item", "at", "pos", "nth", "pair.*")
-    same = ["id", "item", "kind", "item_value"]
-    votes = each.groupBy(*same, "value").count().groupBy(*same).agg(F.max_by("value", F.struct("count", "value")).alias("stands_for"))
-    named = votes.select(*[F.col(c).alias(f"v_{c}") for c in votes.columns])
-    agreed = each.join(named, F.expr(" and ".join(f"{c} <=> v_{c}" for c in same))).groupBy("id", "item", "at", "pos").agg(
-        F.bool_and(F.expr("value = v_stands_for")).alias("agrees"), F.bool_or(F.expr("value <> item_value")).alias("differs")
-    )
-    left = plain.union(agreed.where("agrees").select("id", "item", "at", "differs"))
-    found = left.groupBy("id", "item").agg(F.count_distinct("at").alias("n_matched"), F.bool_or("differs").alias("changed"))
+    along = written(agreed(hits, ["id", "item", "off"]), "aligned-windows")
+    sizes_of = along.groupBy("id", "item", "off").agg(F.count_distinct("at").alias("n"), F.bool_or("differs").alias("changed"))
+    sizes_of = written(sizes_of, "alignments")
+    best = sizes_of.groupBy("id", "item").agg(F.max(F.struct("n", (~F.col("changed")).alias("same"))).alias("best"))
+    # an interrupted copy: each place of the item in its largest alignment
+    ranked = along.select("id", "item", "off", "at").join(sizes_of.select(*[F.col(c).alias(f"s_{c}") for c in sizes_of.columns]),
+                                                           F.expr("id <=> s_id and item <=> s_item and off = s_off"))
+    places = ranked.groupBy("id", "item", "at").agg(F.max_by("off", F.struct("s_n", ~F.col("s_changed"), -F.col("off"))).alias("off"))
+    places = written(places.select(*[F.col(c).alias(f"p_{c}") for c in places.columns]), "places")
+    chosen = hits.join(places, F.expr("id <=> p_id and item <=> p_item and at = p_at and off = p_off"), "left_semi")
+    joint = agreed(chosen, ["id", "item"]).groupBy("id", "item").agg(
+        F.struct(F.count_distinct("at").alias("n"), (~F.bool_or("differs")).alias("same")).alias("best"))
+    found = best.union(joint).groupBy("id", "item").agg(F.max("best").alias("best"))
     totals = totals.withColumnRenamed("item", "item_id")
     return (
-        found.join(totals, F.expr("item <=> item_id")).where(F.col("n_matched") >= similarity * F.col("n_windows"))
+        found.select("id", "item", F.col("best.n").alias("n_matched"), (~F.col("best.same")).alias("changed"))
+        .join(totals, F.expr("item <=> item_id")).where(F.col("n_matched") >= similarity * F.col("n_windows"))
         .select(F.col("id").alias(key), "item_id", "n_windows", "n_matched",
                 (F.col("n_matched") / F.col("n_windows")).alias("similarity"), "changed")
     )
 
 
+def agreed(hits: DataFrame, group: list[str]) -> DataFrame:
+    """The windows (id, item, off, at, differs) whose values agree with those that most windows of their group give."""
+    place = ["id", "item", "off", "at"]
+    plain = hits.where(F.size("pairs") == 0).select(*place, F.lit(False).alias("differs"))
+    each = hits.where(F.size("pairs") > 0).select(*place, F.explode("pairs").alias("pair")).select(*place, "pair.*")
+    same = [*group, "kind", "item_value"]
+    votes = each.groupBy(*same, "value").count().groupBy(*same).agg(F.max_by("value", F.struct("count", F.expr("value = item_value"), "value")).alias("stands_for"))
+    named = votes.select(*[F.col(c).alias(f"v_{c}") for c in votes.columns])
+    judged = each.join(named, F.expr(" and ".join(f"{c} <=> v_{c}" for c in same))).groupBy(*place).agg(
+        F.bool_and(F.expr("value = v_stands_for")).alias("agrees"), F.bool_or(F.expr("value <> item_value")).alias("differs")
+    )
+    return plain.union(judged.where("agrees").select(*place, "differs"))
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows in which an item was found."""
     found = written(leaks(docs, items, key, text, **options).select(F.col(key).alias("__found")).distinct(), "leaking")
