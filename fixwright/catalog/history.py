@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..plans import verification
 from ..schemas import TAPE_COLUMNS
 from ..sources import snapshots
 from ..sources.staging import new_path
+from ..sources.tape_io import write_bucketed
 from .registry import day, r6, register
 from .sql import piece, query
 from .workspace import KEYS
@@ -124,6 +127,26 @@ def _(ws):
     return rows.select("index_code", day(), r6("value"), r6("previous.value", "previous_value"), r6("move"))
 
 
+@register(
+    "tape_bucketed",
+    query(f"""SELECT o.index_code, CAST(o.index_date AS VARCHAR) AS index_date, CAST(o.revision AS BIGINT) AS revision, o.status, round(o.value, 6) AS value,
+        strftime(s.published_at, '%Y-%m-%d %H:%M:%S') AS superseded_at, o.revision = p.revision AS live, round(CASE WHEN o.revision = p.revision THEN p.prev.v END, 6) AS previous_value
+        FROM otape o LEFT JOIN otape s ON s.index_code = o.index_code AND s.index_date = o.index_date AND s.revision = o.revision + 1
+        JOIN ({PREV}) p ON p.index_code = o.index_code AND p.index_date = o.index_date""", "otape", "olive"),
+)
+def _(ws):
+    """Superseded, live and previous values of a tape that is kept by index: after it is written nothing is shuffled."""
+    name = f"tape_{uuid.uuid4().hex}"
+    tape = write_bucketed(ws.order_tape(), name, new_path(ws.spark, "tape-buckets"))
+    now = T.previous_published(tape).select(*T.KEY, F.col("revision").alias("live_revision"), "previous")
+    last = Window.partitionBy(*T.KEY)
+    rows = T.superseded_in_order(tape).withColumn("live", F.col("revision") == F.max("revision").over(last))
+    rows = rows.join(now.hint("merge"), T.KEY)
+    return rows.select(
+        "index_code", day(), F.col("revision").cast("long").alias("revision"), "status", r6("value"), stamp("superseded_at"), "live",
+        F.round(F.when(F.col("live"), F.col("previous.value")), 6).alias("previous_value"))
+
+
 @register(
     "tape_summary",
     query("""SELECT index_code, count(*) FILTER (WHERE status = 'published') AS published_count, count(*) FILTER (WHERE status <> 'published') AS withheld_count,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import curves
 from ..operators import ladder as L
 from ..operators import term as T
-from ..sources.staging import written
+from ..sources import terms
+from ..sources.staging import new_path, written
 from .registry import r6, register
 
 # --- term points: parts as committed-use quotes ------------------------------
@@ -311,3 +312,25 @@ def _(ws):
     )
     rows = L.newest_reading(readings, ["ladder_id"])
     return rows.select("ladder_id", F.date_format("read_at", "yyyy-MM-dd HH:mm:ss").alias("read_at"), r6("expected"), "withheld")
+
+
+@register(
+    "ladder_dated",
+    """SELECT day || 'T20:00:00' AS read_at, event_type AS tenor, round(avg(value), 6) AS expected, CAST(10 * count(*) AS DOUBLE) AS volume, event_type = 'error' AS withheld,
+        CASE WHEN event_type = 'error' THEN 'not usable' END AS refusal, CAST(day AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) AS newest
+        FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events) GROUP BY day, event_type""",
+)
+def _(ws):
+    """Events as a ladder for each type, read every day: all days put on file at once and read back."""
+    events = ws.table("events").withColumn("read_at", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T20:00:00")))
+    bad = F.col("tenor") == "error"
+    curves = events.groupBy("read_at", F.col("event_type").alias("tenor")).agg(F.avg("value").alias("expected"), (10.0 * F.count(F.lit(1))).alias("volume"))
+    curves = curves.withColumns({
+        "open_span": F.lit(0.25), "withheld": bad, "refusals": F.when(bad, F.array(F.lit("not usable"))).otherwise(F.array().cast("array<string>"))})
+    root = new_path(ws.spark, "dated-readings")
+    terms.write_readings(curves, root)
+    readings = terms.read_readings(ws.spark, root)
+    newest = written(terms.newest_ladders(readings).select("read_at", "tenor", F.lit(True).alias("newest")), "newest-ladders")
+    rows = readings.select("read_at", F.explode("ladders").alias("l")).select("read_at", "l.*")
+    return rows.join(newest, ["read_at", "tenor"], "left").select(
+        "read_at", "tenor", r6("expected"), "volume", "withheld", F.get("refusals", F.lit(0)).alias("refusal"), F.coalesce("newest", F.lit(False)).alias("newest"))

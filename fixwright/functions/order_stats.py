@@ -7,6 +7,9 @@ own, the totals (a bounded number per group) locate the wanted ranks, and only
 the range holding them is put in order. No row is dropped and nothing is
 approximate: the approximate quantiles only choose where to cut.
 
+What is joined to a hot group is a small table that was written before, a row for each
+group or range, so the join broadcasts it or splits the group.
+
 The inputs are written tables (see ``sources.staging``), so asking whether any
 group is hot costs a footer count, and a grouped count only beyond ``limit``
 rows in the whole table.
@@ -19,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
+
 HOT_ROWS = 1_000_000
 PARTS = 256
 
@@ -43,7 +48,7 @@ def hot_groups(table: DataFrame, keys: list[str], limit: int) -> DataFrame | Non
 
 def _cut_points(df: DataFrame, keys: list[str], value: str, parts: int) -> DataFrame:
     at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return df.groupBy(*keys).agg(F.percentile_approx(value, at, F.lit(10_000)).alias("cuts"))
+    return written(df.groupBy(*keys).agg(F.percentile_approx(value, at, F.lit(10_000)).alias("cuts")), "cuts")
 
 
 def _part_of(value: str) -> Column:
@@ -72,13 +77,13 @@ def _median_of_hot(rows: DataFrame, keys: list[str], value: str, out: str, parts
         Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    ranked = placed.join(wanted, [*keys, "part"]).withColumn("start", start)
+    ranked = placed.join(written(wanted, "wanted-ranges"), [*keys, "part"]).withColumn("start", start)
 
     def at(rank: str) -> Column:
         holds = (F.col("start") <= F.col(rank)) & (F.col("start") + F.col("n") > F.col(rank))
         return F.max(F.when(holds, F.col(value)))
 
-    return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2.0).alias(out))
+    return written(ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2.0).alias(out)), "hot-medians")
 
 
 def _with_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -185,7 +190,7 @@ def running(
     per_part = per_part.select(
         *keys, "part", *[fold[fn](f"{name}__part").over(earlier).alias(f"{name}__prior") for name, (fn, _) in out.items()]
     )
-    joined = placed.join(per_part, [*keys, "part"])
+    joined = placed.join(written(per_part, "range-totals"), [*keys, "part"])
     for name, (fn, _) in out.items():
         prior, here = F.col(f"{name}__prior"), inside(name, [*keys, "part"])
         both = F.coalesce(prior, F.lit(0)) + here if fn == "sum" else F.greatest(prior, here)
