@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -26,6 +26,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._kept: dict[str, DataFrame] = {}
+        self._plans: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     def _once(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
         if name not in self._kept:
@@ -46,7 +47,7 @@ class Workspace:
     def prepared(self) -> DataFrame:
         """Every row under every version with its outcome."""
         def build():
-            rows = P.prepare(self.observations(), RUN, rules.registry())
+            rows = self._planned("every")[0]
             return rows.drop("gpu_model", "usd_per_hour_total", "currency", "price_kind", "vram_gb", "observed_at",
                              "identity_reason")
 
@@ -55,14 +56,24 @@ class Workspace:
     def quotes(self) -> DataFrame:
         return P.quotes(self.prepared())
 
-    def _prepared_once(self) -> DataFrame:
-        """Prepared rows for one use: those on file if another query has written them, else without writing them."""
-        return self._kept["prepared"] if "prepared" in self._kept else P.prepare(self.observations(), RUN, rules.registry())
+    def _planned(self, name: str, versions_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """Prepared rows, not written, and their books; planned once, for what is counted before that is written."""
+        if name not in self._plans:
+            obs = self.observations()
+            if versions_of is not None:
+                number = F.element_at(rules.literal({v: i for i, v in enumerate(rules.registry())}), versions_of).cast("int")
+                obs = obs.withColumn("wanted_versions", F.array(number))
+            self._plans[name] = P.prepare_with_books(obs, RUN, rules.registry())
+        return self._plans[name]
+
+    def _every(self) -> DataFrame:
+        """Prepared rows under every version: those on file if another query has written them."""
+        return self._kept["prepared"] if "prepared" in self._kept else self._planned("every")[0]
 
     def screened(self) -> DataFrame:
         """Provider votes of every fixing with the screen's verdict."""
         if "screened" not in self._kept:
-            votes = E.provider_votes(P.quotes(self._prepared_once()), KEYS)
+            votes = E.provider_votes(P.quotes(self._every()), KEYS)
             self._kept["screened"] = E.screen(votes, KEYS)
         return self._kept["screened"]
 
@@ -80,11 +91,7 @@ class Workspace:
         )
 
     def holdouts(self) -> DataFrame:
-        def build():
-            population = P.book_population(self._prepared_once(), RUN, rules.registry())
-            return P.venue_holdouts(population, RUN)
-
-        return self._once("holdouts", build)
+        return self._once("holdouts", lambda: P.venue_holdouts(self._planned("every")[1], RUN))
 
     def _version(self):
         """The version by which a date was published; the last one is not registered."""
@@ -94,17 +101,12 @@ class Workspace:
     def _registered(self):
         return F.when(self._version() == "0.9.0", "1.2.0").otherwise(self._version())
 
-    def _owned(self) -> DataFrame:
-        """Prepared rows under the version that published their date alone."""
-        number = F.element_at(rules.literal({v: i for i, v in enumerate(rules.registry())}), self._registered()).cast("int")
-        return P.prepare(self.observations().withColumn("wanted_versions", F.array(number)), RUN, rules.registry())
-
     def owned_screened(self) -> DataFrame:
         """Screened votes of every date under the version that published it."""
         if "owned-screened" not in self._kept:
             if "screened" in self._kept:
                 return self.screened().where(F.col("methodology_version") == self._registered())
-            self._kept["owned-screened"] = E.screen(E.provider_votes(P.quotes(self._owned()), KEYS), KEYS)
+            self._kept["owned-screened"] = E.screen(E.provider_votes(P.quotes(self._planned("owned", self._registered())[0]), KEYS), KEYS)
         return self._kept["owned-screened"]
 
     def owned_fixings(self) -> DataFrame:
@@ -116,7 +118,7 @@ class Workspace:
     def _owned_holdouts(self) -> DataFrame:
         if "holdouts" in self._kept:
             return self.holdouts()
-        return P.venue_holdouts(P.book_population(self._owned(), RUN, rules.registry()), RUN)
+        return P.venue_holdouts(self._planned("owned", self._registered())[1], RUN)
 
     def tape(self) -> DataFrame:
         """A publication record with every kind of fault a verify run must tell apart.

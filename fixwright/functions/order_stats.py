@@ -86,8 +86,8 @@ def _median_of_hot(rows: DataFrame, keys: list[str], value: str, out: str, parts
     return written(ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2.0).alias(out)), "hot-medians")
 
 
-def _with_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """The weighted median of its group on every row: one shuffle, one sort, no join."""
+def _with_median(df: DataFrame, keys: list[str], value: str, out: str, size: str | None = None) -> DataFrame:
+    """The weighted median of its group on every row, and its ``size`` if asked for: one shuffle, one sort, no join."""
     ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     start, total = F.col("__start"), F.col("__total")
@@ -99,6 +99,7 @@ def _with_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return (
         df.withColumns({"__start": F.coalesce(F.sum("n").over(ordered), F.lit(0)), "__total": F.sum("n").over(whole)})
         .withColumn(out, (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2.0)
+        .withColumns({size: total} if size else {})
         .drop("__start", "__total")
     )
 
@@ -106,11 +107,11 @@ def _with_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
 def with_median_and_mad(
     counts: DataFrame, keys: list[str], value: str, limit: int = HOT_ROWS, parts: int = PARTS
 ) -> DataFrame:
-    """Every row with its group's ``median`` and ``mad``, rows weighted by ``n``."""
+    """Every row with its group's ``median``, ``mad`` and ``total``, rows weighted by ``n``."""
     hot = hot_groups(counts, keys, limit)
 
     def plain(df: DataFrame) -> DataFrame:
-        away = _with_median(df, keys, value, "median").withColumn("__away", F.abs(F.col(value) - F.col("median")))
+        away = _with_median(df, keys, value, "median", "total").withColumn("__away", F.abs(F.col(value) - F.col("median")))
         return _with_median(away, keys, "__away", "mad").drop("__away")
 
     if hot is None:
@@ -120,7 +121,8 @@ def with_median_and_mad(
     centred = hot_rows.join(med, keys)
     away = centred.withColumn("__away", F.abs(F.col(value) - F.col("median")))
     mad = _median_of_hot(away, keys, "__away", "mad", parts)
-    return plain(counts.join(hot, keys, "left_anti")).unionByName(centred.join(mad, keys))
+    size = written(hot_rows.groupBy(*keys).agg(F.sum("n").alias("total")), "hot-sizes")
+    return plain(counts.join(hot, keys, "left_anti")).unionByName(centred.join(mad, keys).join(size, keys))
 
 
 def grouped_median(

@@ -46,8 +46,7 @@ def provider_votes(quotes: DataFrame, keys: list[str], limit: int = HOT_ROWS) ->
 def screen(votes: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
     """Mark providers implausibly far from the panel, and keep the arithmetic."""
     panel = with_median_and_mad(votes.withColumn("n", F.lit(1)), keys, "price", limit)
-    size = votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("panel_size"))
-    panel = panel.drop("n").withColumnsRenamed({"median": "panel_median", "mad": "panel_mad"}).join(size, keys)
+    panel = panel.drop("n").withColumnsRenamed({"median": "panel_median", "mad": "panel_mad", "total": "panel_size"})
     price, mid, mad = F.col("price"), F.col("panel_median"), F.col("panel_mad")
     usable = F.col("panel_size") >= rules.SCREEN_MIN_PROVIDERS
     sigmas = F.when(mad > 0, F.abs(price - mid) / F.nullif(mad * rules.MAD_TO_SIGMA, F.lit(0.0)))

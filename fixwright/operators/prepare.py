@@ -187,6 +187,13 @@ def prepare(obs: DataFrame, run: list[str], versions: rules.Registry, aliases: D
     host_id; ``aliases`` is a table (code, alias, place) in place of the registry's. The order of the stages is the version's: a "book" floor acts
     before the screens, a "priced" floor after them.
     """
+    return prepare_with_books(obs, run, versions, aliases)[0]
+
+
+def prepare_with_books(
+    obs: DataFrame, run: list[str], versions: rules.Registry, aliases: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The prepared rows, and the marketplace books behind them as ``book_population`` counts them, written."""
     indexed = with_index(obs, aliases)
     excluded = administered(indexed, run).select(*run, "source", "commitment", F.lit(True).alias("administered"))
     marked = indexed.join(excluded, [*run, "source", "commitment"], "left").withColumn(
@@ -195,11 +202,9 @@ def prepare(obs: DataFrame, run: list[str], versions: rules.Registry, aliases: D
     rows = restate(marked, versions)
     # Written first: with its size known from the files, the planner broadcasts it
     # when it is small and never shuffles the observations for it.
-    held = written(
-        book_population(rows, run, versions)
-        .where(F.col("held_reason").isNotNull())
-        .select(*run, "methodology_version", "source", "index_code", F.lit(True).alias("held")),
-        "held-books",
+    books = written(book_population(rows, run, versions), "books")
+    held = books.where(F.col("held_reason").isNotNull()).select(
+        *run, "methodology_version", "source", "index_code", F.lit(True).alias("held")
     )
     rows = rows.join(held, [*run, "methodology_version", "source", "index_code"], "left")
     priced = F.col("book_floor_basis") == "priced"
@@ -210,7 +215,7 @@ def prepare(obs: DataFrame, run: list[str], versions: rules.Registry, aliases: D
         .when(F.col("held"), "book_population_floor")
         .otherwise(KEPT)
     )
-    return rows.withColumn("outcome", outcome).drop("held")
+    return rows.withColumn("outcome", outcome).drop("held"), books
 
 
 def quotes(prepared: DataFrame) -> DataFrame:

@@ -26,12 +26,11 @@ def recompute(
 
     Index rows are not filtered first: the administered check reads all models
     of a run, and leaving some out would change its verdict. Prepared rows are not
-    written: the votes are counted straight from them, and the hold-outs read the few
-    marketplace feeds once more.
+    written: the votes are counted straight from them.
     """
-    prepared = P.prepare(wanted_runs(obs, wanted, versions), ["snapshot"], versions)
+    prepared, books = P.prepare_with_books(wanted_runs(obs, wanted, versions), ["snapshot"], versions)
     values = E.publish_or_withhold(E.fixings(P.quotes(prepared), FIXING, versions))
-    return values, P.venue_holdouts(P.book_population(prepared, ["snapshot"], versions), ["snapshot"])
+    return values, P.venue_holdouts(books, ["snapshot"])
 
 
 def wanted_runs(obs: DataFrame, wanted: DataFrame, versions: rules.Registry) -> DataFrame:
