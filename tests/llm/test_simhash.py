@@ -182,6 +182,25 @@ def test_repeated_lines_do_not_hide_a_near_copy(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
 
 
+def test_recall_about_the_similarity(spark):
+    rng = random.Random(21)
+    rows, alike, below = [], [], []
+    for i in range(150):
+        words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(6)) for _ in range(rng.choice([60, 200, 600]))]
+        other = list(words)
+        for _ in range(max(1, round(len(words) * rng.uniform(0.018, 0.032)))):
+            other[rng.randrange(len(other))] = "changed" + str(rng.random())
+        a, b = (set(simhash.shingles(" ".join(w), 5)) for w in (words, other))
+        (alike if len(a & b) >= 0.8 * len(a | b) else below).append(2 * i)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert len(alike) > 40 and len(below) > 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.near_duplicates(docs, words=5, radius=22, keys=simhash.MINIMA, similarity=0.8)
+    first = {r.id: r.first for r in found.select("id", "first").collect()}
+    assert sum(first[i + 1] == i for i in alike) >= 0.9 * len(alike)
+    assert all(first[i + 1] == i + 1 for i in below)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
