@@ -182,7 +182,7 @@ def _(ws):
         count(DISTINCT index_date) AS index_dates, count(DISTINCT index_code) AS indices FROM otape""", "obs", "otape"),
 )
 def _(ws):
-    return snapshots.coverage(ws.observations(), ws.order_tape())
+    return snapshots.coverage(ws.scan(), ws.order_tape())
 
 
 # --- run history ------------------------------------------------------------
