@@ -72,6 +72,18 @@ def test_against_the_model_written_out(spark, vocabulary, hot_words, hot_pairs):
         assert sum(of(h, w) for w in c) + of(h, b"no such word") == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("hot_words,hot_pairs", [(60, 50), (5, 0), (1, 3), (10_000, 100_000)])
+def test_pairs_of_rare_words_are_told_apart(spark, hot_words, hot_pairs):
+    t = [*texts(), "unseen only here", "W397 W398 W397 W398", "", None]
+    docs = spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string").repartition(3)
+    out = {r.doc_id: r for r in K.evaluate(docs, hot_words=hot_words, hot_pairs=hot_pairs).collect()}
+    c, of = reference([x for i, x in enumerate(t) if not out[i].held_out], 10**9)
+    for i, x in enumerate(t):
+        w = K.tokens(x)
+        score = sum(math.log10(of(h, v)) for h, v in zip(["start", *w], w, strict=False))
+        assert out[i].n_known == sum(v in c for v in w) and out[i].score == pytest.approx(score, rel=1e-9)
+
+
 def test_discounts_stay_between_zero_and_one():
     for n in ({}, {1: 3}, {1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 5}, {1: 5, 2: 50, 3: 1, 4: 1, 5: 1, 6: 90}, {7: 3}):
         d = K.discounts(n)
