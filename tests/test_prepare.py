@@ -49,6 +49,17 @@ def test_region_rules(spark, region, loose, exact):
     assert (row.a, row.b) == (loose, exact)
 
 
+def test_each_label_and_region_is_read_once(spark, observations):
+    shown = [("H100 SXM", "us-east-1"), ("H100 SXM", None), (None, ""), ("", "Germany, DE"), (None, None), ("A100_x", "us-east-1")] * 3
+    obs = observations([quote(source_sku=str(i), gpu_model=m, region=r) for i, (m, r) in enumerate(shown)])
+    plain = P.with_index(obs).withColumns({"region_exact": regions.passes_exact(), "region_loose": regions.passes_substring()})
+    facts = P.with_facts(obs)
+    assert sorted(facts.columns) == sorted(plain.columns) and facts.count() == len(shown)
+    assert facts.select(plain.columns).exceptAll(plain).isEmpty() and plain.exceptAll(facts.select(plain.columns)).isEmpty()
+    rows = P.prepare(obs, RUN, rules.registry())
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()  # a text is not read again for each of its rows
+
+
 @pytest.mark.parametrize(
     "over",
     [{}, {"region": None}, {"region": "Québec, \"CA\"\\ 😀"}, {"usd_per_hour_total": 0.35}, {"usd_per_hour_total": 12345678.9},

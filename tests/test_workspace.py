@@ -36,3 +36,17 @@ def test_stages_stay_within_what_the_jvm_compiles(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     runner("distinct_sources")(spark, SMALL)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8_000
+
+
+@pytest.mark.parametrize("name", ["audit", "dangling_snapshots", "verify_summary", "robustness"])
+def test_reading_every_run_needs_no_archive_by_run(spark, name):
+    ws = Workspace(spark, SMALL)
+    QUERIES[name](ws).count()
+    assert "observations" not in ws._kept
+
+
+@pytest.mark.parametrize("name", ["audit", "verify_summary", "impact_summary"])
+def test_the_tape_takes_its_values_from_votes_already_counted(spark, name):
+    ws = Workspace(spark, SMALL)
+    QUERIES[name](ws).count()
+    assert list(ws._plans) == ["every"] and "owned-screened" not in ws._kept
