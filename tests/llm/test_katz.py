@@ -103,3 +103,28 @@ def test_empty_tables(spark):
     model = K.fit(none.select("text"))
     got = K.score(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id string, text string"), model).collect()
     assert len(got) == 2 and all(r.n_tokens == 3 and r.n_known == 0 and r.train_tokens == 0 and r.doc_id is None for r in got)
+
+
+def test_learned_texts_look_up_only_pairs_seen_more_than_once(spark):
+    t = [f"a{i} b{i} c{i} d{i}" for i in range(200)] + ["x y z"] * 3
+    docs = spark.createDataFrame(list(enumerate(t)), "id bigint, text string").repartition(2)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    model = K.fit(docs, hot_pairs=2, asked=docs.where("false"))
+    assert spark.conf.get(name, None) == before
+    rows = docs.selectExpr("id as rid", "text", "id", "true as learned")
+    kinds = Counter(r.kind for r in K._read_texts(rows, model).collect())
+    assert kinds[K._TEXT] == len(t) and kinds[K._LEARNED] <= 3 * 4 and kinds[K._NEW] == 0
+    assert model.found.where(f"w <> {K._START} and c = 1").isEmpty()
+
+
+@pytest.mark.parametrize("options", [{"hot_words": 60, "hot_pairs": 20}, {"vocabulary": 40, "hot_words": 60, "hot_pairs": 20}])
+def test_marking_learned_texts_changes_no_score(spark, options):
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id bigint, text string").repartition(3)
+    marked = {r.doc_id: r for r in K.evaluate(docs, **options).collect()}
+    plain = K.score(docs, K.fit(docs.where(~K.held_out(K.F.col("doc_id"), K.HELD_OUT)).select("text"), **options)).collect()
+    assert len(plain) == len(marked)
+    for r in plain:
+        m = marked[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (m.n_tokens, m.n_known, m.train_tokens)
+        assert r.base_score == pytest.approx(m.base_score, rel=1e-9) and r.score == pytest.approx(m.score, rel=1e-9)
