@@ -57,3 +57,12 @@ def test_running_totals_match_a_plain_window(spark, limit):
             assert seen[i][0] == pytest.approx(total)
             assert seen[i][1] == (pytest.approx(top) if top is not None else None)
             total, top = total + x, x if top is None else max(top, x)
+
+
+def test_median_and_mad_order_each_group_twice_and_total_it_once(spark):
+    """Three windows over a group before the aggregate: two in order, and one whole for its total and one for its median."""
+    rows = spark.createDataFrame([("a", 1.0, 2), ("a", 5.0, 1), ("b", 2.0, 1)], "k string, v double, n bigint")
+    out = median_and_mad(rows, ["k"], "v", also=(F.sum("n").alias("all"),))
+    assert {tuple(r) for r in out.collect()} == {("a", 1.0, 0.0, 3), ("b", 2.0, 0.0, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4
