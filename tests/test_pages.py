@@ -149,3 +149,17 @@ def test_offers_and_catalogue(spark):
     docs = spark.createDataFrame([(json.dumps({"instance_types": [item, {**item, "hourly_price": 0}]}), at)], "doc string, captured_at timestamp")
     r = feeds.aggregator_catalogue(docs, "doc").collect()
     assert len(r) == 1 and (r[0].source, r[0].usd_per_hour_total, r[0].region, r[0].tier, r[0].form_factor) == ("shadeform:lambdalabs", 31.92, "US, B", 1, "sxm")
+
+
+def test_labels_of_rows_on_file_are_read_once_with_the_same_outcome(spark):
+    names = CARD.split(", ")
+    fields = [f.split()[0] for f in names]
+    row = {"source": "x", "captured": "20240115000000", "gpu_model": "H100 SXM", "gpu_count": 8, "price_per_instance_hour": 24.0, "basis": "instance",
+           "commitment": "on_demand", "form_factor": "sxm", "interconnect": "nvlink", "currency": "USD", "price_kind": "quoted"}
+    rows = [dict(row, gpu_model=m) for m in ("H100 SXM", "H100 SXM", "A100 PCIE", "nothing known", None, "") for _ in range(2)]
+    df = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], CARD)
+    once, each = B.restate(df, on_file=True), B.restate(df)
+    show = lambda x: sorted(map(str, x.select("gpu_model", "index_code", "outcome", "normalized_usd_per_gpu_hour").collect()))
+    assert show(once) == show(each) and once.count() == len(rows)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan.lower()
