@@ -128,3 +128,34 @@ def test_marking_learned_texts_changes_no_score(spark, options):
         m = marked[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (m.n_tokens, m.n_known, m.train_tokens)
         assert r.base_score == pytest.approx(m.base_score, rel=1e-9) and r.score == pytest.approx(m.score, rel=1e-9)
+
+
+def test_pairs_reach_the_shuffle_in_parts_and_are_counted_exactly(spark):
+    t = texts()
+    rows = spark.createDataFrame([(x, i % 3 > 0) for i, x in enumerate(t)], "text string, learned boolean").repartition(2)
+    frequent = [w for w, _ in Counter(w for x in t for w in K.tokens(x)).most_common(30)]
+    text = K.Text(frequent)
+    seen, asked = Counter(), set()
+    for i, x in enumerate(t):
+        of, _, target, _ = text.flat([x])
+        pairs = list(zip(text.histories(of, target).tolist(), target.tolist(), strict=True))
+        seen.update(pairs if i % 3 > 0 else [])
+        asked.update(pairs if i % 3 == 0 else [])
+    for parts in (1, 7, 1000):
+        dealt = K._dealt(rows, text, parts).collect()
+        assert len(dealt) <= 2 * parts and all(len(r.near) == len(r.near_c) and len(r.h) == len(r.w) == len(r.far_c) for r in dealt)
+        got = K._pair_counts(rows, text, parts).collect()
+        assert len(got) == len(seen) and {(r.h, r.w): r.c for r in got} == seen
+        assert all(r.asked == ((r.h, r.w) in asked) and r.seldom == (r.c == 1 and not r.asked) for r in got)
+        assert all(r.rare == (r.h < 0) + 2 * (r.w < 0) and 0 <= r.bucket < K.BUCKETS for r in got)
+
+
+def test_pairs_that_share_a_number_are_told_apart(spark):
+    turn = lambda x: (x << 32 | x >> 32) & (2**64 - 1)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    first = (2**63 + 12345, 2**63 + 99)
+    other = (first[0] + 2**40, turn(first[0]) ^ first[1] ^ turn(first[0] + 2**40))
+    pairs = [tuple(map(signed, p)) for p in (first, other)] + [(5, 7), (7, 5), (0, 7)]
+    got = spark.createDataFrame(pairs, "h bigint, w bigint").select("h", "w", *K._keys()).collect()
+    assert got[0].at == got[1].at and len({(r.at, r.told) for r in got}) == len(got)
+    assert [r.at for r in got[2:]] == [h << 32 | w for h, w in pairs[2:]]
