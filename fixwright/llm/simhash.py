@@ -449,14 +449,17 @@ def near_duplicates(
     fingerprint zero and are linked like any other. Repeated rows stay repeated. An empty
     table gives an empty result. Only the two named columns are read.
     """
-    rows = written(fingerprints(docs, key, text, words, keys, distinct=similarity is not None), "fingerprints")
+    # columns that are all null would still count when the planner guesses how large the others are
+    unused = [] if keys else ["keys", "sketch"]
+    rows = written(fingerprints(docs, key, text, words, keys, distinct=similarity is not None).drop(*unused), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-    classes = written(rows.groupBy("fp").agg(least.alias("first"), F.max("sketch").alias("sketch")), "classes")
+    classes = written(rows.groupBy("fp").agg(least.alias("first"), *[F.max("sketch").alias("sketch")] * bool(keys)), "classes")
     if keys:
         candidates = rows.select(F.explode("keys").alias("key"), "fp").distinct()
     else:
         candidates = classes.select(F.explode(band_keys(F.col("fp"), radius, bands)).alias("key"), "fp")
-    tiled = tiles(candidates)
+    # written first: a table that is exploded counts as it was before, and would be broadcast through the driver
+    tiled = tiles(written(candidates, "candidates"))
     if similarity is None:
         edges = written(compared(tiled, radius), "links")
     else:

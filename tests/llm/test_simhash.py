@@ -225,3 +225,25 @@ def test_forest_by_sketches():
     for radius, least in ((0, 0.8), (32, 1.1)):  # nothing within the radius, nothing alike enough
         u, v = simhash.forest(none, none, fp, radius, 2, sketches, least)
         assert len(u) == len(v) == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"words": 3, "radius": 22, "keys": simhash.MINIMA}])
+def test_a_key_for_each_choice_of_bands_is_not_broadcast(spark, monkeypatch, options):
+    """The candidates are ten times the fingerprints: too many for a limit that the fingerprints alone would meet."""
+    docs = spark.createDataFrame([(i, f"word{i} of{i * 7} text{i * 11}") for i in range(4000)], "doc_id long, text string")
+    plans = []
+    real = simhash.tiles
+
+    def kept(candidates, *args):
+        plans.append(real(candidates, *args))
+        return plans[-1]
+
+    monkeypatch.setattr(simhash, "tiles", kept)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)
+    try:
+        assert simhash.near_duplicates(docs, **options).count() == 4000
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
