@@ -146,3 +146,30 @@ def test_repeated_tables_count_once(spark):
     pages = spark.createDataFrame([("s", "20250101000000", page(*cells))], "source string, captured string, html string")
     rows = C.stated_once(C.sectioned_list(C.page_cells(pages))).collect()
     assert sorted(r.price_per_instance_hour for r in rows) == [2.4, 2.5]
+
+
+LABELS = [
+    None, "", "H100", "NVIDIA H100 SXM5 80GB", "8 x nvidia h100 pcie", "GB200 NVL72", "GH-200", "G H200", "gb_200 H100", "GB 200 and H100", "H800 H100", "B100 H100",
+    "A100-40GB", "A100 /40 GB", "xH100", "H1000", "H100NVL", "H100\tNVL", "h200 nvl", "B200 HGX", "B300 B200", "H 100", "NVLINK A100", "PCI E A100", "L40S", "100200", "ẖ100",
+]
+
+
+def test_a_product_is_named_where_a_label_has_a_reading(spark):
+    """The short question has the answer of the whole reading, for labels however they are spaced."""
+    rows = spark.createDataFrame([(x,) for x in LABELS], "cell string")
+    got = rows.select("cell", C.names_product("cell").alias("named"), C.label_reading("cell").isNotNull().alias("read")).collect()
+    assert [r.cell for r in got if r.named != r.read] == [] and {r.named for r in got} == {True, False}
+
+
+def test_the_first_amount_is_the_first_of_all_and_spaces_fold_once(spark):
+    texts = [None, "", "$", "$1,234.50 $2", "from $ 3", "$1234", "a $0.5/hr", "no 4"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", markup.first_amount("t").alias("one"), F.get(markup.amounts("t"), F.lit(0)).alias("all"))
+    assert [r.t for r in rows.collect() if r.one != r["all"]] == []
+    spaced = ["a b", " a", "a  b ", "a\tb", "a\n  b", " ", "a \u0001 b", "\u0085x", "café x", None]
+    rows = spark.createDataFrame([(x,) for x in spaced], "t string").select("t", markup.folded(F.col("t")).alias("now"), F.regexp_replace("t", r"(?U)\s+", " ").alias("then"))
+    assert [r.t for r in rows.collect() if r.now != r.then] == []
+
+
+def test_cells_of_a_page_with_odd_spaces_and_references(spark):
+    html = "<body>\n<P>a&nbsp;&#32; b</p><Strong>x</STRONG\n>y<strongly>z</strongly><td class='>'>1\t 2</td><br/>&amp;&#10;<small>q</small></body>"
+    assert spark.createDataFrame([(html,)], "html string").select(markup.cells("html").alias("c")).first().c == ["a b", "x", "yz", "1 2", "&", "q"]
