@@ -258,3 +258,15 @@ def test_tape_appends_in_its_own_column_order(spark, tmp_path):
     append_to_tape(row, path)
     back = read_tape(spark, path)
     assert back.columns == [f.split()[0] for f in " ".join(TAPE.split()).split(", ")] and back.count() == 2
+
+
+def test_one_reading_of_the_history_serves_both_checks(spark):
+    """Signatures and row counts of one table give what each check reads on its own, with quotes that repeat and quotes without a fingerprint."""
+    rows = [(r, "still", f) for r in range(1, 6) for f in ("a", "b", "b", None)] + [(r, "falls", str(i)) for r in range(1, 6) for i in range(8 if r < 5 else 2)]
+    rows += [(r, None, "x") for r in range(1, 6)] + [(r, "gone", str(i)) for r in range(1, 5) for i in range(6)]
+    feeds = Q.feed_history(runs(spark, rows), "run")
+    assert feeds.where("run = 1 and source = 'still'").select("n", "rows").first() == (3, 4)
+    sizes = feeds.select("run", "source", F.col("rows").alias("n"))
+    listed = lambda df: sorted(map(str, df.collect()))
+    assert listed(Q.stalled(feeds, "run")) == listed(Q.feed_stall(runs(spark, rows), "run")) != []
+    assert listed(Q.dropped(sizes, "run")) == listed(Q.feed_dropout(runs(spark, rows), "run")) != []
